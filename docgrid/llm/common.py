@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,41 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a Bloom filter: 16 for each id, within these bounds; what is broadcast is 16 MB at most.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
+
+
+def among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of df whose long `column` may be one of ids (its first column): all of those that are, and about one in seventy of the others.
+
+    A Bloom filter, put together by the executors and sent as a bitmap of
+    bounded size, so that a semi join of a few ids with a large table needn't
+    shuffle the table.  With more ids than the bitmap is made for it lets more
+    rows through, and stays right.
+    """
+    spark = df.sparkSession
+    (name,) = ids.columns
+    n = ids.count()
+    bits = LEAST_BITS
+    while bits < min(16 * n, MOST_BITS):
+        bits *= 2
+    places = lambda c: F.array(F.xxhash64(c).bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(F.xxhash64(c), 36).bitwiseAND(F.lit(bits - 1)))
+    words = ids.select(F.explode(places(name)).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("m"))
+    bitmap = np.zeros(bits // 64, dtype=np.uint64)
+    found = words.toArrow()
+    bitmap[found["w"].to_numpy()] = found["m"].to_numpy().view(np.uint64)
+    sent = spark.sparkContext.broadcast(bitmap)
+
+    def test(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            a, b = (x.to_numpy().astype(np.uint64) for x in (a, b))
+            hit = lambda x: (sent.value[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1)
+            yield pd.Series((hit(a) & hit(b)).astype(bool))
+
+    a, b = (places(column)[i] for i in (0, 1))
+    return df.where(F.col(column).isNotNull()).where(F.pandas_udf(test, "boolean")(a, b))
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components of an undirected graph of long nodes, by alternating large-star and small-star rounds.
 

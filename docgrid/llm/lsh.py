@@ -24,51 +24,56 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> S31)
 
 
+#: Members of a bucket that are paired by a join; larger buckets are compared in blocks of BLOCK members.
+SMALL, BLOCK = 12, 1024
+
+
 def linked(
     banded: DataFrame,
     texts: Callable[[DataFrame], DataFrame],
-    similar: Callable[[list, list], np.ndarray],
+    bags: Callable[[list[str]], Segments],
+    counted: bool,
+    least: float,
     near: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
 ) -> DataFrame:
     """``node, component`` of the texts that have a near duplicate.
 
     banded: ``id long, bands array<long>``, a row for each text, copies of a
     text sharing its id.  texts: gives ``id, text`` of the ids asked for, once
-    each.  similar: says for two lists of texts which pairs are near.  near: may
-    drop pairs that can't be (an estimate that keeps recall).
-
-    No bucket is ever held in one place or multiplied out.  First each member
-    of a bucket is verified against the bucket's smallest id, which settles
-    dense groups: their members come to be in one component.  Then only members
-    outside the smallest id's component are paired with the rest of their
-    bucket, and of those pairs only the ones still in different components.  A
-    pair left out is in one component already or has been verified, so no
-    component misses a link that its buckets hold.
+    each.  bags: shingles of texts, compared as multisets if counted, near from
+    a Jaccard similarity of `least`.  near: may drop pairs that can't be (an
+    estimate that keeps recall).
+
+    First each member of a bucket is verified against the bucket's smallest id,
+    which brings the members of dense groups into few components.  Only buckets
+    whose members are in different components are looked at again: small ones by
+    pairs, larger ones in pairs of blocks, whose shingles are compared in one
+    task that returns a spanning forest of the links it finds.  So no bucket is
+    held in one place, no group is multiplied out into pairs, and no component
+    misses a link that its buckets hold.
     """
     rows = banded.select("id", F.explode("bands").alias("key"))
     low = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
     entries = saved(rows.join(low, "key").groupBy("key", "id").agg(F.min("first").alias("first")), "buckets")
     stars = entries.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    edges = saved(_verified(near(stars), texts, similar), "links")
+    edges = saved(_verified(near(stars), texts, bags, counted, least), "links")
     comp = components(edges)
     known = entries.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     known = saved(known, "members")
-    home = known.where("id = first").select("key", F.col("component").alias("home"))
-    outer = known.join(home, "key").where("component <> home").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    inner = known.join(home, "key").select("key", "first", F.col("id").alias("y"), F.col("component").alias("cy"), (F.col("component") != F.col("home")).alias("out"))
-    rest = (
-        outer.join(inner, "key")
-        .where("cx <> cy and y <> first and (not out or x < y)")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-    )
-    more = saved(_verified(near(rest), texts, similar), "links")
+    mixed = known.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi and n > 2").select("key", "n")
+    open_ = saved(known.join(mixed, "key"), "open")
+    some = open_.where(F.col("n") <= SMALL).where("id <> first")
+    x = some.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
+    y = some.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
+    rest = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+    more = saved(_verified(near(rest), texts, bags, counted, least).unionByName(_in_blocks(open_.where(F.col("n") > SMALL), texts, bags, counted, least)), "links")
     if more.isEmpty():
         return comp
     return components(edges.unionByName(more))
 
 
-def _verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similar: Callable[[list, list], np.ndarray]) -> DataFrame:
+def _verified(pairs: DataFrame, texts: Callable, bags: Callable, counted: bool, least: float) -> DataFrame:
+    """Pairs (a, b) whose texts are near."""
     pairs = saved(pairs, "pairs")
     spark = pairs.sparkSession
     if pairs.isEmpty():
@@ -78,7 +83,7 @@ def _verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similar
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.loc[similar(b["left"].tolist(), b["right"].tolist()), ["a", "b"]]
+            yield b.loc[similar(b["left"].tolist(), b["right"].tolist(), bags, counted, least), ["a", "b"]]
 
     both = pairs.join(known.select(F.col("id").alias("a"), F.col("text").alias("left")), "a").join(
         known.select(F.col("id").alias("b"), F.col("text").alias("right")), "b"
@@ -86,6 +91,75 @@ def _verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similar
     return both.select("a", "b", "left", "right").mapInPandas(verify, "a long, b long")
 
 
+def similar(left: list[str], right: list[str], bags: Callable, counted: bool, least: float) -> np.ndarray:
+    """Which pairs of texts have a Jaccard similarity of `least` or more."""
+    place: dict[str, int] = {}
+    a = [place.setdefault(t, len(place)) for t in left]
+    b = [place.setdefault(t, len(place)) for t in right]
+    own = bags(list(place))
+    return np.array([own.overlap(i, j, counted) >= least for i, j in zip(a, b)], dtype=bool)
+
+
+def _in_blocks(members: DataFrame, texts: Callable, bags: Callable, counted: bool, least: float) -> DataFrame:
+    """Links (a, b) that join the components of buckets (key, id, component, n), all members of a bucket compared."""
+    members = saved(members.select("key", "id", "component", "n"), "large")
+    spark = members.sparkSession
+    if members.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
+
+    def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = bags(b["text"].tolist())
+            yield pd.DataFrame({"id": b["id"], "bag": [own.packed(i, counted) for i in range(len(b))]})
+
+    known = saved(texts(members.select("id").distinct()).mapInPandas(profile, "id long, bag binary"), "bags")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "component").join(known, "id")
+
+    def compare(b: pd.DataFrame) -> pd.DataFrame:
+        ids, group = b["id"].to_numpy(), b["component"].to_numpy()
+        lists = [np.frombuffer(x, dtype="<u8") for x in b["bag"]]
+        size = np.array([len(x) for x in lists], dtype=np.int64)
+        owner = np.repeat(np.arange(len(lists)), size)
+        _, term, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        shared = n[term] > 1
+        column = np.cumsum(n > 1) - 1
+        owner, term = owner[shared], column[term[shared]]
+        both = np.zeros((len(lists), len(lists)), dtype=np.float32)
+        order = np.argsort(term, kind="stable")
+        owner, term = owner[order], term[order]
+        for start in range(0, int((n > 1).sum()), 4096):
+            lo, hi = np.searchsorted(term, [start, start + 4096])
+            part = np.zeros((len(lists), 4096), dtype=np.float32)
+            part[owner[lo:hi], term[lo:hi] - start] = 1
+            both += part @ part.T
+        total = size[:, None] + size[None, :] - both
+        p, q = np.nonzero(np.triu(both >= least * total, 1) & (group[:, None] != group[None, :]))
+        mine = b["block"].to_numpy() == b["i"].iloc[0]
+        if b["i"].iloc[0] != b["j"].iloc[0]:
+            across = mine[p] != mine[q]
+            p, q = p[across], q[across]
+        heads, place = np.unique(group, return_inverse=True)
+        root = list(range(len(heads)))
+
+        def find(v: int) -> int:
+            while root[v] != v:
+                root[v] = root[root[v]]
+                v = root[v]
+            return v
+
+        out = []
+        for i, j in zip(p.tolist(), q.tolist()):
+            u, v = find(place[i]), find(place[j])
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                out.append((ids[i], ids[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
 class Segments:
     """Sorted values of several texts, end to end: value, count, and where each text's part begins."""
 
@@ -110,3 +184,14 @@ class Segments:
         else:
             both, total = len(p), (a.stop - a.start) + (b.stop - b.start)
         return both / (total - both) if total else 0.0
+
+    def packed(self, i: int, counted: bool) -> bytes:
+        """A text's values as bytes; of multisets, each further occurrence of a value is a value of its own."""
+        at = slice(self.start[i], self.start[i + 1])
+        value = self.value[at]
+        if counted and len(value) and self.count[at].max() > 1:
+            n = self.count[at]
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            value = np.repeat(value, n)
+            value = np.where(nth > 0, mixed(value ^ mixed(nth.astype(np.uint64))), value)
+        return value.astype("<u8").tobytes()

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import among, saved, small_batches
 from .lsh import Segments, linked, mixed
 
 WORDS = 5
@@ -122,15 +122,6 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.
     return key.view(np.int64)
 
 
-def similar(left: list[str], right: list[str], least: float = SIMILARITY) -> np.ndarray:
-    """Which pairs have a multiset overlap (sum of minima by sum of maxima) of shingles of `least` or more."""
-    place: dict[str, int] = {}
-    a = [place.setdefault(t, len(place)) for t in left]
-    b = [place.setdefault(t, len(place)) for t in right]
-    bags = shingles(list(place))
-    return np.array([bags.overlap(i, j, counted=True) >= least for i, j in zip(a, b)], dtype=bool)
-
-
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         bags = shingles(b["text"].tolist())
@@ -162,11 +153,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = saved(own.select("doc_id", "id", "text").mapInPandas(_signed, "doc_id long, id long, sig binary, bands array<long>"), "signatures")
 
     def texts(ids: DataFrame) -> DataFrame:
-        return own.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+        return among(own.select("id", "text"), "id", ids).join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
     def near(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        known = signed.join(ids, "id", "left_semi").groupBy("id").agg(F.min("sig").alias("sig"))
+        known = among(signed.select("id", "sig"), "id", ids).join(ids, "id", "left_semi").groupBy("id").agg(F.min("sig").alias("sig"))
         both = pairs.join(known.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(known.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
 
         def agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,7 +167,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         return both.select("a", "b", "sa", "sb").mapInPandas(agreeing, "a long, b long")
 
-    comp = linked(signed.select("id", "bands"), texts, similar, near)
+    comp = linked(signed.select("id", "bands"), texts, shingles, True, SIMILARITY, near)
     rows = signed.select("doc_id", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     heads = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     return rows.join(heads, "component").select("doc_id", F.col("id").alias("text_hash"), "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))

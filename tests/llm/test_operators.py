@@ -459,3 +459,24 @@ def test_chain_on_fresh_sentences():
     got = [pii.model().viterbi([pii.token_features(t)])[0] for t, _ in table]
     right = sum(int((g == np.array(y)).sum()) for g, (_, y) in zip(got, table))
     assert right / sum(len(y) for _, y in table) > 0.97
+
+
+def test_large_buckets_are_compared_whole(spark):
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for k in range(90):
+        words = list(base)
+        for _ in range(r.randrange(0, 6)):
+            words[r.randrange(80)] = f"x{r.randrange(10_000)}"
+        texts.append(" ".join(words))
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts += [passage + " " + " ".join(f"q{k}_{i}" for i in range(r.randrange(8, 40))) for k in range(60)]
+    bags = [bag(t) for t in texts]
+    root = list(range(len(texts)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if overlap(bags[a], bags[b]) >= 0.8:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(docs(spark, texts)).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
