@@ -495,7 +495,7 @@ def _(t):
     return summary.toc_markdown(t.headings, t.docs)
 
 
-@_query("doc_title", "SELECT f.doc_id, coalesce(min_by(text, page_number * 100000 + seq), 'Annual Report ' || upper(source[1]) || source[2:]) AS title FROM documents f LEFT JOIN levels l ON l.doc_id = f.doc_id AND l.level = 1 GROUP BY f.doc_id, source")
+@_query("doc_title", "SELECT f.doc_id, coalesce(min_by(l.text, page_number * 100000 + seq), 'Annual Report ' || upper(source[1]) || source[2:]) AS title FROM documents f LEFT JOIN levels l ON l.doc_id = f.doc_id AND l.level = 1 GROUP BY f.doc_id, source")
 def _(t):
     return summary.titles(t.headings, t.files)
 
