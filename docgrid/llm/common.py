@@ -45,17 +45,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 
 
-def among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+def among(df: DataFrame, column: str, ids: DataFrame, n: int | None = None) -> DataFrame:
     """Rows of df whose long `column` may be one of ids (its first column): all of those that are, and about one in seventy of the others.
 
     A Bloom filter, put together by the executors and sent as a bitmap of
     bounded size, so that a semi join of a few ids with a large table needn't
-    shuffle the table.  With more ids than the bitmap is made for it lets more
+    shuffle the table.  n: about how many ids there are, if known; ids may repeat.
+    With more ids than the bitmap is made for it lets more
     rows through, and stays right.
     """
     spark = df.sparkSession
     (name,) = ids.columns
-    n = ids.count()
+    n = ids.count() if n is None else n
     bits = LEAST_BITS
     while bits < min(16 * n, MOST_BITS):
         bits *= 2
@@ -89,22 +90,20 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     """
     a, b = F.col(left), F.col(right)
     now = saved(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(a.isNotNull() & b.isNotNull() & (a != b)).distinct(), "edges")
-    mark = _mark(now)
-    while mark[0]:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        if (then := _mark(now)) == mark:
-            break
-        mark = then
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Count and order-free digest of the edges: two equal marks mean that a round changed nothing."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node u has one edge and no v is a u: all nodes point at the head of their component."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("head")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("head")))).alias("e"))
+    per = ends.select("e.*").groupBy("n").agg(F.sum("up").alias("up"), F.max("head").alias("head"))
+    return per.where("up > 1 or (up > 0 and head > 0)").isEmpty()

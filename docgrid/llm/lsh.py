@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved
+from .common import among, components, saved
 
 #: Multipliers and shifts of a 64-bit finaliser (fixed values).
 MIX_A, MIX_B, MIX_C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -30,7 +30,7 @@ SMALL, BLOCK = 12, 1024
 
 def linked(
     banded: DataFrame,
-    texts: Callable[[DataFrame], DataFrame],
+    texts: Callable[[DataFrame, int], DataFrame],
     bags: Callable[[list[str]], Segments],
     counted: bool,
     least: float,
@@ -40,7 +40,8 @@ def linked(
 
     banded: ``id long, bands array<long>``, a row for each text, copies of a
     text sharing its id.  texts: gives ``id, text`` of the ids asked for, once
-    each.  bags: shingles of texts, compared as multisets if counted, near from
+    each, and maybe of a few others; it gets the ids, with repeats, and about how
+    many they are.  bags: shingles of texts, compared as multisets if counted, near from
     a Jaccard similarity of `least`.  near: may drop pairs that can't be (an
     estimate that keeps recall).
 
@@ -54,12 +55,12 @@ def linked(
     """
     rows = banded.select("id", F.explode("bands").alias("key"))
     low = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
-    entries = saved(rows.join(low, "key").groupBy("key", "id").agg(F.min("first").alias("first")), "buckets")
+    low = saved(low, "shared-keys")
+    entries = saved(among(rows, "key", low.select("key")).join(low, "key").select("key", "id", "first").distinct(), "buckets")
     stars = entries.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     edges = saved(_verified(near(stars), texts, bags, counted, least), "links")
     comp = components(edges)
     known = entries.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    known = saved(known, "members")
     mixed = known.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi and n > 2").select("key", "n")
     open_ = saved(known.join(mixed, "key"), "open")
     some = open_.where(F.col("n") <= SMALL).where("id <> first")
@@ -69,17 +70,16 @@ def linked(
     more = saved(_verified(near(rest), texts, bags, counted, least).unionByName(_in_blocks(open_.where(F.col("n") > SMALL), texts, bags, counted, least)), "links")
     if more.isEmpty():
         return comp
-    return components(edges.unionByName(more))
+    return components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
 
 
 def _verified(pairs: DataFrame, texts: Callable, bags: Callable, counted: bool, least: float) -> DataFrame:
     """Pairs (a, b) whose texts are near."""
     pairs = saved(pairs, "pairs")
-    spark = pairs.sparkSession
-    if pairs.isEmpty():
-        return spark.createDataFrame([], "a long, b long")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    known = saved(texts(ids), "texts")
+    n = pairs.count()
+    if not n:
+        return pairs.select("a", "b")
+    known = texts(both_ends(pairs), 2 * n)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -91,6 +91,11 @@ def _verified(pairs: DataFrame, texts: Callable, bags: Callable, counted: bool,
     return both.select("a", "b", "left", "right").mapInPandas(verify, "a long, b long")
 
 
+def both_ends(pairs: DataFrame) -> DataFrame:
+    """``id``: the ends of pairs (a, b), with repeats."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+
 def similar(left: list[str], right: list[str], bags: Callable, counted: bool, least: float) -> np.ndarray:
     """Which pairs of texts have a Jaccard similarity of `least` or more."""
     place: dict[str, int] = {}
@@ -102,17 +107,16 @@ def similar(left: list[str], right: list[str], bags: Callable, counted: bool, le
 
 def _in_blocks(members: DataFrame, texts: Callable, bags: Callable, counted: bool, least: float) -> DataFrame:
     """Links (a, b) that join the components of buckets (key, id, component, n), all members of a bucket compared."""
-    members = saved(members.select("key", "id", "component", "n"), "large")
-    spark = members.sparkSession
-    if members.isEmpty():
-        return spark.createDataFrame([], "a long, b long")
+    count = members.count()
+    if not count:
+        return members.select(F.col("id").alias("a"), F.col("id").alias("b"))
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             own = bags(b["text"].tolist())
             yield pd.DataFrame({"id": b["id"], "bag": [own.packed(i, counted) for i in range(len(b))]})
 
-    known = saved(texts(members.select("id").distinct()).mapInPandas(profile, "id long, bag binary"), "bags")
+    known = texts(members.select("id"), count).mapInPandas(profile, "id long, bag binary")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "component").join(known, "id")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import among, saved, small_batches
-from .lsh import Segments, linked, mixed
+from .lsh import Segments, both_ends, linked, mixed
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -152,12 +152,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = own.withColumn("id", F.xxhash64("text"))
     signed = saved(own.select("doc_id", "id", "text").mapInPandas(_signed, "doc_id long, id long, sig binary, bands array<long>"), "signatures")
 
-    def texts(ids: DataFrame) -> DataFrame:
-        return among(own.select("id", "text"), "id", ids).join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    def texts(ids: DataFrame, n: int) -> DataFrame:
+        return among(own.select("id", "text"), "id", ids, n).groupBy("id").agg(F.min("text").alias("text"))
 
     def near(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        known = among(signed.select("id", "sig"), "id", ids).join(ids, "id", "left_semi").groupBy("id").agg(F.min("sig").alias("sig"))
+        pairs = saved(pairs, "candidates")
+        known = among(signed.select("id", "sig"), "id", both_ends(pairs), 2 * pairs.count()).groupBy("id").agg(F.min("sig").alias("sig"))
         both = pairs.join(known.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(known.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
 
         def agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

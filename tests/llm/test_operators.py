@@ -242,7 +242,7 @@ def line_key(x):
     return re.sub(r"[\s ]+", " ", x).strip(" ").lower()
 
 
-def runs(x, n=5):
+def runs(x, n=7):
     return {x[i : i + n] for i in range(max(1, len(x) - n + 1))} if x else set()
 
 
