@@ -66,6 +66,16 @@ def body_paragraphs(words: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.groupBy(*PAGE, "paragraph_no").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.array_join(texts, "\n").alias("text"))
 
 
+def _edge_side() -> Column:
+    """left or right for words that count as edge text, null for others; needs width and height."""
+    t = strip("text")
+    noise = (F.length(t) < 2) | (t.rlike(r"^[0-9]+$") & (F.length(t) < 4)) | t.rlike(r"^[.,;:!?\-—]+$")
+    m = F.greatest(F.lit(50.0), F.col("width") * 0.05)
+    at_right = F.col("x1") > F.col("width") - m
+    right = (F.col("top") >= F.col("height") * 0.1) & (F.col("bottom") <= F.col("height") * 0.9) & (F.col("x1") > F.col("width") - m / 2)
+    return F.when(~noise, F.when(at_right, F.when(right, "right")).when(F.col("x0") < m, "left"))
+
+
 def edge_words(words: DataFrame, pages: DataFrame) -> DataFrame:
     """Words in the side margins, each a region of its own, with ``side``.
 
@@ -73,16 +83,22 @@ def edge_words(words: DataFrame, pages: DataFrame) -> DataFrame:
     the right count only in the outer half of their margin and not in the top or
     bottom tenth; short numbers, single characters and bare punctuation don't.
     """
-    t = strip("text")
-    noise = (F.length(t) < 2) | (t.rlike(r"^[0-9]+$") & (F.length(t) < 4)) | t.rlike(r"^[.,;:!?\-—]+$")
-    m = F.greatest(F.lit(50.0), F.col("width") * 0.05)
-    at_right = F.col("x1") > F.col("width") - m
-    right = (F.col("top") >= F.col("height") * 0.1) & (F.col("bottom") <= F.col("height") * 0.9) & (F.col("x1") > F.col("width") - m / 2)
-    side = F.when(at_right, F.when(right, "right")).when(F.col("x0") < m, "left")
-    rows = _sized(words, pages).where(~noise).withColumn("side", side).where("side is not null")
+    rows = _sized(words, pages).withColumn("side", _edge_side()).where("side is not null")
     return rows.select(*PAGE, "seq", "side", "text", "x0", F.col("top").alias("y0"), "x1", F.col("bottom").alias("y1"))
 
 
+def paragraph_count(heights: Column) -> Column:
+    """How many paragraphs words with these distinct struct(top, bottom) heights make: the rules of :func:`body_lines` and :func:`body_paragraphs` in one fold."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(float("-inf")).alias("leader"), F.lit(float("-inf")).alias("low"))
+
+    def step(acc: Column, h: Column) -> Column:
+        line = h["top"] - acc["leader"] >= LINE_NEAR
+        new = line & (h["top"] - acc["low"] >= PARAGRAPH_GAP)
+        return F.struct((acc["n"] + F.when(new, 1).otherwise(0)).alias("n"), F.when(line, h["top"]).otherwise(acc["leader"]).alias("leader"), F.greatest(acc["low"], h["bottom"]).alias("low"))
+
+    return F.aggregate(F.array_sort(heights), start, step, lambda acc: acc["n"])
+
+
 def text_density(words: DataFrame, pages: DataFrame) -> DataFrame:
     """Share of the page that its words' boxes take; 0 without words or area, above 1 where boxes overlap."""
     area = words.groupBy(*PAGE).agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("bottom") - F.col("top"))).alias("area"))
@@ -91,17 +107,27 @@ def text_density(words: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def analyze(words: DataFrame, pages: DataFrame) -> DataFrame:
-    """Page layouts, a row a page: header, footer, number of body paragraphs and edge words, whether there are images and tables, density."""
-    h, f = header(words).select(*PAGE, F.col("text").alias("header_text")), footer(words, pages).select(*PAGE, F.col("text").alias("footer_text"))
-    n = body_paragraphs(words, pages).groupBy(*PAGE).agg(F.count("*").alias("n_body"))
-    e = edge_words(words, pages).groupBy(*PAGE).agg(F.count("*").alias("n_edge"))
-    out = text_density(words, pages).join(pages.select(*PAGE, "width", "height", "n_images", "n_tables"), PAGE)
-    for part in (h, f, n, e):
-        out = out.join(part, PAGE, "left")
+    """Page layouts, a row a page: header, footer, number of body paragraphs and edge words, whether there are images and tables, density.
+
+    One pass over the words: every measure is an aggregate of the same grouping.
+    """
+    sized = _sized(words, pages)
+    top, bottom = F.col("top"), F.col("bottom")
+    foot = (top >= F.col("height") - FOOTER_HEIGHT) & (bottom <= F.col("height"))
+    inner = (top >= HEADER_HEIGHT) & (bottom <= F.col("height") - FOOTER_HEIGHT)
+    said = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("seq", "text")))), lambda e: e["text"]), " ")
+    per = sized.groupBy(*PAGE).agg(
+        said((top < HEADER_HEIGHT) & (bottom > 0)).alias("header_text"), said(foot).alias("footer_text"),
+        F.collect_set(F.when(inner, F.struct(top.cast("double").alias("top"), bottom.cast("double").alias("bottom")))).alias("heights"),
+        F.count(_edge_side()).alias("n_edge"), F.sum((F.col("x1") - F.col("x0")) * (bottom - top)).alias("area"),
+    )
+    per = per.withColumn("n_body", paragraph_count(F.col("heights")))
+    out = pages.select(*PAGE, "width", "height", "n_images", "n_tables").join(per, PAGE, "left")
     return out.select(
         *PAGE, "width", "height", F.coalesce("header_text", F.lit("")).alias("header_text"), F.coalesce("footer_text", F.lit("")).alias("footer_text"),
-        F.coalesce("n_body", F.lit(0)).alias("n_body"), F.coalesce("n_edge", F.lit(0)).alias("n_edge"), F.lit(0).cast("long").alias("n_sidebar"),
-        (F.coalesce("n_images", F.lit(0)) > 0).alias("has_images"), (F.coalesce("n_tables", F.lit(0)) > 0).alias("has_tables"), "text_density",
+        F.coalesce("n_body", F.lit(0)).cast("long").alias("n_body"), F.coalesce("n_edge", F.lit(0)).alias("n_edge"), F.lit(0).cast("long").alias("n_sidebar"),
+        (F.coalesce("n_images", F.lit(0)) > 0).alias("has_images"), (F.coalesce("n_tables", F.lit(0)) > 0).alias("has_tables"),
+        F.coalesce(F.try_divide("area", F.col("width") * F.col("height")), F.lit(0.0)).alias("text_density"),
     )
 
 

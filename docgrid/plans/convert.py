@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chapters, edges, elements, headers, layout, render, sinks, summary
+from ..operators import chapters, edges, elements, headers, images, layout, render, sinks, summary, tables
 from ..sources import files as file_source
 from ..sources import pdf
 
@@ -72,10 +72,22 @@ def analyze(files: DataFrame, pages: DataFrame, options: Options = Options()) ->
     return Analysis(files, pages, own, layouts, bodies, stats, found, headers.fuzzy_groups(layouts), texts, summary.summaries(items, bodies, stats, files))
 
 
+def pictures_of(pages: DataFrame) -> DataFrame:
+    """Images of pages, a row each; those in a format that viewers read keep their data."""
+    rows = pages.select("doc_id", "page_number", F.explode("images").alias("i")).select("doc_id", "page_number", "i.*")
+    return rows.withColumn("data", F.when(F.col("format") == "jpeg", F.col("data")))
+
+
+def _links(pictures: DataFrame) -> DataFrame:
+    path = F.concat(F.lit("assets/"), images.filename())
+    return pictures.where("data is not null").select("doc_id", "page_number", "image_no", render.image_link(path, F.concat(F.lit("../"), path)).alias("link"))
+
+
 def rendered(a: Analysis, options: Options = Options()) -> DataFrame:
     """Output files of an analysis: ``doc_id, path, content``."""
     parts = render.chapter_content(a.bodies, a.chapters, chapters.ranges(a.chapters, a.pages) if options.whole_chapters else None)
-    content = render.complete_content(render.page_blocks(a.pages, a.bodies))
+    rows = a.pages.select("doc_id", "page_number", F.posexplode("tables").alias("table_no", "rows"))
+    content = render.complete_content(render.page_blocks(a.pages, a.bodies, tables.cells_from_rows(rows), _links(pictures_of(a.pages))))
     return render.documents(a.files, a.pages, a.summaries, content, edges.formatted(a.edge_texts), parts)
 
 
@@ -98,7 +110,7 @@ def convert(spark: SparkSession, source: str, output: str, resume: bool = False,
     listed = found.select("path", "sha256").withColumn("doc_id", F.xxhash64("path"))
     a = analyze(listed.select("doc_id", "path"), pages.where("page_number > 0"), options)
     folder = listed.select("doc_id", file_source.stem("path").alias("folder"))
-    out = rendered(a, options).join(folder, "doc_id").select(F.concat("folder", F.lit("_md/"), "path").alias("path"), "content")
+    out = rendered(a, options).select("doc_id", "path", F.col("content").cast("binary").alias("content")).unionByName(images.output_files(pictures_of(pages))).join(folder, "doc_id").select(F.concat("folder", F.lit("_md/"), "path").alias("path"), "content")
     sinks.write_files(out, output)
     sinks.append_manifest(sinks.progress(pages.join(listed.select("path", "sha256"), "path")), manifest)
     return sinks.results(pages)

