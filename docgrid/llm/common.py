@@ -33,48 +33,69 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: Tables that this process has written to the shared folder.
+_written: list[str] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: the rows, written as Parquet to the shared folder and read again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docgrid/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that :func:`saved` has written so far; results not read yet may still need them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 #: Bits of a Bloom filter: 16 for each id, within these bounds; what is broadcast is 16 MB at most.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 
 
-def among(df: DataFrame, column: str, ids: DataFrame, n: int | None = None) -> DataFrame:
-    """Rows of df whose long `column` may be one of ids (its first column): all of those that are, and about one in seventy of the others.
+def among(df: DataFrame, columns: str | list[str], ids: DataFrame, n: int | None = None) -> DataFrame:
+    """Rows of df of which a long column may be one of ids (its one column): all that are, and about one in seventy of the others for each column.
 
     A Bloom filter, put together by the executors and sent as a bitmap of
     bounded size, so that a semi join of a few ids with a large table needn't
-    shuffle the table.  n: about how many ids there are, if known; ids may repeat.
-    With more ids than the bitmap is made for it lets more
-    rows through, and stays right.
+    shuffle the table.  Values are hashes already, whose bits serve as they are.
+    n: about how many ids there are, if known; ids may repeat.  With more ids
+    than the bitmap is made for it lets more rows through, and stays right.
     """
     spark = df.sparkSession
+    columns = [columns] if isinstance(columns, str) else columns
     (name,) = ids.columns
     n = ids.count() if n is None else n
     bits = LEAST_BITS
     while bits < min(16 * n, MOST_BITS):
         bits *= 2
-    places = lambda c: F.array(F.xxhash64(c).bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(F.xxhash64(c), 36).bitwiseAND(F.lit(bits - 1)))
-    words = ids.select(F.explode(places(name)).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("m"))
+    places = F.array(F.col(name).bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(name, 36).bitwiseAND(F.lit(bits - 1)))
+    words = ids.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("m"))
     bitmap = np.zeros(bits // 64, dtype=np.uint64)
     found = words.toArrow()
     bitmap[found["w"].to_numpy()] = found["m"].to_numpy().view(np.uint64)
     sent = spark.sparkContext.broadcast(bitmap)
 
-    def test(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in batches:
-            a, b = (x.to_numpy().astype(np.uint64) for x in (a, b))
-            hit = lambda x: (sent.value[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1)
-            yield pd.Series((hit(a) & hit(b)).astype(bool))
-
-    a, b = (places(column)[i] for i in (0, 1))
-    return df.where(F.col(column).isNotNull()).where(F.pandas_udf(test, "boolean")(a, b))
+    def held(x: np.ndarray) -> np.ndarray:
+        x = x & np.uint64(bits - 1)
+        return (sent.value[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1)
+
+    def test(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for series in batches:
+            series = series if isinstance(series, tuple) else (series,)  # a single column comes bare
+            hit = np.zeros(len(series[0]), dtype=bool)
+            for s in series:
+                x = s.to_numpy().view(np.uint64)
+                hit |= (held(x) & held(x >> np.uint64(36))).astype(bool)
+            yield pd.Series(hit)
+
+    whole = [F.coalesce(F.col(c), F.lit(0)) for c in columns]
+    return df.where(F.coalesce(*(F.col(c) for c in columns)).isNotNull()).where(F.pandas_udf(test, "boolean")(*whole))
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:

@@ -30,16 +30,18 @@ SMALL, BLOCK = 12, 1024
 
 def linked(
     banded: DataFrame,
+    bands: list[str],
     texts: Callable[[DataFrame, int], DataFrame],
     bags: Callable[[list[str]], Segments],
     counted: bool,
     least: float,
     near: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+    hold: bool = False,
 ) -> DataFrame:
     """``node, component`` of the texts that have a near duplicate.
 
-    banded: ``id long, bands array<long>``, a row for each text, copies of a
-    text sharing its id.  texts: gives ``id, text`` of the ids asked for, once
+    banded: ``id long`` and a long key for each of `bands`, null for texts that
+    have none; a row for each text, copies of a text sharing its id.  texts: gives ``id, text`` of the ids asked for, once
     each, and maybe of a few others; it gets the ids, with repeats, and about how
     many they are.  bags: shingles of texts, compared as multisets if counted, near from
     a Jaccard similarity of `least`.  near: may drop pairs that can't be (an
@@ -53,10 +55,14 @@ def linked(
     held in one place, no group is multiplied out into pairs, and no component
     misses a link that its buckets hold.
     """
-    rows = banded.select("id", F.explode("bands").alias("key"))
+    spread = lambda some: some.select("id", F.explode(F.array(*bands)).alias("key")).where("key is not null")
+    rows = spread(banded)
     low = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
     low = saved(low, "shared-keys")
-    entries = saved(among(rows, "key", low.select("key")).join(low, "key").select("key", "id", "first").distinct(), "buckets")
+    entries = saved(spread(among(banded, bands, low.select("key"))).join(low, "key").select("key", "id", "first").distinct(), "buckets")
+    if hold:
+        kept = saved(texts(entries.select("id"), entries.count()), "texts")
+        texts = lambda ids, n: kept.join(ids.distinct(), "id", "left_semi")
     stars = entries.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     edges = saved(_verified(near(stars), texts, bags, counted, least), "links")
     comp = components(edges)

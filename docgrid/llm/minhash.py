@@ -18,6 +18,7 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Registers of a signature, and how they are banded: 25 bands of 5 find a pair of similarity 0.8 with 0.99995.
 REGISTERS, BANDS, BAND_ROWS = 128, 25, 5
+BAND_NAMES = [f"b{i}" for i in range(BANDS)]
 #: A pair whose signatures agree on fewer registers than this is not verified: 4 standard deviations below 0.8.
 LEAST_AGREEING = math.floor(REGISTERS * (SIMILARITY - 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / REGISTERS)))
 #: Words whose hashes a worker remembers.
@@ -129,9 +130,10 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         some = np.isfinite(sig).all(axis=1)
         keys = band_keys(sig)
         short = (mixed(sig.view(np.uint64)) >> U(48)).astype("<u2")
-        yield pd.DataFrame(
-            {"doc_id": b["doc_id"], "id": b["id"], "sig": [x.tobytes() for x in short], "bands": [k if s else k[:0] for k, s in zip(keys, some)]}
-        )
+        out = {"doc_id": b["doc_id"], "id": b["id"], "sig": [x.tobytes() for x in short]}
+        for i, name in enumerate(BAND_NAMES):
+            out[name] = pd.Series(keys[:, i], dtype="Int64").where(some)
+        yield pd.DataFrame(out)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,7 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     own = own.withColumn("id", F.xxhash64("text"))
-    signed = saved(own.select("doc_id", "id", "text").mapInPandas(_signed, "doc_id long, id long, sig binary, bands array<long>"), "signatures")
+    signed = saved(own.select("doc_id", "id", "text").mapInPandas(_signed, "doc_id long, id long, sig binary, " + ", ".join(f"{c} long" for c in BAND_NAMES)), "signatures")
 
     def texts(ids: DataFrame, n: int) -> DataFrame:
         return among(own.select("id", "text"), "id", ids, n).groupBy("id").agg(F.min("text").alias("text"))
@@ -167,7 +169,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         return both.select("a", "b", "sa", "sb").mapInPandas(agreeing, "a long, b long")
 
-    comp = linked(signed.select("id", "bands"), texts, shingles, True, SIMILARITY, near)
+    comp = linked(signed.select("id", *BAND_NAMES), BAND_NAMES, texts, shingles, True, SIMILARITY, near)
     rows = signed.select("doc_id", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     heads = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     return rows.join(heads, "component").select("doc_id", F.col("id").alias("text_hash"), "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))

@@ -480,3 +480,22 @@ def test_large_buckets_are_compared_whole(spark):
             root[max(find(a), find(b))] = min(find(a), find(b))
     got = {x.doc_id: x.class_id for x in minhash.near_duplicates(docs(spark, texts)).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_among_keeps_all_and_few_others(spark):
+    df = spark.range(100_000).selectExpr("id", "xxhash64(id) as h", "if(id % 3 = 0, null, xxhash64(id + 7)) as g")
+    ids = spark.range(0, 100_000, 40).selectExpr("xxhash64(id) as k")
+    got = {r.id for r in common.among(df, "h", ids.union(ids)).collect()}
+    assert {*range(0, 100_000, 40)} <= got and len(got) < 2500 + 4000
+    both = {r.id for r in common.among(df, ["h", "g"], ids).collect()}
+    assert got <= both and {i for i in range(100_000) if i % 3 and (i + 7) % 40 == 0 and i + 7 < 100_000} <= both
+    assert common.among(df, "h", ids.limit(0)).count() == 0
+
+
+def test_saved_tables_can_be_cleared(spark):
+    import os
+
+    path = common.saved(spark.range(3), "t").inputFiles()[0].removeprefix("file:").replace("//", "/")
+    assert os.path.exists(path)
+    common.clear(spark)
+    assert not os.path.exists(path)
