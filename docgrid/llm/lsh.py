@@ -25,7 +25,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 #: Members of a bucket that are paired by a join; larger buckets are compared in blocks of BLOCK members.
-SMALL, BLOCK = 12, 1024
+SMALL, BLOCK = 12, 512
+#: Characters of texts that are shingled at once; a longer text is taken alone.
+SLICE_CHARS = 400_000
 
 
 def linked(
@@ -88,8 +90,10 @@ def _verified(pairs: DataFrame, texts: Callable, bags: Callable, counted: bool,
     known = texts(both_ends(pairs), 2 * n)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.loc[similar(b["left"].tolist(), b["right"].tolist(), bags, counted, least), ["a", "b"]]
+        for batch in batches:
+            for part in slices((batch["left"].str.len() + batch["right"].str.len()).to_numpy()):
+                b = batch.iloc[part]
+                yield b.loc[similar(b["left"].tolist(), b["right"].tolist(), bags, counted, least), ["a", "b"]]
 
     both = pairs.join(known.select(F.col("id").alias("a"), F.col("text").alias("left")), "a").join(
         known.select(F.col("id").alias("b"), F.col("text").alias("right")), "b"
@@ -97,6 +101,18 @@ def _verified(pairs: DataFrame, texts: Callable, bags: Callable, counted: bool,
     return both.select("a", "b", "left", "right").mapInPandas(verify, "a long, b long")
 
 
+def slices(sizes: np.ndarray) -> Iterator[slice]:
+    """Runs of texts of SLICE_CHARS characters at most, or of one longer text."""
+    start, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and total + n > SLICE_CHARS:
+            yield slice(start, i)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
 def both_ends(pairs: DataFrame) -> DataFrame:
     """``id``: the ends of pairs (a, b), with repeats."""
     return pairs.select(F.explode(F.array("a", "b")).alias("id"))
@@ -119,8 +135,9 @@ def _in_blocks(members: DataFrame, texts: Callable, bags: Callable, counted: boo
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = bags(b["text"].tolist())
-            yield pd.DataFrame({"id": b["id"], "bag": [own.packed(i, counted) for i in range(len(b))]})
+            for part in slices(b["text"].str.len().to_numpy()):
+                own = bags(b["text"].iloc[part].tolist())
+                yield pd.DataFrame({"id": b["id"].iloc[part], "bag": [own.packed(i, counted) for i in range(part.stop - part.start)]})
 
     known = texts(members.select("id"), count).mapInPandas(profile, "id long, bag binary")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")

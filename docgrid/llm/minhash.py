@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import among, saved, small_batches
-from .lsh import Segments, both_ends, linked, mixed
+from .lsh import Segments, both_ends, linked, mixed, slices
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -22,7 +22,7 @@ BAND_NAMES = [f"b{i}" for i in range(BANDS)]
 #: A pair whose signatures agree on fewer registers than this is not verified: 4 standard deviations below 0.8.
 LEAST_AGREEING = math.floor(REGISTERS * (SIMILARITY - 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / REGISTERS)))
 #: Words whose hashes a worker remembers.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 100_000
 U = np.uint64
 
 
@@ -124,16 +124,17 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.
 
 
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        bags = shingles(b["text"].tolist())
-        sig = bag_minhash(bags, len(b))
-        some = np.isfinite(sig).all(axis=1)
-        keys = band_keys(sig)
-        short = (mixed(sig.view(np.uint64)) >> U(48)).astype("<u2")
-        out = {"doc_id": b["doc_id"], "id": b["id"], "sig": [x.tobytes() for x in short]}
-        for i, name in enumerate(BAND_NAMES):
-            out[name] = pd.Series(keys[:, i], dtype="Int64").where(some)
-        yield pd.DataFrame(out)
+    for batch in batches:
+        for part in slices(batch["text"].str.len().to_numpy()):
+            b = batch.iloc[part]
+            sig = bag_minhash(shingles(b["text"].tolist()), len(b))
+            some = np.isfinite(sig).all(axis=1)
+            keys = band_keys(sig)
+            short = (mixed(sig.view(np.uint64)) >> U(48)).astype("<u2")
+            out = {"doc_id": b["doc_id"].to_numpy(), "id": b["id"].to_numpy(), "sig": [x.tobytes() for x in short]}
+            for i, name in enumerate(BAND_NAMES):
+                out[name] = pd.Series(keys[:, i], dtype="Int64").where(some)
+            yield pd.DataFrame(out)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -499,3 +499,17 @@ def test_saved_tables_can_be_cleared(spark):
     assert os.path.exists(path)
     common.clear(spark)
     assert not os.path.exists(path)
+
+
+def test_null_ids_are_carried_along(spark):
+    df = spark.createDataFrame([(None, "one two three four five six seven", 1), (7, "one two three four five six seven", 1), (None, None, 2)], "doc_id long, text string, id int")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    ids = lambda rows: sorted(str(r.doc_id) for r in rows.collect())
+    want = ["7", "None", "None"]
+    assert ids(minhash.near_duplicates(df)) == ids(bpe.digests(df, PATH)) == ids(quality.quality(df)) == ids(pii.personal_data(df)) == ids(toxicity.toxic_documents(df, none)) == want
+    assert ids(packing.packed(df, PATH).where("start = 0")) == want
+    assert sorted(str(r.class_id) for r in minhash.near_duplicates(df).collect()) == want[:1] * 2 + ["None"]
+    assert ids(linededup.repeated_lines(df)) == want[:2] and linededup.without_repeats(df).count() == 2
+    vectors = spark.createDataFrame([(None, [1.0, 2.0], 1), (3, [1.0, 2.0], 1)], "vec_id long, embedding array<float>, label int")
+    assert sorted((str(r.vec_id), r.n_links) for r in embdedup.near_vectors(vectors).collect()) == [("3", 0), ("None", 0)]
+    assert topk.quantised(vectors).count() == 1
