@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import chapters, edges, elements, headers, images, layout, render, sinks, summary, tables
 from ..sources import files as file_source
 from ..sources import pdf
+from .materialise import materialised
 
 
 @dataclass(frozen=True)
@@ -55,16 +56,16 @@ def words_of(pages: DataFrame) -> DataFrame:
 
 def analyze(files: DataFrame, pages: DataFrame, options: Options = Options()) -> Analysis:
     """All analyses of pages read by :func:`docgrid.sources.pdf.read_pages`; files: doc_id, path."""
-    words = words_of(pages)
+    words = materialised(words_of(pages), "words")
     if options.use_words:
         own = words.select("doc_id", "page_number", "seq", "text", "x0", F.col("top").alias("y0"), "x1", F.col("bottom").alias("y1"), "font_size", "is_bold")
     else:
         own = elements.elements_from_chars(pages)
-    own = elements.merge_adjacent(elements.adaptive_order(own))
+    own = materialised(elements.merge_adjacent(elements.adaptive_order(own)), "elements")
     sized = pages.where("width is not null")
     layouts = layout.analyze(words, sized)
     margin = layout.edge_words(words, sized)
-    bodies = elements.body_text(pages, own, margin)
+    bodies = materialised(elements.body_text(pages, own, margin), "bodies")
     stats = elements.text_statistics(pages, own)
     found = chapters.boundaries(own, sized, layouts, options.outline)
     texts = edges.extracted(margin, sized)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .operators import chapters, edges, elements, headers, images, layout, ocr, render, sinks, summary, tables
 from .plans import synth
+from .plans.materialise import materialised
 from .sources import files as file_source
 
 PAGE = elements.PAGE
@@ -676,9 +677,14 @@ def _(t):
 
 @_query("documents")
 def _(t):
-    content = render.complete_content(render.page_blocks(t.pages, t.bodies))
-    parts = render.chapter_content(t.bodies, t.boundaries)
-    return render.documents(t.files, t.pages, t.summaries, content, edges.formatted(t.edge_texts), parts)
+    t.words = materialised(t.words, "words")  # read by regions, elements and edges: made from the texts once
+    t.elements = materialised(synth.elements(t.words), "elements")
+    t.pages = synth.pages(t.elements)
+    found, bodies = materialised(t.boundaries, "boundaries"), materialised(t.bodies, "bodies")
+    items = summary.items(t.elements, t.pages, bodies, t.edge_words)
+    summaries = summary.summaries(items, bodies, t.statistics, t.files)
+    content = render.complete_content(render.page_blocks(t.pages, bodies))
+    return render.documents(t.files, t.pages, summaries, content, edges.formatted(t.edge_texts), render.chapter_content(bodies, found))
 
 
 @_query("file_sha256", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
