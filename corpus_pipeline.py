@@ -16,7 +16,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fuzzily repeated lines stay in their first document only; documents left with nothing go."""
-    return linededup.without_repeats(docs)
+    return linededup.without_repeats(docs, **linededup.FULL)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,7 +47,8 @@ def linked(
     each, and maybe of a few others; it gets the ids, with repeats, and about how
     many they are.  bags: shingles of texts, compared as multisets if counted, near from
     a Jaccard similarity of `least`.  near: may drop pairs that can't be (an
-    estimate that keeps recall).
+    estimate that keeps recall).  hold: texts are short, so those of all buckets
+    are kept as a table, and blocks are sent texts, not their shingles.
 
     First each member of a bucket is verified against the bucket's smallest id,
     which brings the members of dense groups into few components.  Only buckets
@@ -75,7 +76,7 @@ def linked(
     x = some.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
     y = some.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
     rest = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    more = saved(_verified(near(rest), texts, bags, counted, least).unionByName(_in_blocks(open_.where(F.col("n") > SMALL), texts, bags, counted, least)), "links")
+    more = saved(_verified(near(rest), texts, bags, counted, least).unionByName(_in_blocks(open_.where(F.col("n") > SMALL), texts, bags, counted, least, hold)), "links")
     if more.isEmpty():
         return comp
     return components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
@@ -127,26 +128,30 @@ def similar(left: list[str], right: list[str], bags: Callable, counted: bool, le
     return np.array([own.overlap(i, j, counted) >= least for i, j in zip(a, b)], dtype=bool)
 
 
-def _in_blocks(members: DataFrame, texts: Callable, bags: Callable, counted: bool, least: float) -> DataFrame:
-    """Links (a, b) that join the components of buckets (key, id, component, n), all members of a bucket compared."""
+def _in_blocks(members: DataFrame, texts: Callable, bags: Callable, counted: bool, least: float, short: bool) -> DataFrame:
+    """Links (a, b) that join the components of buckets (key, id, component, n), all members of a bucket compared; short texts are shingled where they are compared."""
     count = members.count()
     if not count:
         return members.select(F.col("id").alias("a"), F.col("id").alias("b"))
 
+    def profiles(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for part in slices(b["text"].str.len().to_numpy()):
+            own = bags(b["text"].iloc[part].tolist())
+            yield pd.DataFrame({"id": b["id"].iloc[part], "bag": [own.packed(i, counted) for i in range(part.stop - part.start)]})
+
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for part in slices(b["text"].str.len().to_numpy()):
-                own = bags(b["text"].iloc[part].tolist())
-                yield pd.DataFrame({"id": b["id"].iloc[part], "bag": [own.packed(i, counted) for i in range(part.stop - part.start)]})
+            yield from profiles(b)
 
-    known = texts(members.select("id"), count).mapInPandas(profile, "id long, bag binary")
+    known = texts(members.select("id"), count)
+    known = known if short else known.mapInPandas(profile, "id long, bag binary")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "component").join(known, "id")
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
         ids, group = b["id"].to_numpy(), b["component"].to_numpy()
-        lists = [np.frombuffer(x, dtype="<u8") for x in b["bag"]]
+        lists = [np.frombuffer(x, dtype="<u8") for x in (pd.concat(profiles(b)) if short else b)["bag"]]
         size = np.array([len(x) for x in lists], dtype=np.int64)
         owner = np.repeat(np.arange(len(lists)), size)
         _, term, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)

@@ -42,7 +42,7 @@ def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.repeated_lines(_table(spark, sf_dir, "documents"))
+    return linededup.repeated_lines(_table(spark, sf_dir, "documents"), **linededup.FULL)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

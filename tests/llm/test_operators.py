@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from docgrid.llm import bpe, common, embdedup, linededup, minhash, packing, pii, quality, queries, topk, toxicity, warc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -288,6 +289,27 @@ def test_line_dedup_awkward(spark):
     assert all(r.kept == (r.doc_id < len(AWKWARD)) for r in got if r.doc_id in (6, len(AWKWARD)))
 
 
+def test_line_query_and_stage_compare_runs_of_five(spark, tmp_path):
+    g = random.Random(5)
+    line = "".join(g.choice("abcdefghijklmnop") for _ in range(60))
+    other = line[:30] + "z" + line[31:]
+    five, seven = (len(runs(line, n) & runs(other, n)) / len(runs(line, n) | runs(other, n)) for n in (5, 7))
+    assert seven < 0.8 <= five
+    df = docs(spark, [line, other, "".join(g.choice("qrstuvwx") for _ in range(60))])
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.kept for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()} == {0: True, 1: False, 2: True}
+    assert {r.doc_id for r in corpus_pipeline.drop_repeated_lines(spark, df, str(tmp_path)).collect()} == {0, 2}
+
+
+def test_line_bands_find_near_lines():
+    g = random.Random(6)
+    left = ["".join(g.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(49)) for _ in range(4000)]
+    right = [x[:24] + "#" + x[25:] for x in left]
+    near = [len(runs(x, 5) & runs(y, 5)) >= 0.8 * len(runs(x, 5) | runs(y, 5)) for x, y in zip(left, right)]
+    a, b = linededup.line_bands(left, 5), linededup.line_bands(right, 5)
+    assert sum(near) > 3900 and (a == b).any(axis=1)[near].mean() >= 0.994
+
+
 # 7 BPE
 
 
