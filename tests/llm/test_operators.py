@@ -301,6 +301,21 @@ def test_line_query_and_stage_compare_runs_of_five(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.drop_repeated_lines(spark, df, str(tmp_path)).collect()} == {0, 2}
 
 
+def test_line_query_and_stage_group_short_lines_exactly(spark, tmp_path):
+    texts = ["a\nPage 1 of  2\n" + "q" * 19, "page 1 of 2\n\n  \nPage 2 of 2", "A \nown words", "q" * 19 + "\nq", None, "", "page 1 of 2"]
+    df = docs(spark, texts)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op6_line_dedup(spark, str(tmp_path)).collect()
+    lines = {(i, k): line_key(x) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if line_key(x)}
+    first = {}
+    for at in sorted(lines):
+        first.setdefault(lines[at], at)
+    assert len(got) == len(lines) and {(r.doc_id, r.line_no): r.kept for r in got} == {at: first[x] == at for at, x in lines.items()}
+    assert len({(lines[r.doc_id, r.line_no], r.component) for r in got}) == len({r.component for r in got}) == len(first)
+    left = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, df, str(tmp_path)).collect()}
+    assert left == {0: texts[0], 1: "\n  \nPage 2 of 2", 2: "own words", 3: "q", 4: None, 5: ""}
+
+
 def test_line_bands_find_near_lines():
     g = random.Random(6)
     left = ["".join(g.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(49)) for _ in range(4000)]
