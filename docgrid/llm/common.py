@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docgrid-"))
         found = spark.sparkContext.getCheckpointDir()
@@ -33,6 +35,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, no_id, text``: ids and texts as Python takes them; a null id is 0 with no_id beside it, since pandas would round a batch's ids to floats for its sake, and a null text is empty."""
+    own = F.col(id_col).cast("long")
+    return docs.select(F.coalesce(own, F.lit(0)).alias("doc_id"), own.isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def ids_of(b: pd.DataFrame) -> pd.api.extensions.ExtensionArray:
+    """The ids of a batch of :func:`keyed` rows as whole numbers and nulls."""
+    return pd.arrays.IntegerArray(b["doc_id"].to_numpy(dtype=np.int64, copy=True), b["no_id"].to_numpy(dtype=bool, copy=True))
+
+
 #: Tables that this process has written to the shared folder.
 _written: list[str] = []
 
@@ -98,6 +111,27 @@ def among(df: DataFrame, columns: str | list[str], ids: DataFrame, n: int | None
     return df.where(F.coalesce(*(F.col(c) for c in columns)).isNotNull()).where(F.pandas_udf(test, "boolean")(*whole))
 
 
+#: Rows of one key from which on they are dealt to SALTS tasks, if they are more than a thousandth of all rows too.
+HOT_ROWS, SALTS = 256, 32
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame, total: int, how: str = "inner", by: list[str] | None = None) -> DataFrame:
+    """many joined with one on a key that one holds once at most, hot keys being dealt to several tasks.
+
+    counts: the key and ``n``, how many rows of many have it (others may be left
+    out); total: rows of many.  Keys with more than a thousandth of all rows are
+    hot: there can't be more than a thousand, so they are sent to all tasks.
+    Their rows in many get a salt by a hash of the columns `by` (all, if None),
+    their row in one is repeated for each salt.  how: inner or left.
+    """
+    hot = F.broadcast(counts.where(F.col("n") > max(total // 1000, HOT_ROWS)).select(key, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*(by or many.columns)), F.lit(SALTS)).cast("int")).otherwise(0)
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = many.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    right = one.join(hot, key, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components of an undirected graph of long nodes, by alternating large-star and small-star rounds.
 
@@ -107,22 +141,59 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     ``node, component`` for each node of an edge between two different nodes;
     loops, null ends and repeated edges have no effect; no edges give no rows.
     Per-node minima are combined before the shuffle, and hubs are only ever
-    joined with one row, so a hub's edges can be split among tasks.
+    joined with one row, so a hub's edges are dealt to several tasks.
     """
     a, b = F.col(left), F.col(right)
-    now = saved(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(a.isNotNull() & b.isNotNull() & (a != b)).distinct(), "edges")
+    some = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(a.alias("u"), b.alias("v"))
+    now = saved(some.mapInPandas(_joined, "u long, v long").distinct(), "edges")
     while not _stars(now):
+        n = now.count()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = spread_join(both.where("v > u"), low.select("u", "m"), "u", low, 2 * n)
+        large = saved(large.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, low.select("u", "m"), "u", low, n)
+        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
 
 
+#: Edges that a task unites at once.
+EDGES = 1 << 19
+
+
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find over EDGES edges at a time: an edge (u, v) from each node to the smallest of its component there."""
+    held: list[np.ndarray] = []
+    size = 0
+    for b in batches:
+        held.append(b[["u", "v"]].to_numpy(dtype=np.int64))
+        size += len(b)
+        if size >= EDGES:
+            yield _united(np.concatenate(held))
+            held, size = [], 0
+    if size:
+        yield _united(np.concatenate(held))
+
+
+def _united(edges: np.ndarray) -> pd.DataFrame:
+    ids, place = np.unique(edges.T.ravel(), return_inverse=True)
+    left, right = np.split(place, 2)
+    root = np.arange(len(ids))
+    while True:  # hook and jump until both ends of every edge have one root
+        x, y = root[left], root[right]
+        if (x == y).all():
+            break
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    more = root != np.arange(len(ids))
+    return pd.DataFrame({"u": ids[more], "v": ids[root[more]]})
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether each node u has one edge and no v is a u: all nodes point at the head of their component."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("head")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("head")))).alias("e"))

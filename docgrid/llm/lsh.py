@@ -1,15 +1,18 @@
-"""Near-duplicate linking from band keys: candidates by bucket, exact verification, union-find."""
+"""Near-duplicate linking: band keys dealt to buckets, pairs with near sketches, exact verification, union-find."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, components, saved
+from .common import components, saved, spread_join
 
 #: Multipliers and shifts of a 64-bit finaliser (fixed values).
 MIX_A, MIX_B, MIX_C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -24,59 +27,256 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> S31)
 
 
-#: Members of a bucket that are paired by a join; larger buckets are compared in blocks of BLOCK members.
-SMALL, BLOCK = 12, 512
+#: Texts of one key that are paired with each other at once; more are split by their sketches, up to SPLIT of them, or linked to one of them first.
+SMALL, SPLIT = 16, 2048
+#: Entries that a task sorts before it hands them on, and texts of one key among them from which on only one of them is handed on.
+CHUNK, HOT = 1 << 20, 64
+#: Bytes of input for one bucket of entries, and how many buckets there may be.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 8 << 20, 8, 1 << 20
+#: Members and characters of a block; a task compares two blocks.
+BLOCK, BLOCK_CHARS = 512, 4_000_000
 #: Characters of texts that are shingled at once; a longer text is taken alone.
 SLICE_CHARS = 400_000
+#: Bits of a sketch; the lowest bit of its word says that the text stands for others of its key.
+SKETCH_BITS = 63
+#: One text under one key, within a bucket.
+ENTRY = np.dtype([("key", "<u4"), ("id", "<i8"), ("sketch", "<u8")])
+#: One text b of a key with many, a being the text it may be near, or b itself.
+MEMBER = np.dtype([("key", "<i8"), ("a", "<i8"), ("b", "<i8")])
+U = np.uint64
+
+
+def farthest(least: float, miss: float = 1e-3) -> int:
+    """Bits in which two sketches may differ: a pair of similarity `least` differs in more with probability `miss` at most."""
+    p, within, d = (1 - least) / 2, 0.0, -1
+    while within < 1 - miss:
+        d += 1
+        within += comb(SKETCH_BITS, d) * p**d * (1 - p) ** (SKETCH_BITS - d)
+    return d
+
+
+def sketches(bits: np.ndarray) -> np.ndarray:
+    """The sketch of each row of SKETCH_BITS zeros and ones, one from each register of a signature."""
+    word = np.zeros(len(bits), dtype=U)
+    for i in range(SKETCH_BITS):
+        word |= bits[:, i].astype(U) << U(i + 1)
+    return word
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((x ^ y) >> U(1))
+
+
+class Dealer:
+    """Entries of a task's texts, sorted by bucket and key in chunks."""
+
+    def __init__(self, buckets: int, far: int):
+        self.buckets, self.far = buckets, far
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+        self.turn = TaskContext.get().partitionId() if TaskContext.get() else 0
+
+    def add(self, ids: np.ndarray, keys: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+        """ids: int64; keys: a row of uint64 band keys for each; sketch: uint64."""
+        self.parts.append((ids, keys, sketch))
+        self.size += keys.size
+        if self.size >= CHUNK:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[tuple[int, bytes, bytes]]:
+        """(bucket, entries, members) for each bucket that has some."""
+        if not self.size:
+            return
+        ids, keys, sketch = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts, self.size = [], 0
+        ids, at = np.unique(ids, return_index=True)
+        keys, sketch = keys[at], sketch[at]
+        bands = keys.shape[1]
+        flat = keys.ravel()
+        place = ((flat >> U(32)) % U(self.buckets) << U(32)) | (flat & U(0xFFFFFFFF))
+        order = np.argsort(place)
+        place, text = place[order], order // bands
+        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        size = np.diff(np.append(first, len(place)))
+        stay = np.ones(len(place), dtype=bool)
+        flag = np.zeros(len(place), dtype=U)
+        many = []
+        for g in np.flatnonzero(size > HOT):
+            run = slice(first[g] + 1, first[g] + size[g])
+            text[first[g] : first[g] + size[g]].sort()  # texts are numbered by their ids: the smallest one goes on
+            head = text[first[g]]
+            stay[run], flag[first[g]] = False, 1
+            m = np.empty(size[g] - 1, dtype=MEMBER)
+            m["key"], m["b"] = _whole(place[first[g]]), ids[text[run]]
+            m["a"] = np.where(_apart(sketch[text[run]], sketch[head]) <= self.far, ids[head], m["b"])
+            many.append(m.tobytes())
+        place, text, flag = place[stay], text[stay], flag[stay]
+        out = np.empty(len(place), dtype=ENTRY)
+        out["key"], out["id"], out["sketch"] = (place & U(0xFFFFFFFF)).astype(np.uint32), ids[text], sketch[text] | flag
+        bucket = (place >> U(32)).astype(np.int64)
+        begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(place)]):
+            yield int(bucket[a]), out[a:b].tobytes(), b""
+        if many:
+            self.turn += 1
+            yield self.turn % self.buckets, b"", b"".join(many)
+
+
+def _whole(place: np.ndarray) -> np.ndarray:
+    """The key's name outside its bucket."""
+    return mixed(np.atleast_1d(place)).view(np.int64)
+
+
+def paired(bucket: int, e: np.ndarray, far: int) -> np.ndarray:
+    """MEMBER rows of a bucket's entries: pairs (key 0) whose sketches are near, and the members of keys with many texts."""
+    order = np.argsort(e["key"])  # most keys have one entry, which matters only if it stands for others
+    key = e["key"][order]
+    same = key[1:] == key[:-1]
+    e = e[order[np.concatenate((same, [False])) | np.concatenate(([False], same)) | (e["sketch"][order] & U(1)).astype(bool)]]
+    if not len(e):
+        return np.empty(0, dtype=MEMBER)
+    e = e[np.lexsort((e["id"], e["key"]))]
+    same = np.concatenate(([False], (e["key"][1:] == e["key"][:-1]) & (e["id"][1:] == e["id"][:-1])))
+    hot = np.unique(e["key"][(e["sketch"] & U(1)).astype(bool)])
+    e = e[~same]
+    first = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1])))
+    size = np.diff(np.append(first, len(e)))
+    flagged = np.isin(e["key"][first], hot)
+    out = []
+    few = np.repeat((size > 1) & (size <= SMALL) & ~flagged, size)
+    ids, sketch, key = e["id"][few], e["sketch"][few], e["key"][few]
+    for s in range(1, SMALL):
+        both = np.flatnonzero(key[s:] == key[:-s])
+        if not len(both):
+            break
+        both = both[_apart(sketch[both], sketch[both + s]) <= far]
+        out.append(_rows(0, ids[both], ids[both + s]))
+    for g in np.flatnonzero((size > SMALL) | flagged):
+        run = slice(first[g], first[g] + size[g])
+        ids, sketch = e["id"][run], e["sketch"][run]
+        name = U(bucket) << U(32) | U(e["key"][first[g]])
+        if flagged[g] or size[g] > SPLIT:
+            out.append(_star(name, ids, sketch, far))
+            continue
+        near = _apart(sketch[:, None], sketch[None, :]) <= far
+        label = np.arange(len(ids))
+        while True:  # texts whose sketches are near, directly or by way of others
+            low = np.where(near, label[None, :], len(ids)).min(axis=1)
+            if (low == label).all():
+                break
+            label = low
+        for head in np.flatnonzero(np.bincount(label, minlength=len(ids)) > 1):
+            own = np.flatnonzero(label == head)
+            if len(own) > SMALL:
+                out.append(_star(name ^ mixed(np.array([head], dtype=U))[0], ids[own], sketch[own], far))
+            else:
+                i, j = np.nonzero(np.triu(near[np.ix_(own, own)], 1))
+                out.append(_rows(0, ids[own[i]], ids[own[j]]))
+    return np.concatenate(out) if out else np.empty(0, dtype=MEMBER)
+
+
+def _rows(key: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a), dtype=MEMBER)
+    out["key"], out["a"], out["b"] = key, a, b
+    return out
+
+
+def _star(name: np.uint64, ids: np.ndarray, sketch: np.ndarray, far: int) -> np.ndarray:
+    """Members of a key with many texts, those whose sketches are near the first one's as pairs with it."""
+    return _rows(_whole(name)[0], np.where(_apart(sketch, sketch[0]) <= far, ids[0], ids), ids)
+
+
+#: What a batch of rows gives: ids, band keys and sketches, and rows to be passed on as they are.
+Signed = tuple[np.ndarray, np.ndarray, np.ndarray, pd.DataFrame | None]
+
+
+def candidates(rows: DataFrame, signed: Callable[[pd.DataFrame], Iterator[Signed]], least: float, aside: str = "") -> DataFrame:
+    """``key, a, b``: pairs (a, b) of ids to be verified (key 0), and with a key, members b of keys with many texts.
+
+    Entries travel in blobs, one for each chunk and bucket, and what meets in a
+    bucket is sorted there; texts that meet under a key are paired if their
+    sketches are near enough for a similarity of `least`.  Of HOT or more texts
+    of one key in a chunk, one goes on for all, so a bucket holds no key a task
+    has many of.  aside: schema of rows of whole numbers that `signed` gives besides,
+    which come out with nulls for key, a and b; so one pass over the texts serves for both.
+    """
+    found = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = min(max(found // BUCKET_BYTES, LEAST_BUCKETS), MOST_BUCKETS) if found < 1 << 60 else 1024
+    far = farthest(least)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dealer = Dealer(buckets, far)
+        table = lambda made: pd.DataFrame(made, columns=["bucket", "entries", "members"]).assign(aside=b"")
+        for b in batches:
+            others = []
+            for *part, other in signed(b):
+                if other is not None and len(other):
+                    others.append(other)
+                yield table(dealer.add(*part))
+            if others:
+                dealer.turn += 1
+                yield table([(dealer.turn % buckets, b"", b"")]).assign(aside=pickle.dumps(pd.concat(others)))
+        yield table(dealer.flush())
+
+    def meet(g: pd.DataFrame) -> pd.DataFrame:
+        own = paired(int(g["bucket"].iloc[0]), np.frombuffer(b"".join(g["entries"]), dtype=ENTRY), far)
+        every = np.concatenate((own, np.frombuffer(b"".join(g["members"]), dtype=MEMBER)))
+        made = pd.DataFrame({c: every[c] for c in ("key", "a", "b")})
+        if not aside:
+            return made
+        parts = [made, *(pickle.loads(x) for x in g["aside"] if x)]  # nullable whole numbers throughout: floats would round ids
+        return pd.concat([pd.DataFrame({c: p[c].astype("Int64") if c in p else pd.array([pd.NA] * len(p), dtype="Int64") for c in names}) for p in parts])
+
+    schema = "key long, a long, b long" + (f", {aside}" if aside else "")
+    names = [c.split()[0] for c in schema.split(",")]
+    dealt = rows.mapInPandas(deal, "bucket int, entries binary, members binary, aside binary")
+    return dealt.groupBy("bucket").applyInPandas(meet, schema)
 
 
 def linked(
-    banded: DataFrame,
-    bands: list[str],
+    found: DataFrame,
     texts: Callable[[DataFrame, int], DataFrame],
     bags: Callable[[list[str]], Segments],
     counted: bool,
     least: float,
-    near: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
     hold: bool = False,
 ) -> DataFrame:
     """``node, component`` of the texts that have a near duplicate.
 
-    banded: ``id long`` and a long key for each of `bands`, null for texts that
-    have none; a row for each text, copies of a text sharing its id.  texts: gives ``id, text`` of the ids asked for, once
-    each, and maybe of a few others; it gets the ids, with repeats, and about how
-    many they are.  bags: shingles of texts, compared as multisets if counted, near from
-    a Jaccard similarity of `least`.  near: may drop pairs that can't be (an
-    estimate that keeps recall).  hold: texts are short, so those of all buckets
-    are kept as a table, and blocks are sent texts, not their shingles.
-
-    First each member of a bucket is verified against the bucket's smallest id,
-    which brings the members of dense groups into few components.  Only buckets
-    whose members are in different components are looked at again: small ones by
-    pairs, larger ones in pairs of blocks, whose shingles are compared in one
-    task that returns a spanning forest of the links it finds.  So no bucket is
-    held in one place, no group is multiplied out into pairs, and no component
-    misses a link that its buckets hold.
+    found: what :func:`candidates` gives, as a table.  texts: ``id, text`` of the ids asked
+    for, once each, and maybe of a few others; it gets the ids, with repeats, and
+    about how many they are.  bags: shingles of texts, compared as multisets if
+    counted, near from a Jaccard similarity of `least`.  hold: texts are short, so
+    all that are needed are kept as a table, and blocks are sent texts, not their
+    shingles.
+
+    Pairs are verified.  Of a key with many texts each was paired with one of
+    them only, which brings the members of dense groups into few components;
+    where such a key's members are in different components afterwards, they are
+    looked at again: few by pairs, more in pairs of blocks, whose shingles are
+    compared in one task that returns a spanning forest of the links it finds.
+    So no key is held in one place, no group is multiplied out into pairs, and
+    no component misses a link that its keys hold.
     """
-    spread = lambda some: some.select("id", F.explode(F.array(*bands)).alias("key")).where("key is not null")
-    rows = spread(banded)
-    low = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
-    low = saved(low, "shared-keys")
-    entries = saved(spread(among(banded, bands, low.select("key"))).join(low, "key").select("key", "id", "first").distinct(), "buckets")
+    pairs = saved(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    members = found.where("key <> 0").select("key", F.col("b").alias("id")).distinct()
+    none = members.isEmpty()
     if hold:
-        kept = saved(texts(entries.select("id"), entries.count()), "texts")
+        ids = both_ends(pairs).unionByName(members.select("id"))
+        kept = saved(texts(ids, ids.count()), "texts")
         texts = lambda ids, n: kept.join(ids.distinct(), "id", "left_semi")
-    stars = entries.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    edges = saved(_verified(near(stars), texts, bags, counted, least), "links")
-    comp = components(edges)
-    known = entries.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = known.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi and n > 2").select("key", "n")
-    open_ = saved(known.join(mixed, "key"), "open")
-    some = open_.where(F.col("n") <= SMALL).where("id <> first")
+    comp = components(saved(_verified(pairs, texts, bags, counted, least), "links"))
+    if none:
+        return comp
+    known = members.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    known = saved(known, "members")
+    mix = known.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "n")
+    open_ = saved(spread_join(known, mix, "key", mix, known.count()), "open")
+    some = open_.where(F.col("n") <= SMALL)
     x = some.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
     y = some.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    rest = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    more = saved(_verified(near(rest), texts, bags, counted, least).unionByName(_in_blocks(open_.where(F.col("n") > SMALL), texts, bags, counted, least, hold)), "links")
+    rest = saved(x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct(), "pairs")
+    more = saved(_verified(rest, texts, bags, counted, least).unionByName(_in_blocks(open_.where(F.col("n") > SMALL), texts, bags, counted, least, hold)), "links")
     if more.isEmpty():
         return comp
     return components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
@@ -84,7 +284,6 @@ def linked(
 
 def _verified(pairs: DataFrame, texts: Callable, bags: Callable, counted: bool, least: float) -> DataFrame:
     """Pairs (a, b) whose texts are near."""
-    pairs = saved(pairs, "pairs")
     n = pairs.count()
     if not n:
         return pairs.select("a", "b")
@@ -96,9 +295,10 @@ def _verified(pairs: DataFrame, texts: Callable, bags: Callable, counted: bool,
                 b = batch.iloc[part]
                 yield b.loc[similar(b["left"].tolist(), b["right"].tolist(), bags, counted, least), ["a", "b"]]
 
-    both = pairs.join(known.select(F.col("id").alias("a"), F.col("text").alias("left")), "a").join(
-        known.select(F.col("id").alias("b"), F.col("text").alias("right")), "b"
-    )
+    per = lambda c: pairs.groupBy(c).agg(F.count("*").alias("n"))
+    # by b first: rows then come by a, so that a text of many pairs is shingled once a batch
+    both = spread_join(pairs, known.select(F.col("id").alias("b"), F.col("text").alias("right")), "b", per("b"), n)
+    both = spread_join(both, known.select(F.col("id").alias("a"), F.col("text").alias("left")), "a", per("a"), n, by=["b"])
     return both.select("a", "b", "left", "right").mapInPandas(verify, "a long, b long")
 
 
@@ -129,7 +329,7 @@ def similar(left: list[str], right: list[str], bags: Callable, counted: bool, le
 
 
 def _in_blocks(members: DataFrame, texts: Callable, bags: Callable, counted: bool, least: float, short: bool) -> DataFrame:
-    """Links (a, b) that join the components of buckets (key, id, component, n), all members of a bucket compared; short texts are shingled where they are compared."""
+    """Links (a, b) that join the components of keys (key, id, component, n), all members of a key compared; short texts are shingled where they are compared."""
     count = members.count()
     if not count:
         return members.select(F.col("id").alias("a"), F.col("id").alias("b"))
@@ -137,16 +337,19 @@ def _in_blocks(members: DataFrame, texts: Callable, bags: Callable, counted: boo
     def profiles(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         for part in slices(b["text"].str.len().to_numpy()):
             own = bags(b["text"].iloc[part].tolist())
-            yield pd.DataFrame({"id": b["id"].iloc[part], "bag": [own.packed(i, counted) for i in range(part.stop - part.start)]})
+            yield pd.DataFrame({"id": b["id"].iloc[part], "size": b["size"].iloc[part], "bag": [own.packed(i, counted) for i in range(part.stop - part.start)]})
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield from profiles(b)
 
-    known = texts(members.select("id"), count)
-    known = known if short else known.mapInPandas(profile, "id long, bag binary")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    known = texts(members.select("id"), count).withColumn("size", F.length("text"))
+    known = known if short else saved(known.mapInPandas(profile, "id long, size int, bag binary"), "bags")
+    sized = members.join(known.select("id", "size"), "id")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_CHARS)).cast("int")
+    per = sized.groupBy("key").agg(blocks.alias("blocks"), F.count("*").alias("n"))
+    dealt = spread_join(members.drop("n"), per.select("key", "blocks"), "key", per.select("key", "n"), count)
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "component").join(known, "id")
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
@@ -158,21 +361,23 @@ def _in_blocks(members: DataFrame, texts: Callable, bags: Callable, counted: boo
         shared = n[term] > 1
         column = np.cumsum(n > 1) - 1
         owner, term = owner[shared], column[term[shared]]
-        both = np.zeros((len(lists), len(lists)), dtype=np.float32)
+        heads, place = np.unique(group, return_inverse=True)
+        fewer = np.flatnonzero(place != np.bincount(place).argmax())  # pairs within a component don't matter, so the largest one's members are compared with the others only
+        both = np.zeros((len(fewer), len(lists)), dtype=np.float32)
         order = np.argsort(term, kind="stable")
         owner, term = owner[order], term[order]
         for start in range(0, int((n > 1).sum()), 4096):
             lo, hi = np.searchsorted(term, [start, start + 4096])
             part = np.zeros((len(lists), 4096), dtype=np.float32)
             part[owner[lo:hi], term[lo:hi] - start] = 1
-            both += part @ part.T
-        total = size[:, None] + size[None, :] - both
-        p, q = np.nonzero(np.triu(both >= least * total, 1) & (group[:, None] != group[None, :]))
+            both += part[fewer] @ part.T
+        total = size[fewer, None] + size[None, :] - both
+        p, q = np.nonzero((both >= least * total) & (place[fewer, None] != place[None, :]))
+        p = fewer[p]
         mine = b["block"].to_numpy() == b["i"].iloc[0]
         if b["i"].iloc[0] != b["j"].iloc[0]:
             across = mine[p] != mine[q]
             p, q = p[across], q[across]
-        heads, place = np.unique(group, return_inverse=True)
         root = list(range(len(heads)))
 
         def find(v: int) -> int:
@@ -209,12 +414,17 @@ class Segments:
     def overlap(self, i: int, j: int, counted: bool) -> float:
         """Jaccard similarity of two texts, of multisets if counted; 0 where both are empty."""
         a, b = slice(self.start[i], self.start[i + 1]), slice(self.start[j], self.start[j + 1])
-        _, p, q = np.intersect1d(self.value[a], self.value[b], assume_unique=True, return_indices=True)
+        x, y = self.value[a], self.value[b]
+        if not len(x):
+            return 0.0
+        at = np.searchsorted(x, y)
+        at[at == len(x)] = 0
+        hit = x[at] == y
         if counted:
             ca, cb = self.count[a], self.count[b]
-            both, total = int(np.minimum(ca[p], cb[q]).sum()), int(ca.sum() + cb.sum())
+            both, total = int(np.minimum(ca[at[hit]], cb[hit]).sum()), int(ca.sum() + cb.sum())
         else:
-            both, total = len(p), (a.stop - a.start) + (b.stop - b.start)
+            both, total = int(np.count_nonzero(hit)), len(x) + len(y)
         return both / (total - both) if total else 0.0
 
     def packed(self, i: int, counted: bool) -> bytes:

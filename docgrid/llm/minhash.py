@@ -11,16 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, saved, small_batches
-from .lsh import Segments, both_ends, linked, mixed, slices
+from .common import among, saved, small_batches, spread_join
+from .lsh import SKETCH_BITS, Segments, Signed, candidates, linked, mixed, sketches, slices
 
 WORDS = 5
 SIMILARITY = 0.8
 #: Registers of a signature, and how they are banded: 25 bands of 5 find a pair of similarity 0.8 with 0.99995.
 REGISTERS, BANDS, BAND_ROWS = 128, 25, 5
-BAND_NAMES = [f"b{i}" for i in range(BANDS)]
-#: A pair whose signatures agree on fewer registers than this is not verified: 4 standard deviations below 0.8.
-LEAST_AGREEING = math.floor(REGISTERS * (SIMILARITY - 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / REGISTERS)))
 #: Words whose hashes a worker remembers.
 KNOWN_WORDS = 100_000
 U = np.uint64
@@ -76,6 +73,7 @@ def bag_minhash(bags: Segments, n: int, registers: int = REGISTERS, seed: int =
     empty, the limit is doubled.  Texts without elements get infinities.
     """
     sig = np.full((n, registers), np.inf)
+    flat = sig.reshape(-1)
     total = np.zeros(n)
     np.add.at(total, bags.owner, bags.count)
     owner, seed_of, count, low = [], [], [], []
@@ -108,7 +106,7 @@ def bag_minhash(bags: Segments, n: int, registers: int = REGISTERS, seed: int =
             q = mixed(p[on] ^ U(0x5851F42D4C957F2D))
             y = lo + 1 + ((q >> U(40)).astype(np.int64) * w >> 24)  # the point's level, evenly within the interval
             hit = y <= c
-            np.minimum.at(sig, (o[hit], (q[hit] % U(registers)).astype(np.int64)), x[hit])
+            np.minimum.at(flat, o[hit] * registers + (q[hit] % U(registers)).astype(np.int64), x[hit])
         todo = todo & np.isinf(sig).any(axis=1)
         limit = limit * 2
     return sig
@@ -123,18 +121,13 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.
     return key.view(np.int64)
 
 
-def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for part in slices(batch["text"].str.len().to_numpy()):
-            b = batch.iloc[part]
-            sig = bag_minhash(shingles(b["text"].tolist()), len(b))
-            some = np.isfinite(sig).all(axis=1)
-            keys = band_keys(sig)
-            short = (mixed(sig.view(np.uint64)) >> U(48)).astype("<u2")
-            out = {"doc_id": b["doc_id"].to_numpy(), "id": b["id"].to_numpy(), "sig": [x.tobytes() for x in short]}
-            for i, name in enumerate(BAND_NAMES):
-                out[name] = pd.Series(keys[:, i], dtype="Int64").where(some)
-            yield pd.DataFrame(out)
+def _signed(batch: pd.DataFrame) -> Iterator[Signed]:
+    for part in slices(batch["text"].str.len().to_numpy()):
+        b = batch.iloc[part]
+        sig = bag_minhash(shingles(b["text"].tolist()), len(b))
+        some = np.isfinite(sig).all(axis=1)
+        sig = sig[some]
+        yield b["id"].to_numpy()[some], band_keys(sig).view(np.uint64), sketches(mixed(sig[:, :SKETCH_BITS].view(np.uint64)) >> U(63)), None
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,29 +144,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text and are not multiplied out.
     """
     small_batches(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = own.withColumn("id", F.xxhash64("text"))
-    signed = saved(own.select("doc_id", "id", "text").mapInPandas(_signed, "doc_id long, id long, sig binary, " + ", ".join(f"{c} long" for c in BAND_NAMES)), "signatures")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("id", F.xxhash64("text"))
 
     def texts(ids: DataFrame, n: int) -> DataFrame:
         return among(own.select("id", "text"), "id", ids, n).groupBy("id").agg(F.min("text").alias("text"))
 
-    def near(pairs: DataFrame) -> DataFrame:
-        pairs = saved(pairs, "candidates")
-        known = among(signed.select("id", "sig"), "id", both_ends(pairs), 2 * pairs.count()).groupBy("id").agg(F.min("sig").alias("sig"))
-        both = pairs.join(known.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(known.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-
-        def agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                s, t = (np.frombuffer(b"".join(b[x]), dtype="<u2").reshape(-1, REGISTERS) for x in ("sa", "sb"))
-                yield b.loc[(s == t).sum(axis=1) >= LEAST_AGREEING, ["a", "b"]]
-
-        return both.select("a", "b", "sa", "sb").mapInPandas(agreeing, "a long, b long")
-
-    comp = linked(signed.select("id", *BAND_NAMES), BAND_NAMES, texts, shingles, True, SIMILARITY, near)
-    rows = signed.select("doc_id", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    heads = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return rows.join(heads, "component").select("doc_id", F.col("id").alias("text_hash"), "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    found = saved(candidates(own.select("id", "text"), _signed, SIMILARITY), "candidates")
+    comp = linked(found, texts, shingles, True, SIMILARITY)
+    rows = saved(own.select("doc_id", "id"), "ids")
+    total = rows.count()
+    single = rows.groupBy("id").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
+    single = saved(single.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "texts")
+    heads = single.groupBy("component").agg(F.min("low").alias("class_id"), F.count("*").alias("n"))
+    single = spread_join(single, heads.drop("n"), "component", heads.select("component", "n"), total)
+    out = spread_join(rows, single.select("id", "class_id"), "id", single.select("id", "n"), total)
+    return out.select("doc_id", F.col("id").alias("text_hash"), "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

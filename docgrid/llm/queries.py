@@ -36,13 +36,14 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages' archive against a replica in which the body of every 97th page got a byte more."""
-    pages = _table(spark, sf_dir, "pages")
-    copy = F.when(F.col("page_id") % 97 == 5, F.concat(F.coalesce("html", F.lit("")), F.lit("~"))).otherwise(F.col("html"))
-    return warc.audit(warc.index(pages, copy)).select("page_id", F.col("length").alias("record_length"), F.col("digest").alias("record_sha256"), "damaged")
+    pages = warc.laid_out(_table(spark, sf_dir, "pages"))
+    longer = F.when(F.col("page_id") % 97 == 5, F.concat(F.coalesce("html", F.lit("")), F.lit("~"))).otherwise(F.col("html"))
+    found = warc.audit(warc.index(pages), warc.index(pages.withColumn("html", longer)))
+    return found.select("page_id", F.col("length").alias("record_length"), F.col("digest").alias("record_sha256"), "damaged")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.repeated_lines(_table(spark, sf_dir, "documents"), **linededup.FULL)
+    return linededup.repeated_lines(_table(spark, sf_dir, "documents"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
