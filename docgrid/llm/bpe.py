@@ -11,9 +11,8 @@ from functools import lru_cache
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import ids_of, keyed, small_batches
 
 #: How a byte-level tokenizer cuts text before merging (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -144,9 +143,9 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         tool = bpe(path)
         for b in batches:
             ids = [tool.encode(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": ids, "decoded": [tool.decode(i) for i in ids]})
+            yield pd.DataFrame({"doc_id": ids_of(b), "ids": ids, "decoded": [tool.decode(i) for i in ids]})
 
-    return _texts(docs, id_col, text_col).mapInPandas(encode, "doc_id long, ids array<int>, decoded string")
+    return keyed(docs, id_col, text_col).mapInPandas(encode, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,11 +160,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         tool = bpe(path)
         for b in batches:
             out = pd.DataFrame([tool.digest(t) for t in b["text"]], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
+            out.insert(0, "doc_id", ids_of(b))
             yield out
 
-    return _texts(docs, id_col, text_col).mapInPandas(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return keyed(docs, id_col, text_col).mapInPandas(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
