@@ -12,16 +12,19 @@ import pandas as pd
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .bpe import PATTERN, Bpe, bpe
-from .common import small_batches
+from .common import ids_of, keyed, small_batches
 
 WINDOW = 1024
-#: Tokens of which one set of windows is made; a task never holds more texts than that and a batch.
-GROUP_TOKENS = 512 * 1024
-#: Least free tokens a window that differencing is left, on the average.
-SLACK = 4
+#: Longest piece of a document that a window shares with other pieces: with four or more pieces a window, differencing comes out near-equal.
+CUT = 256
+#: Windows that one differencing deals pieces to, and the pieces it may get: what it holds grows with their product.
+WAYS, MOST_PIECES = 64, 2048
+#: Free tokens that a full set leaves each of its windows, on the average.
+SLACK = 2
+#: Rows that a task hands on at once.
+ROWS = 8192
 
 
 @lru_cache(maxsize=2)
@@ -86,108 +89,139 @@ def differencing(sizes: list[int], ways: int) -> list[list[int]]:
     return parts
 
 
-def _pack(ids: list[np.ndarray]) -> Iterator[list[tuple[int, int, int]]]:
-    """Sequences over one group of documents: lists of (document, start, length)."""
-    rest: list[tuple[int, int, int]] = []
-    for k, x in enumerate(ids):
-        whole = len(x) - len(x) % WINDOW
+def windows_of(sizes: list[int], capacity: int = WINDOW) -> list[list[int]]:
+    """Item numbers of each window: differencing in as few windows as could hold all items, and in one more whenever a window exceeds the capacity."""
+    count = max(1, -(-sum(sizes) // capacity))
+    parts = differencing(sizes, count)
+    while max(sum(sizes[i] for i in p) for p in parts) > capacity:
+        count += 1
+        parts = differencing(sizes, count)
+    return [p for p in parts if p]
+
+
+#: A run of a document's ids: the document's number, where it begins, how long it is.
+Piece = tuple[int, int, int]
+
+
+class Packer:
+    """Sequences of pieces, made as documents come in; holds the remainders of one set of windows at most."""
+
+    def __init__(self) -> None:
+        self.rest: list[Piece] = []
+        self.size = 0
+
+    def add(self, doc: int, length: int) -> Iterator[list[Piece]]:
+        """The sequences that a further document of `length` ids completes.
+
+        Runs of WINDOW ids are sequences of their own.  The remainder is cut into
+        pieces of CUT ids at most and joins the waiting set; a set that holds
+        WAYS nearly full windows is dealt, its last piece being cut so that it fits.
+        """
+        whole = length - length % WINDOW
         for start in range(0, whole, WINDOW):
-            yield [(k, start, WINDOW)]
-        if len(x) > whole:
-            rest.append((k, whole, len(x) - whole))
-    total = sum(p[2] for p in rest)
-    windows = total // (WINDOW - SLACK)
-    spare = total - windows * (WINDOW - SLACK)  # goes into sequences whose lengths are powers of two, which aren't padded
-    rest.sort(key=lambda p: -p[2])
-    for bit in range(spare.bit_length() - 1, -1, -1):
-        need, sequence = spare & 1 << bit, []
-        while need:
-            k, start, length = rest.pop()
-            take = min(need, length)
-            sequence.append((k, start, take))
-            if take < length:
-                rest.append((k, start + take, length - take))
-            need -= take
-        if sequence:
-            yield sequence
-    while rest:
-        parts = [[rest[i] for i in p] for p in differencing([p[2] for p in rest], windows)]
-        if _levelled(parts):
-            yield from (p for p in parts if p)
-            break
-        windows += 1
-
-
-def _levelled(parts: list[list[tuple[int, int, int]]]) -> bool:
-    """Cuts what windows hold beyond their capacity off into windows with room; false if there isn't enough."""
-    room = [[WINDOW - sum(x[2] for x in p), p] for p in parts]
-    if sum(r for r, _ in room) < 0:
-        return False
-    free = sorted((x for x in room if x[0] > 0), key=lambda x: x[0])
-    for over, p in room:
-        while over < 0:
-            k, start, length = p.pop()
-            take = min(-over, length)
+            yield [(doc, start, WINDOW)]
+        start, full = whole, WAYS * (WINDOW - SLACK)
+        while start < length:
+            n = min(CUT, length - start, full - self.size)
+            self.rest.append((doc, start, n))
+            self.size += n
+            start += n
+            if self.size == full or len(self.rest) >= MOST_PIECES:
+                yield from self._dealt()
+
+    def _dealt(self) -> Iterator[list[Piece]]:
+        """Deals the waiting pieces to as many nearly full windows as they fill; what is over waits on."""
+        over = self._last(self.size % (WINDOW - SLACK))
+        for part in windows_of([p[2] for p in self.rest]):
+            yield [self.rest[i] for i in part]
+        self.rest, self.size = over, sum(p[2] for p in over)
+
+    def _last(self, n: int) -> list[Piece]:
+        """Takes n ids off the end of the waiting pieces."""
+        out: list[Piece] = []
+        self.size -= n
+        while n:
+            k, start, length = self.rest.pop()
+            take = min(n, length)
+            out.append((k, start + length - take, take))
             if take < length:
-                p.append((k, start, length - take))
-            over += take
-            start += length - take
-            while take:
-                some = min(take, free[-1][0])
-                free[-1][1].append((k, start, some))
-                free[-1][0] -= some
-                if not free[-1][0]:
-                    free.pop()
-                start, take = start + some, take - some
-    return True
+                self.rest.append((k, start, length - take))
+            n -= take
+        return out
+
+    def end(self) -> Iterator[list[Piece]]:
+        """The remaining sequences: what is over nearly full windows is cut into sequences whose lengths are powers of two, which aren't padded."""
+        spare = self.size % (WINDOW - SLACK)
+        for bit in range(spare.bit_length() - 1, -1, -1):
+            if spare & 1 << bit:
+                yield self._last(1 << bit)
+        if self.rest:
+            yield from self._dealt()
 
 
 def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens, a row each.
 
     A document is its whole text's token ids and the end id 0; a null or empty
-    text is that id alone.  Documents are taken in groups of about GROUP_TOKENS
-    tokens as a task reads them, so nothing is shuffled and a task holds one
-    group.  Runs of 1024 tokens of a document are sequences of their own; the
-    remainders are dealt to near-equal windows by :func:`differencing`; what a
-    window then holds beyond 1024 tokens is cut off into windows with room, and
-    where there is too little room, one window more is made.  What a group holds
-    beyond nearly full windows is cut into sequences whose lengths are powers of
-    two.  Returns ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
-    offset, row_no``; sequence_id is the partition's number times 2^33 plus a
-    running number, row_no likewise tells repeated rows apart.
+    text is that id alone.  A task packs documents as it reads them, so nothing
+    is shuffled.  Runs of 1024 tokens of a document are sequences of their own;
+    the remainders, in pieces of CUT tokens at most, are dealt to near-equal
+    windows by :func:`differencing`, a set of WAYS windows at a time, and the
+    count of windows rises where one would exceed 1024 tokens.  What a task's
+    last set holds beyond nearly full windows is cut into sequences whose
+    lengths are powers of two.  A task holds the remainders of one set.  Returns
+    ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
+    row_no``; sequence_id is the partition's number times 2^33 plus a running
+    number, row_no likewise tells repeated rows apart.
     """
     small_batches(docs.sparkSession)
+    columns = ["doc_id", "no_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "row_no"]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base = TaskContext.get().partitionId() << 33
-        held: list[np.ndarray] = []
-        doc_ids: list = []
-        size = sequence = row = 0
-
-        def flush() -> pd.DataFrame:
-            nonlocal sequence, row
-            out = []
-            for pieces in _pack(held):
-                offset = 0
-                for k, start, length in pieces:
-                    crc = zlib.crc32(held[k][start : start + length].tobytes())
-                    out.append((doc_ids[k], start, length, crc, len(held[k]), base + sequence, offset, base + row + k))
-                    offset += length
-                sequence += 1
-            row += len(held)
-            return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "row_no"]).astype({"doc_id": "Int64"})
-
+        packer = Packer()
+        held: dict[int, tuple] = {}  # of documents with waiting pieces: id, whether it is null, number of ids, those from `whole` on
+        rows: list[tuple] = []
+        sequence = 0
+
+        def put(pieces: list[Piece], now: np.ndarray) -> None:
+            """Rows of a sequence; `now` are the ids of the document that was added last."""
+            nonlocal sequence
+            offset = 0
+            for k, start, length in pieces:
+                i, none, n, rest, first = held[k]
+                own = now[start : start + length] if start < first else rest[start - first : start - first + length]
+                rows.append((i, none, start, length, zlib.crc32(own.tobytes()), n, base + sequence, offset, base + k))
+                offset += length
+            sequence += 1
+
+        def taken() -> pd.DataFrame:
+            nonlocal rows
+            out = pd.DataFrame(rows, columns=columns)
+            rows = []
+            out["doc_id"] = ids_of(out)
+            return out.drop(columns="no_id")
+
+        k = 0
         for b in batches:
-            for i, t in zip(b["doc_id"], b["text"]):
-                held.append(token_ids(t, path))
-                doc_ids.append(None if pd.isna(i) else int(i))
-                size += len(held[-1])
-                if size >= GROUP_TOKENS:
-                    yield flush()
-                    held, doc_ids, size = [], [], 0
-        if held:
-            yield flush()
-
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return own.mapInPandas(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row_no long")
+            for i, none, t in zip(b["doc_id"].tolist(), b["no_id"].tolist(), b["text"]):
+                ids = token_ids(t, path)
+                whole = len(ids) - len(ids) % WINDOW
+                held[k] = i, none, len(ids), ids[whole:].copy(), whole
+                dealt = False
+                for pieces in packer.add(k, len(ids)):
+                    put(pieces, ids)
+                    dealt = dealt or len(pieces) > 1
+                if len(ids) == whole:
+                    del held[k]
+                elif dealt:
+                    held = {d: held[d] for d in {p[0] for p in packer.rest}}
+                k += 1
+                if len(rows) >= ROWS:
+                    yield taken()
+        for pieces in packer.end():
+            put(pieces, np.zeros(0))
+        if rows:
+            yield taken()
+
+    return keyed(docs, id_col, text_col).mapInPandas(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row_no long")
