@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved
+from .common import components, saved, spread_join
 
 COSINE = 0.93
 PROJECTIONS = 48
@@ -40,32 +40,24 @@ def candidate_pairs(x: np.ndarray, y: np.ndarray | None, least: float = COSINE)
 
     Each random projection of y's block is sorted; the window of a query is the
     run of ranks whose projections lie within HALF_WIDTH deviations of its own.
+    Only what lies in a window is looked at: the vectors in a query's windows
+    are read off the sorted orders and counted.
     """
     other = x if y is None else y
     g = _directions(x.shape[1])
     half = HALF_WIDTH * sqrt(2 - 2 * least)
-    p, q = x @ g, other @ g
-    order = np.argsort(q, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.broadcast_to(np.arange(len(q))[:, None], q.shape), axis=0)
-    rank = np.ascontiguousarray(rank.T).astype(np.uint16)
-    low, width = np.empty(p.T.shape, np.uint16), np.empty(p.T.shape, np.uint16)
+    p, q = x @ g, (other @ g).T
+    order = np.argsort(q, axis=1, kind="stable")
+    low, high = np.empty(p.shape, np.int64), np.empty(p.shape, np.int64)
     for j in range(PROJECTIONS):
-        line = q[order[:, j], j]
-        a, b = np.searchsorted(line, p[:, j] - half, "left"), np.searchsorted(line, p[:, j] + half, "right")
-        low[j], width[j] = a, b - a
+        line = q[j, order[j]]
+        low[:, j], high[:, j] = np.searchsorted(line, p[:, j] - half, "left"), np.searchsorted(line, p[:, j] + half, "right")
     need, left, right = least_collisions(), [], []
-    for start in range(0, len(x), 256):
-        part = slice(start, start + 256)
-        first = start if y is None else 0
-        count = np.zeros((len(x[part]), len(other) - first), dtype=np.uint8)
-        for j in range(PROJECTIONS):
-            count += (rank[j, None, first:] - low[j, part, None]) < width[j, part, None]
-        i, k = np.nonzero(count >= need)
-        i, k = i + start, k + first
-        if y is None:
-            i, k = i[i < k], k[i < k]
-        left.append(i)
+    for i, (a, b) in enumerate(zip(low.tolist(), high.tolist())):
+        met = np.bincount(np.concatenate([order[j, a[j] : b[j]] for j in range(PROJECTIONS)]), minlength=len(other))
+        k = np.flatnonzero(met >= need)
+        k = k[k > i] if y is None else k
+        left.append(np.full(len(k), i))
         right.append(k)
     return np.concatenate(left) if left else np.zeros(0, int), np.concatenate(right) if right else np.zeros(0, int)
 
@@ -123,17 +115,23 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     rows = saved(rows.withColumn("mark", F.when(use, F.xxhash64(F.col("label").cast("string"), "v"))), "vectors")
     classes = rows.where("mark is not null").groupBy("mark").agg(F.min("vec_id").alias("head"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = saved(classes.withColumn("d", F.size("v")), "classes")
-    sizes = classes.groupBy("label", "d").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = classes.join(sizes, ["label", "d"]).withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
+    group = classes.withColumn("l", F.xxhash64(F.col("label").cast("string"), "d"))
+    sizes = group.groupBy("l").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"))
+    dealt = spread_join(group, sizes.drop("n"), "l", sizes.select("l", "n"), classes.count(), by=["mark"]).withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.xxhash64("label").alias("l"), "d", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "mark", "copies", "v")
+    dealt = dealt.select("label", "d", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "mark", "copies", "v")
     dealt = dealt.withColumnRenamed("mark", "head")
-    found = saved(dealt.groupBy("l", "d", "i", "j").applyInPandas(_link_blocks, "head long, links long, to long"), "links")
+    found = saved(dealt.groupBy("label", "d", "i", "j").applyInPandas(_link_blocks, "head long, links long, to long"), "links")
     n = found.groupBy("head").agg(F.sum("links").alias("n"))
     comp = components(found, "head", "to")
     known = classes.select("mark", "head", "copies").join(n.withColumnRenamed("head", "mark"), "mark", "left").join(comp.withColumnRenamed("node", "mark"), "mark", "left")
-    known = saved(known.select("mark", "head", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "mark").alias("component")), "known")
-    least = known.groupBy("component").agg(F.min("head").alias("component_id"))
-    known = known.join(least, "component").select("mark", "n_links", "component_id")
-    out = rows.join(known, "mark", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    known = saved(known.select("mark", "head", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "mark").alias("component")), "known")
+    total = rows.count()
+    least = known.groupBy("component").agg(F.min("head").alias("component_id"), F.count("*").alias("n"))
+    known = spread_join(known, least.drop("n"), "component", least.select("component", "n"), total)
+    # rows that take no part have marks of their own, so that they don't all meet in one task
+    rows = rows.withColumn("mark", F.coalesce("mark", F.xxhash64("vec_id", "label")))
+    out = spread_join(rows.withColumn("whole", use), known.select("mark", "n_links", "component_id"), "mark", known.select("mark", F.col("copies").alias("n")), total, "left", ["vec_id"])
+    own = lambda c, other: F.coalesce(F.when(F.col("whole"), F.col(c)), other)
+    out = out.select("vec_id", own("n_links", F.lit(0)).cast("long").alias("n_links"), own("component_id", F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
