@@ -12,12 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import ids_of, keyed, small_batches
 
 #: Documents that the scorer is fitted on, about; chosen by a hash of text and id where there are more.
 SAMPLE_ROWS = 6000
 BUCKETS = 1 << 15
 THRESHOLD = 0.5
+#: Features of a text that training takes at most.
+TRAIN_WIDTH = 2048
 #: Frequent short words of the languages served (fixed values).
 STOP = frozenset("the of and to in that is was for with on as at be by der die das und in zu den von mit des im für ist le la les de et un une des que qui en el los las una con por y se su".split())
 #: Labellers that look for one defect: they say bad or nothing, and their thresholds are ones that prose hardly ever reaches.
@@ -157,37 +159,47 @@ def _shares(text: str) -> tuple[np.ndarray, np.ndarray]:
     return idx, np.sqrt(n / max(1, n.sum()))
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """One row per document: ``doc_id, pattern, weak_label, score, keep``.
-
-    Overlapping heuristic labellers vote on every whole text; how often each
-    vote pattern occurs, over all documents, goes into EM, which gives the
-    labellers' accuracies and each pattern's posterior (weak_label, that the
-    text is good).  Posteriors of about `sample_rows` documents train a hashed
-    linear scorer, which scores every text; keep says that the scorer's and the
-    labellers' odds together favour good, score being that probability.  Null
-    texts count as empty; a text without words gets weak_label and score 0 and
-    isn't kept.  Repeated rows give a row each.  Vote patterns are 3^9 at most,
-    so what the driver gathers is bounded.
+def _pattern(text: str) -> str:
+    return "".join("-01"[v + 1] for v in votes(text))
+
+
+def weak_labels(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
+    """For each pattern of votes that occurs in docs, the probability that such a text is good; rows without words have none.
+
+    Every whole text is voted on; how often each pattern occurs goes into EM.
+    Patterns are 3^9 at most, so what the driver gathers is bounded.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield pd.Series(["".join("-01"[v + 1] for v in votes(t)) for t in b])
-
-    pattern_of = F.pandas_udf(vote, "string")
-    voted = own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)).alias("h"), pattern_of("text").alias("pattern"))
-    seen = voted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()
-    none = "-" * len(LABELLERS)
-    seen = [r for r in seen if r.pattern != none]
-    patterns = np.array([["-01".index(c) - 1 for c in r.pattern] for r in seen], dtype=np.int64).reshape(len(seen), len(LABELLERS))
-    counts = np.array([r.n for r in seen], dtype=np.float64)
-    post = accuracies(patterns, counts)[2] if seen else np.zeros(0)
-    weak = {r.pattern: float(p) for r, p in zip(seen, post)}
-    total = int(counts.sum())
+            yield pd.Series([_pattern(t) for t in b])
+
+    voted = docs.select(F.pandas_udf(vote, "string")(F.coalesce(F.col(text_col), F.lit(""))).alias("pattern"))
+    seen = [r for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect() if r.pattern.strip("-")]
+    if not seen:
+        return {}
+    patterns = np.array([["-01".index(c) - 1 for c in r.pattern] for r in seen], dtype=np.int64)
+    post = accuracies(patterns, np.array([r.n for r in seen], dtype=np.float64))[2]
+    return {r.pattern: float(p) for r, p in zip(seen, post)}
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """One row per document: ``doc_id, score, keep``.
+
+    Overlapping heuristic labellers vote on every whole text; :func:`weak_labels`
+    estimates their accuracies by EM over all documents, which gives each text a
+    posterior label.  The labels of about `sample_rows` documents, chosen by a
+    hash, train a hashed linear scorer, which alone scores every text; keep says
+    that the score is THRESHOLD or more.  A text of the sample is learned from by
+    its TRAIN_WIDTH most frequent features, so what the driver gathers is
+    bounded; scoring uses all.  Null texts count as empty; a text without words
+    scores 0 and isn't kept.  Repeated rows give a row each.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    own = keyed(docs, id_col, text_col)
+    weak = weak_labels(own)
+    total = own.count()
     some = own
     if total > sample_rows:
         some = own.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < max(1, 1_000_000 * sample_rows // total))
@@ -196,29 +208,24 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
         for b in batches:
             out = []
             for t in b["text"]:
-                if t.split():
+                if (y := weak.get(_pattern(t))) is not None:
                     idx, val = _shares(t)
-                    out.append((idx, val, weak.get("".join("-01"[v + 1] for v in votes(t)), 0.5)))
+                    top = np.sort(np.argsort(-val, kind="stable")[:TRAIN_WIDTH])
+                    out.append((idx[top].astype("<u2").tobytes(), val[top].astype("<f4").tobytes(), y))
             yield pd.DataFrame(out, columns=["i", "v", "y"])
 
-    rows = [(np.array(r.i), np.array(r.v), r.y) for r in some.select("text").mapInPandas(shares, "i array<long>, v array<double>, y double").collect()]
-    weights = train(rows) if rows else np.zeros(BUCKETS + 1)
-    sent = spark.sparkContext.broadcast((weights, weak))
+    found = some.select("text").mapInPandas(shares, "i binary, v binary, y double").collect()
+    rows = [(np.frombuffer(r.i, dtype="<u2").astype(np.int64), np.frombuffer(r.v, dtype="<f4").astype(np.float64), r.y) for r in found]
+    sent = spark.sparkContext.broadcast(train(rows) if rows else np.zeros(BUCKETS + 1))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, known = sent.value
+        w = sent.value
         for b in batches:
-            out = []
-            for i, t in zip(b["doc_id"], b["text"]):
-                p = "".join("-01"[v + 1] for v in votes(t))
-                if p == none:
-                    out.append((i, p, 0.0, 0.0))
-                    continue
+            out = np.zeros(len(b))
+            for k, t in enumerate(b["text"]):
                 idx, val = _shares(t)
-                y = known.get(p, 0.5)
-                odds = 0.5 * float((w[idx] * val).sum() + w[-1]) + 0.5 * math.log(max(y, 1e-6) / max(1 - y, 1e-6))
-                out.append((i, p, y, 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))))
-            frame = pd.DataFrame(out, columns=["doc_id", "pattern", "weak_label", "score"])
-            yield frame.assign(doc_id=b["doc_id"].to_numpy(), keep=frame["score"] >= THRESHOLD)
+                if len(idx):
+                    out[k] = 1 / (1 + math.exp(-max(-50.0, min(50.0, float((w[idx] * val).sum() + w[-1])))))
+            yield pd.DataFrame({"doc_id": ids_of(b), "score": out, "keep": out >= THRESHOLD})
 
-    return own.mapInPandas(score, "doc_id long, pattern string, weak_label double, score double, keep boolean")
+    return own.mapInPandas(score, "doc_id long, score double, keep boolean")
