@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import ids_of, keyed, saved, small_batches
 
 #: Labelled rows that the model is fitted on, about: more are sampled by a hash of their ids.
 SAMPLE_ROWS = 20_000
@@ -33,7 +33,7 @@ SECOND_PERSON = frozenset(
 #: Characters that stand for letters in disguised words (fixed values).
 LEET = str.maketrans("013457@$!€", "oieastasie")
 WORD = re.compile(r"[^\W\d_]+")
-DISGUISED = re.compile(r"[^\W\d_]+[0134578@$!*€][0134578@$!*€\w]*[^\W\d_]|\b[^\W\d_](?:[.\-_*][^\W\d_]){2,}\b")
+DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0134578@$!*€][0134578@$!*€\w]*[^\W\d_]|\b[^\W\d_](?:[.\-_*][^\W\d_]){2,}\b")
 FEATURES = ("word_density", "stem_density", "hits", "disguised_hits", "near_second_person", "second_person", "capitals", "capital_words", "punctuation", "exclamations", "disguised", "symbols", "words", "longest_run", "weight", "weight_density")
 
 
@@ -214,9 +214,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     base = pos / (pos + neg)
     share = (F.col("p") + 0.5 * base) / (F.col("p") + F.col("q") + 0.5)
     gain = F.col("p") * F.log(share / base) + F.col("q") * F.log((1 - share) / (1 - base))
-    single = rows.select("text", "y").withColumn("k", F.pandas_udf(_prints, "array<long>")("text"))  # copies of one text would make all of its words telling
-    for i in range(PRINTS):
-        single = single.withColumn("p", F.col("k")[i]).dropDuplicates(["p"]).drop("p")
+    single = rows.select("_id", "text", "y").withColumn("k", F.pandas_udf(_prints, "array<long>")("text"))  # copies of one text would make all of its words telling
+    for i in range(PRINTS):  # of those that share a print the one of the smallest id stays, so that a task run again learns the same
+        single = single.groupBy(F.col("k")[i].alias("p")).agg(F.min(F.struct("_id", "text", "y", "k")).alias("r")).select("r.*")
     found = single.select("text", "y").mapInPandas(terms, "term string, p long, q long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     found = found.where((share > 0.4) & (gain > GAIN)).select("term", gain.alias("gain"), F.log(share / base).alias("w")).orderBy(F.desc("gain"), "term").limit(LEXICON_SIZE).collect()
     words = {r.term: r.w for r in found if not r.term.endswith("*")}
@@ -258,7 +258,7 @@ def _featured(words: dict, stems: dict):
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, text_score``: docs' rows with the score of each whole text, 0 to 1; null texts count as empty, which get a score too."""
+    """``doc_id, score``: docs' rows with the score of each whole text, 0 to 1; null texts count as empty, which get a score too."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -266,10 +266,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         flags = Flags(sent.value.words, sent.value.stems)
         for b in batches:
             x = np.array([features(t, flags) for t in b["text"]]).reshape(len(b), len(FEATURES))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": sent.value.score(x)})
+            yield pd.DataFrame({"doc_id": ids_of(b), "score": sent.value.score(x)})
 
-    own = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return own.mapInPandas(run, "doc_id long, score double")
+    return keyed(docs).mapInPandas(run, "doc_id long, score double")
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
