@@ -9,6 +9,8 @@ from ..functions.text import is_chapter_pattern, strip
 from .elements import PAGE, is_centered, upper_median
 
 MIN_FONT, LARGE_FONT, TOP = 14.0, 16.0, 0.8
+#: Shares by which a page's side or density differs from the one before when its layout counts as changed.
+LAYOUT_CHANGE, DENSITY_CHANGE = 0.1, 0.3
 PRIORITY = {"outline": 6, "pattern": 5, "font_position": 4, "structure": 3, "density": 2, "position": 1}
 _FOUND = ["doc_id", "page_number", "title", "heading", "is_detected_by"]
 
@@ -34,10 +36,10 @@ def from_outline(outline: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page_number", "title", F.col("title").alias("heading"), F.lit("outline").alias("is_detected_by"))
 
 
-def from_pages(elements: DataFrame, pages: DataFrame) -> DataFrame:
-    """The best candidate of each page: chapter patterns before likely headings before large type near the top; the first of equals."""
+def from_pages(elements: DataFrame, pages: DataFrame, min_font_size: float = MIN_FONT) -> DataFrame:
+    """The best candidate of each page among elements of min_font_size or more: chapter patterns before likely headings before large type near the top; the first of equals."""
     size = elements.where("font_size > 0").groupBy(*PAGE).agg(upper_median(F.collect_list(F.col("font_size").cast("double"))).alias("median_size"))
-    rows = elements.where(F.col("font_size") >= MIN_FONT).join(pages.select(*PAGE, "width", "height"), PAGE).join(size, PAGE, "left")
+    rows = elements.where(F.col("font_size") >= min_font_size).join(pages.select(*PAGE, "width", "height"), PAGE).join(size, PAGE, "left")
     score = F.when(is_chapter_pattern("text"), 100).when(likely_heading(), 50).when((F.col("font_size") >= LARGE_FONT) & near_top(), 20)
     by = F.when(F.col("score") == 100, "pattern").when(F.col("score") == 50, "font_position").otherwise("position")
     w = Window.partitionBy(*PAGE).orderBy(F.desc("score"), "seq")
@@ -45,24 +47,24 @@ def from_pages(elements: DataFrame, pages: DataFrame) -> DataFrame:
     return best.select("doc_id", "page_number", strip("text").alias("title"), F.col("text").alias("heading"), by.alias("is_detected_by"))
 
 
-def changes(layouts: DataFrame) -> DataFrame:
-    """Each page against the one before: ``layout_change`` (paragraph count, or a side by more than a tenth) and ``density_change`` (0.3 of the greater, or between none and some)."""
+def changes(layouts: DataFrame, layout_change: float = LAYOUT_CHANGE, density_change: float = DENSITY_CHANGE) -> DataFrame:
+    """Each page against the one before: ``layout_change`` (paragraph count, or a side by more than that share) and ``density_change`` (that share of the greater, or between none and some)."""
     w = _of_document()
     before = lambda c: F.lag(c).over(w)
     rows = layouts.select("doc_id", "page_number", "n_body", "width", "height", "text_density", before("n_body").alias("pn"), before("width").alias("pw"), before("height").alias("ph"), before("text_density").alias("pd"))
-    far = lambda a, b: F.coalesce(F.try_divide(F.abs(F.col(a) - F.col(b)), F.col(b)) > 0.1, F.lit(False))
+    far = lambda a, b: F.coalesce(F.try_divide(F.abs(F.col(a) - F.col(b)), F.col(b)) > layout_change, F.lit(False))
     layout = F.col("pn").isNotNull() & ((F.col("n_body") != F.col("pn")) | far("width", "pw") | far("height", "ph"))
     a, b = F.col("text_density"), F.col("pd")
-    density = b.isNotNull() & (((a == 0) != (b == 0)) | F.coalesce(F.try_divide(F.abs(a - b), F.greatest(a, b)) > 0.3, F.lit(False)))
+    density = b.isNotNull() & (((a == 0) != (b == 0)) | F.coalesce(F.try_divide(F.abs(a - b), F.greatest(a, b)) > density_change, F.lit(False)))
     return rows.select("doc_id", "page_number", F.coalesce(layout, F.lit(False)).alias("layout_change"), F.coalesce(density, F.lit(False)).alias("density_change"))
 
 
-def from_structure(elements: DataFrame, layouts: DataFrame) -> DataFrame:
+def from_structure(elements: DataFrame, layouts: DataFrame, min_font_size: float = MIN_FONT, layout_change: float = LAYOUT_CHANGE, density_change: float = DENSITY_CHANGE) -> DataFrame:
     """Pages with a heading whose layout changes, or else whose density changes: their largest heading, the first of equals."""
     w = Window.partitionBy(*PAGE).orderBy(F.desc("font_size"), "seq")
-    top = elements.where(F.col("font_size") >= MIN_FONT).withColumn("k", F.row_number().over(w)).where("k = 1").select(*PAGE, strip("text").alias("title"), F.col("text").alias("heading"))
+    top = elements.where(F.col("font_size") >= min_font_size).withColumn("k", F.row_number().over(w)).where("k = 1").select(*PAGE, strip("text").alias("title"), F.col("text").alias("heading"))
     by = F.when(F.col("layout_change"), "structure").when(F.col("density_change"), "density")
-    return changes(layouts).join(top, PAGE).withColumn("is_detected_by", by).where("is_detected_by is not null").select(*_FOUND)
+    return changes(layouts, layout_change, density_change).join(top, PAGE).withColumn("is_detected_by", by).where("is_detected_by is not null").select(*_FOUND)
 
 
 def deduplicated(found: DataFrame) -> DataFrame:
@@ -73,9 +75,11 @@ def deduplicated(found: DataFrame) -> DataFrame:
     return one.select("doc_id", F.row_number().over(_of_document()).alias("chapter_number"), "page_number", "title", "heading", "is_detected_by")
 
 
-def boundaries(elements: DataFrame, pages: DataFrame, layouts: DataFrame, outline: DataFrame | None = None) -> DataFrame:
+def boundaries(
+    elements: DataFrame, pages: DataFrame, layouts: DataFrame, outline: DataFrame | None = None, min_font_size: float = MIN_FONT, layout_change: float = LAYOUT_CHANGE, density_change: float = DENSITY_CHANGE
+) -> DataFrame:
     """Chapter boundaries of all documents. A document with outline entries takes these (chapter_number 0); others combine page and structure findings."""
-    found = deduplicated(from_pages(elements, pages).unionByName(from_structure(elements, layouts)))
+    found = deduplicated(from_pages(elements, pages, min_font_size).unionByName(from_structure(elements, layouts, min_font_size, layout_change, density_change)))
     if outline is None:
         return found
     listed = from_outline(outline, pages).select("doc_id", F.lit(0).alias("chapter_number"), *_FOUND[1:])

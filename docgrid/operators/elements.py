@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,29 +142,57 @@ def needs_space(a: Column, b: Column) -> Column:
 def merge_adjacent(ordered: DataFrame) -> DataFrame:
     """Merges each element into the one before it where :func:`can_merge` holds: a left fold over a page's ordered elements.
 
-    ordered: has ``order_no``. A merged element keeps the first one's font and the union of the boxes. A page's elements are one array.
+    ordered: has ``order_no``. A merged element keeps the first one's font and
+    the union of the boxes. The fold over a page's array carries the last merged
+    element's bounds and end and writes one letter an element: new, joined or
+    joined with a space. The groups that these letters make are then aggregated
+    within the page, without another shuffle.
     """
-    fields = ["order_no", "seq", "text", "x0", "y0", "x1", "y1", "font_size", "is_bold"]
-    types = "array<struct<order_no:int,seq:int,text:string,x0:double,y0:double,x1:double,y1:double,font_size:double,is_bold:boolean>>"
-    per = ordered.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*fields))).cast(types).alias("e"))
+    types = {"order_no": "int", "seq": "int", "text": "string", "x0": "double", "y0": "double", "x1": "double", "y1": "double", "font_size": "double", "is_bold": "boolean"}
+    per = ordered.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*(F.col(c).cast(t).alias(c) for c, t in types.items())))).alias("e"))
+    state = "struct<text:string,x1:double,y0:double,font_size:double,marks:string>"
+
+    def step(a: Column, b: Column) -> Column:
+        joins = (a["marks"] != "") & can_merge(a, b)
+        mark = F.when(joins & needs_space(a, b), "s").when(joins, "j").otherwise("n")
+        # of a merged text only its end counts
+        text = F.when(joins & is_blank(b["text"]), F.concat(F.right(strip(a["text"]), F.lit(1)), F.right(b["text"], F.lit(1)))).otherwise(b["text"])
+        pick = lambda c, f: F.when(joins, f(a[c], b[c])).otherwise(b[c]).cast("double").alias(c)
+        first = F.when(joins, a["font_size"]).otherwise(b["font_size"]).cast("double").alias("font_size")
+        return F.struct(text.alias("text"), pick("x1", F.greatest), pick("y0", F.least), first, F.concat(a["marks"], mark).alias("marks")).cast(state)
+
+    start = F.struct(F.lit("").alias("text"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y0"), F.lit(0.0).alias("font_size"), F.lit("").alias("marks")).cast(state)
+    marked = per.select(*PAGE, "e", F.split(F.aggregate("e", start, step, lambda s: s["marks"]), "").alias("marks"))
+    rows = marked.select(*PAGE, "marks", F.posexplode("e").alias("at", "m")).select(*PAGE, F.element_at("marks", F.col("at") + 1).alias("mark"), "m.*")
+    w = Window.partitionBy(*PAGE).orderBy("order_no")
+    rows = rows.withColumn("merged_no", F.count_if(F.col("mark") == "n").over(w).cast("int") - 1)
+    part = F.concat(F.when(F.col("mark") == "s", " ").otherwise(""), "text")
+    first = lambda c: F.min_by(c, "order_no").alias(c)
+    return rows.groupBy(*PAGE, "merged_no").agg(
+        F.min("order_no").alias("order_no"), first("seq"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order_no", part.alias("p")))), lambda e: e["p"]), "").alias("text"),
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), first("font_size"), first("is_bold"),
+    )
 
-    def step(acc: Column, b: Column) -> Column:
-        a = F.element_at(acc, -1)
-        text = F.concat(a["text"], F.when(needs_space(a, b), " ").otherwise(""), b["text"])
-        one = F.struct(
-            a["order_no"].alias("order_no"), a["seq"].alias("seq"), text.alias("text"), F.least(a["x0"], b["x0"]).alias("x0"), F.least(a["y0"], b["y0"]).alias("y0"),
-            F.greatest(a["x1"], b["x1"]).alias("x1"), F.greatest(a["y1"], b["y1"]).alias("y1"), a["font_size"].alias("font_size"), a["is_bold"].alias("is_bold"),
-        )
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(one))
-        return F.when(F.size(acc) == 0, F.array(b)).when(can_merge(a, b), joined).otherwise(F.concat(acc, F.array(b)))
 
-    return per.select(*PAGE, F.posexplode(F.aggregate("e", F.array().cast(types), step)).alias("merged_no", "m")).select(*PAGE, "merged_no", "m.*")
+def tenths(value) -> Column:
+    """A double rounded to tenths by its binary value, halves to the even tenth (0.15, which is a little less, to 0.1); exact, from built-in operations.
+
+    Ten times the value is taken in two parts that add up without rounding.
+    """
+    y = _c(value)
+    big = y * 134217729.0
+    high = big - (big - y)
+    ten = y * 10.0
+    rest = (high * 10.0 - ten) + (y - high) * 10.0
+    low = F.floor(ten)
+    over = ten - low
+    up = (over > 0.5) | ((over == 0.5) & ((rest > 0) | ((rest == 0) & (low % 2 != 0))))
+    return (low + F.when(up, 1).otherwise(0)) / F.lit(10.0)
 
 
 def joined_lines(elements: DataFrame) -> DataFrame:
-    """Text of each page: elements of one tenth-rounded height form a line, joined by spaces in x order, lines by line breaks."""
-    key = F.floor(F.col("y0") * 10 + 0.5) / 10
-    lines = elements.groupBy(*PAGE, key.alias("ykey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "seq", "text"))), lambda e: e["text"]), " ").alias("line"))
+    """Text of each page: elements of one height, rounded to tenths, form a line, joined by spaces in x order, lines by line breaks."""
+    lines = elements.groupBy(*PAGE, tenths("y0").alias("ykey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "seq", "text"))), lambda e: e["text"]), " ").alias("line"))
     return lines.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ykey", "line"))), lambda e: e["line"]), "\n").alias("text"))
 
 
@@ -270,16 +296,6 @@ def merge_complex(elements: DataFrame, sidebars: DataFrame, bodies: DataFrame) -
     return main.unionByName(rest).withColumn("order_no", F.row_number().over(Window.partitionBy(*PAGE).orderBy("part", "n"))).select(*PAGE, "order_no", "part", "text")
 
 
-def rounded_lines(elements: DataFrame) -> DataFrame:
-    """As :func:`joined_lines`, but heights rounded on their binary value, as Python's round does (0.15 to 0.1): an Arrow function."""
-
-    def key(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield b.map(lambda v: round(v, 1))
-
-    return joined_lines(elements.withColumn("y0", F.pandas_udf(key, "double")("y0")))
-
-
 def has_content(raw_text="raw_text", n_images="n_images", n_tables="n_tables", ocr_text="ocr_text") -> Column:
     return (F.coalesce(_c(raw_text), F.lit("")) != "") | (F.coalesce(_c(n_images), F.lit(0)) > 0) | (F.coalesce(_c(n_tables), F.lit(0)) > 0) | (F.coalesce(_c(ocr_text), F.lit("")) != "")
 

@@ -9,6 +9,8 @@ from ..functions.text import strip
 from .elements import PAGE, with_lines
 
 HEADER_HEIGHT = FOOTER_HEIGHT = 50.0
+#: Least width of the side margins.
+EDGE_MARGIN = 50.0
 LINE_NEAR, PARAGRAPH_GAP = 5.0, 20.0
 
 
@@ -37,27 +39,27 @@ def _region(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("top").alias("y0"), F.max("x1").alias("x1"), F.max("bottom").alias("y1"), F.array_join(texts, " ").alias("text"))
 
 
-def header(words: DataFrame) -> DataFrame:
-    """Box and text of the words above HEADER_HEIGHT, a row for each page that has some."""
-    return _region(words.where((F.col("top") < HEADER_HEIGHT) & (F.col("bottom") > 0)), PAGE)
+def header(words: DataFrame, header_height: float = HEADER_HEIGHT) -> DataFrame:
+    """Box and text of the words above header_height, a row for each page that has some."""
+    return _region(words.where((F.col("top") < header_height) & (F.col("bottom") > 0)), PAGE)
 
 
-def footer(words: DataFrame, pages: DataFrame) -> DataFrame:
-    """Box and text of the words in the lowest FOOTER_HEIGHT of the page."""
-    return _region(_sized(words, pages).where((F.col("top") >= F.col("height") - FOOTER_HEIGHT) & (F.col("bottom") <= F.col("height"))), PAGE)
+def footer(words: DataFrame, pages: DataFrame, footer_height: float = FOOTER_HEIGHT) -> DataFrame:
+    """Box and text of the words in the lowest footer_height of the page."""
+    return _region(_sized(words, pages).where((F.col("top") >= F.col("height") - footer_height) & (F.col("bottom") <= F.col("height"))), PAGE)
 
 
-def body_lines(words: DataFrame, pages: DataFrame) -> DataFrame:
+def body_lines(words: DataFrame, pages: DataFrame, header_height: float = HEADER_HEIGHT, footer_height: float = FOOTER_HEIGHT) -> DataFrame:
     """Lines of the words between header and footer: ``line_y`` (the leader's top), box, text in x order."""
-    inner = _sized(words, pages).where((F.col("top") >= HEADER_HEIGHT) & (F.col("bottom") <= F.col("height") - FOOTER_HEIGHT))
+    inner = _sized(words, pages).where((F.col("top") >= header_height) & (F.col("bottom") <= F.col("height") - footer_height))
     rows = with_lines(inner, "top", LINE_NEAR, strict=True).withColumn("ox", F.struct("x0", "seq"))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("ox", "text"))), lambda e: e["text"])
     return rows.groupBy(*PAGE, "line_y").agg(F.min("x0").alias("x0"), F.min("top").alias("y0"), F.max("x1").alias("x1"), F.max("bottom").alias("y1"), F.array_join(texts, " ").alias("text"))
 
 
-def body_paragraphs(words: DataFrame, pages: DataFrame) -> DataFrame:
+def body_paragraphs(words: DataFrame, pages: DataFrame, header_height: float = HEADER_HEIGHT, footer_height: float = FOOTER_HEIGHT) -> DataFrame:
     """Paragraph regions: a line begins one if its top is PARAGRAPH_GAP or more below the lowest bottom so far."""
-    lines = body_lines(words, pages)
+    lines = body_lines(words, pages, header_height, footer_height)
     w = Window.partitionBy(*PAGE).orderBy("line_y")
     low = F.max("y1").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(low.isNull() | (F.col("y0") - low >= PARAGRAPH_GAP), 1).otherwise(0)
@@ -66,24 +68,24 @@ def body_paragraphs(words: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.groupBy(*PAGE, "paragraph_no").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.array_join(texts, "\n").alias("text"))
 
 
-def _edge_side() -> Column:
+def _edge_side(margin: float = EDGE_MARGIN) -> Column:
     """left or right for words that count as edge text, null for others; needs width and height."""
     t = strip("text")
     noise = (F.length(t) < 2) | (t.rlike(r"^[0-9]+$") & (F.length(t) < 4)) | t.rlike(r"^[.,;:!?\-—]+$")
-    m = F.greatest(F.lit(50.0), F.col("width") * 0.05)
+    m = F.greatest(F.lit(float(margin)), F.col("width") * 0.05)
     at_right = F.col("x1") > F.col("width") - m
     right = (F.col("top") >= F.col("height") * 0.1) & (F.col("bottom") <= F.col("height") * 0.9) & (F.col("x1") > F.col("width") - m / 2)
     return F.when(~noise, F.when(at_right, F.when(right, "right")).when(F.col("x0") < m, "left"))
 
 
-def edge_words(words: DataFrame, pages: DataFrame) -> DataFrame:
+def edge_words(words: DataFrame, pages: DataFrame, margin: float = EDGE_MARGIN) -> DataFrame:
     """Words in the side margins, each a region of its own, with ``side``.
 
-    The margin is 50 or a twentieth of the width, whichever is more. Words at
+    The margin is `margin` or a twentieth of the width, whichever is more. Words at
     the right count only in the outer half of their margin and not in the top or
     bottom tenth; short numbers, single characters and bare punctuation don't.
     """
-    rows = _sized(words, pages).withColumn("side", _edge_side()).where("side is not null")
+    rows = _sized(words, pages).withColumn("side", _edge_side(margin)).where("side is not null")
     return rows.select(*PAGE, "seq", "side", "text", "x0", F.col("top").alias("y0"), "x1", F.col("bottom").alias("y1"))
 
 
@@ -106,20 +108,20 @@ def text_density(words: DataFrame, pages: DataFrame) -> DataFrame:
     return both.select(*PAGE, F.coalesce(F.try_divide("area", F.col("width") * F.col("height")), F.lit(0.0)).alias("text_density"))
 
 
-def analyze(words: DataFrame, pages: DataFrame) -> DataFrame:
+def analyze(words: DataFrame, pages: DataFrame, header_height: float = HEADER_HEIGHT, footer_height: float = FOOTER_HEIGHT, margin: float = EDGE_MARGIN) -> DataFrame:
     """Page layouts, a row a page: header, footer, number of body paragraphs and edge words, whether there are images and tables, density.
 
     One pass over the words: every measure is an aggregate of the same grouping.
     """
     sized = _sized(words, pages)
     top, bottom = F.col("top"), F.col("bottom")
-    foot = (top >= F.col("height") - FOOTER_HEIGHT) & (bottom <= F.col("height"))
-    inner = (top >= HEADER_HEIGHT) & (bottom <= F.col("height") - FOOTER_HEIGHT)
+    foot = (top >= F.col("height") - footer_height) & (bottom <= F.col("height"))
+    inner = (top >= header_height) & (bottom <= F.col("height") - footer_height)
     said = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("seq", "text")))), lambda e: e["text"]), " ")
     per = sized.groupBy(*PAGE).agg(
-        said((top < HEADER_HEIGHT) & (bottom > 0)).alias("header_text"), said(foot).alias("footer_text"),
+        said((top < header_height) & (bottom > 0)).alias("header_text"), said(foot).alias("footer_text"),
         F.collect_set(F.when(inner, F.struct(top.cast("double").alias("top"), bottom.cast("double").alias("bottom")))).alias("heights"),
-        F.count(_edge_side()).alias("n_edge"), F.sum((F.col("x1") - F.col("x0")) * (bottom - top)).alias("area"),
+        F.count(_edge_side(margin)).alias("n_edge"), F.sum((F.col("x1") - F.col("x0")) * (bottom - top)).alias("area"),
     )
     per = per.withColumn("n_body", paragraph_count(F.col("heights")))
     out = pages.select(*PAGE, "width", "height", "n_images", "n_tables").join(per, PAGE, "left")

@@ -19,7 +19,7 @@ def needs_ocr(text="raw_text", has_images="has_images", image_ratio="image_area_
     """Too little text, too little of the usual amount, or a page that is nearly all image."""
     t, usual = F.coalesce(_c(text), F.lit("")), typical_length if isinstance(typical_length, Column) else F.lit(typical_length)
     few = (t == "") | (F.length(strip(t)) < min_chars)
-    little = F.coalesce((usual > 0) & (F.try_divide(F.length(t).cast("double"), usual) < min_ratio), F.lit(False))
+    little = F.coalesce((usual > 0) & (F.try_divide(F.length(strip(t)).cast("double"), usual) < min_ratio), F.lit(False))
     return few | little | (F.coalesce(_c(has_images), F.lit(False)) & (F.coalesce(_c(image_ratio), F.lit(0.0)) > max_image_ratio))
 
 
@@ -50,10 +50,10 @@ class OcrEngine(Protocol):
 
 
 def recognised(pages: DataFrame, make_engine: Callable[[], OcrEngine], image: str = "image") -> DataFrame:
-    """pages with ``ocr``, recognised where ``needs_ocr`` holds and there is an image, null elsewhere.
+    """pages with ``ocr``, recognised where ``needs_ocr`` holds and there is an image, null elsewhere, and ``ocr_error``.
 
-    The engine is made once a worker. A page that the engine fails on gets null.
-    Only pages that need it reach Python.
+    The engine is made once a worker. A page that the engine fails on gets null
+    and what went wrong. Only pages that need it reach Python.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -62,12 +62,15 @@ def recognised(pages: DataFrame, make_engine: Callable[[], OcrEngine], image: st
             rows = []
             for data in b:
                 try:
-                    rows.append(engine.recognise(bytes(data)))
-                except Exception:
-                    rows.append((None, None, None, None))
-            yield pd.DataFrame(rows, columns=["text", "confidence", "language", "boxes"])
+                    rows.append((*engine.recognise(bytes(data)), None))
+                except Exception as e:
+                    rows.append((None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["text", "confidence", "language", "boxes", "error"])
 
     need = F.col("needs_ocr") & F.col(image).isNotNull()
-    empty = F.lit(None).cast(OCR_RESULT)
-    got = pages.where(need).withColumn("ocr", F.pandas_udf(run, OCR_RESULT)(image))
-    return got.withColumn("ocr", F.when(F.col("ocr.text").isNotNull(), F.col("ocr"))).unionByName(pages.where(~F.coalesce(need, F.lit(False))).withColumn("ocr", empty))
+    found = OCR_RESULT[: OCR_RESULT.rindex(">")] + ", error: STRING>"
+    got = pages.where(need).withColumn("_got", F.pandas_udf(run, found)(image))
+    own = F.struct(*(F.col(f"_got.{c}").alias(c) for c in ("text", "confidence", "language", "boxes")))
+    got = got.withColumn("ocr", F.when(F.col("_got.text").isNotNull(), own).cast(OCR_RESULT)).withColumn("ocr_error", F.col("_got.error")).drop("_got")
+    others = pages.where(~F.coalesce(need, F.lit(False)))
+    return got.unionByName(others.withColumn("ocr", F.lit(None).cast(OCR_RESULT)).withColumn("ocr_error", F.lit(None).cast("string")))

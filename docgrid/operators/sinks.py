@@ -39,17 +39,36 @@ def write_files(documents: DataFrame, root: str, overwrite: bool = True) -> None
     documents.select("path", "content").foreachPartition(write)
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """All manifest rows, none if nothing has been written yet."""
+def read_manifest(spark: SparkSession, path: str, without_batch: int | None = None) -> DataFrame:
+    """All manifest rows, or those of other batches only; none if nothing has been written yet."""
     try:
-        return spark.read.schema(MANIFEST).parquet(path)
+        found = spark.read.schema(MANIFEST).parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], MANIFEST)
+    if without_batch is not None and "batch" in found.columns:
+        found = found.where(F.col("batch") != without_batch)
+    return found.drop("batch")
+
+
+def _manifest_rows(rows: DataFrame) -> DataFrame:
+    return rows.select("path", "sha256", "total_pages", "processed_pages", "failed_pages", F.current_timestamp().alias("timestamp"), F.lit("1.0").alias("version"))
 
 
 def append_manifest(rows: DataFrame, path: str) -> None:
     """Adds rows of path, sha256, total_pages, processed_pages, failed_pages to the manifest."""
-    rows.select("path", "sha256", "total_pages", "processed_pages", "failed_pages", F.current_timestamp().alias("timestamp"), F.lit("1.0").alias("version")).write.mode("append").parquet(path)
+    _manifest_rows(rows).write.mode("append").parquet(path)
+
+
+def write_manifest(rows: DataFrame, path: str, batch: int) -> None:
+    """The manifest rows of one batch, in place of those that it may have written before."""
+    _manifest_rows(rows).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def remove_manifest(spark: SparkSession, path: str) -> bool:
+    """Deletes a manifest, so that the next run does everything anew; whether there was one."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
 
 
 def latest(manifest: DataFrame) -> DataFrame:

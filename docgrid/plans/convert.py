@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chapters, edges, elements, headers, images, layout, render, sinks, summary, tables
+from ..functions.text import word_count
+from ..operators import chapters, edges, elements, headers, images, layout, ocr, render, sinks, summary, tables
+from ..shipping import ship
 from ..sources import files as file_source
 from ..sources import pdf
 from .materialise import materialised
@@ -20,6 +23,14 @@ class Options:
     use_words: bool = True
     whole_chapters: bool = True
     outline: DataFrame | None = None
+    #: Makes the engine that recognises scanned pages, once a worker; None leaves them as they are.
+    make_engine: Callable[[], ocr.OcrEngine] | None = None
+    include_images: bool = True
+    include_tables: bool = True
+    include_ocr_text: bool = True
+    #: Named parameters of :func:`docgrid.operators.chapters.boundaries` and :func:`docgrid.operators.layout.analyze`.
+    chapters: dict = field(default_factory=dict)
+    layout: dict = field(default_factory=dict)
 
 
 @dataclass
@@ -63,11 +74,11 @@ def analyze(files: DataFrame, pages: DataFrame, options: Options = Options()) ->
         own = elements.elements_from_chars(pages)
     own = materialised(elements.merge_adjacent(elements.adaptive_order(own)), "elements")
     sized = pages.where("width is not null")
-    layouts = layout.analyze(words, sized)
-    margin = layout.edge_words(words, sized)
+    layouts = layout.analyze(words, sized, **options.layout)
+    margin = layout.edge_words(words, sized, options.layout.get("margin", layout.EDGE_MARGIN))
     bodies = materialised(elements.body_text(pages, own, margin), "bodies")
     stats = elements.text_statistics(pages, own)
-    found = chapters.boundaries(own, sized, layouts, options.outline)
+    found = chapters.boundaries(own, sized, layouts, options.outline, **options.chapters)
     texts = edges.extracted(margin, sized)
     items = summary.items(own, sized, bodies, margin)
     return Analysis(files, pages, own, layouts, bodies, stats, found, headers.fuzzy_groups(layouts), texts, summary.summaries(items, bodies, stats, files))
@@ -76,7 +87,21 @@ def analyze(files: DataFrame, pages: DataFrame, options: Options = Options()) ->
 def pictures_of(pages: DataFrame) -> DataFrame:
     """Images of pages, a row each; those in a format that viewers read keep their data."""
     rows = pages.select("doc_id", "page_number", F.explode("images").alias("i")).select("doc_id", "page_number", "i.*")
-    return rows.withColumn("data", F.when(F.col("format") == "jpeg", F.col("data")))
+    return rows.withColumn("data", F.when(F.col("format").isin("jpeg", "png", "jp2"), F.col("data")))
+
+
+def with_recognised_text(pages: DataFrame, make_engine: Callable[[], ocr.OcrEngine]) -> DataFrame:
+    """pages with ``ocr_text`` where a page needs recognition and has an image, by its largest one, and ``ocr_error`` where the engine failed.
+
+    The usual length that a page is held against is its number of words.
+    """
+    area = lambda i: F.greatest(i["x1"] - i["x0"], F.lit(0.0)) * F.greatest(i["y1"] - i["y0"], F.lit(0.0))
+    share = F.coalesce(F.try_divide(F.aggregate("images", F.lit(0.0), lambda acc, i: acc + area(i)), F.col("width") * F.col("height")), F.lit(0.0))
+    whole = F.filter("images", lambda i: i["format"].isin("jpeg", "png", "jp2"))
+    largest = F.array_max(F.transform(whole, lambda i: F.struct(area(i).alias("area"), (-i["image_no"]).alias("n"), i["data"].alias("data"))))["data"]
+    need = F.col("error").isNull() & (F.col("page_number") > 0) & ocr.needs_ocr(has_images=F.col("n_images") > 0, image_ratio=share, typical_length=word_count("raw_text"))
+    seen = ocr.recognised(pages.withColumn("needs_ocr", need).withColumn("image", largest), make_engine)
+    return seen.withColumn("ocr_text", F.col("ocr.text")).select(*pages.columns, "ocr_error")
 
 
 def _links(pictures: DataFrame) -> DataFrame:
@@ -88,7 +113,9 @@ def rendered(a: Analysis, options: Options = Options()) -> DataFrame:
     """Output files of an analysis: ``doc_id, path, content``."""
     parts = render.chapter_content(a.bodies, a.chapters, chapters.ranges(a.chapters, a.pages) if options.whole_chapters else None)
     rows = a.pages.select("doc_id", "page_number", F.posexplode("tables").alias("table_no", "rows"))
-    content = render.complete_content(render.page_blocks(a.pages, a.bodies, tables.cells_from_rows(rows), _links(pictures_of(a.pages))))
+    shown = a.pages if options.include_ocr_text else a.pages.withColumn("ocr_text", F.lit(None).cast("string"))
+    blocks = render.page_blocks(shown, a.bodies, tables.cells_from_rows(rows) if options.include_tables else None, _links(pictures_of(a.pages)) if options.include_images else None)
+    content = render.complete_content(blocks)
     return render.documents(a.files, a.pages, a.summaries, content, edges.formatted(a.edge_texts), parts)
 
 
@@ -105,13 +132,19 @@ def convert(spark: SparkSession, source: str, output: str, resume: bool = False,
     if resume:
         known = sinks.known_files(found, sinks.read_manifest(spark, manifest)).where("size(processed_pages) = total_pages")
         found = found.join(known.select("path", "sha256"), ["path", "sha256"], "left_anti")
+    ship(spark)
     pages = pdf.with_doc_ids(pdf.read_pages(found))
+    if options.make_engine is not None:
+        pages = with_recognised_text(pages, options.make_engine)
     pages.write.mode("overwrite").parquet(f"{output}/_pages")
     pages = spark.read.parquet(f"{output}/_pages")
-    listed = found.select("path", "sha256").withColumn("doc_id", F.xxhash64("path"))
+    listed = materialised(found.select("path", "sha256"), "files").withColumn("doc_id", F.xxhash64("path"))
     a = analyze(listed.select("doc_id", "path"), pages.where("page_number > 0"), options)
     folder = listed.select("doc_id", file_source.stem("path").alias("folder"))
-    out = rendered(a, options).select("doc_id", "path", F.col("content").cast("binary").alias("content")).unionByName(images.output_files(pictures_of(pages))).join(folder, "doc_id").select(F.concat("folder", F.lit("_md/"), "path").alias("path"), "content")
+    out = rendered(a, options).select("doc_id", "path", F.col("content").cast("binary").alias("content"))
+    if options.include_images:
+        out = out.unionByName(images.output_files(pictures_of(pages)))
+    out = out.join(folder, "doc_id").select(F.concat("folder", F.lit("_md/"), "path").alias("path"), "content")
     sinks.write_files(out, output)
     sinks.append_manifest(sinks.progress(pages.join(listed.select("path", "sha256"), "path")), manifest)
     return sinks.results(pages)

@@ -1,14 +1,14 @@
 """A synthetic layout of plain texts: words on lines and pages by rule, with fonts, headings and notes put in at fixed places.
 
 It gives text tables the shape of extracted pages, so that every operator can
-run over them. All coordinates are whole numbers.
+run over them. Coordinates are whole numbers or multiples of 1/32, so sums are exact;
+tokens of a line differ by less than a tenth in height, and on every third page
+words stand in three columns.
 """
 
 from __future__ import annotations
 
-from types import SimpleNamespace
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORDS_A_LINE, LINES_A_PAGE, WIDTH, HEIGHT = 10, 30, 595.0, 842.0
@@ -19,7 +19,8 @@ def words(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \n]+"), lambda w: w != "")).alias("seq", "text"))
     ln = F.floor(F.col("seq") / WORDS_A_LINE).cast("int")
     rows = rows.withColumn("ln", ln).withColumn("at", F.col("seq") % WORDS_A_LINE).withColumn("k", F.col("ln") % LINES_A_PAGE)
-    x0 = F.when((F.col("ln") % 7 == 3) & (F.col("at") == 0), 40).otherwise(55 + 50 * F.col("at")).cast("double")
+    columns = F.when((F.col("doc_id") + F.floor(F.col("ln") / LINES_A_PAGE)) % 3 == 1, 12 * ((F.col("at") >= 4).cast("int") + (F.col("at") >= 7).cast("int"))).otherwise(0)
+    x0 = (F.when((F.col("ln") % 7 == 3) & (F.col("at") == 0), 40).otherwise(55 + 50 * F.col("at")) + columns).cast("double")
     top = (20 + 26 * F.col("k") + 5 * F.floor(F.col("k") / 5)).cast("double")
     rows = rows.withColumn("x0", x0).withColumn("top", top)
     return rows.select(
@@ -33,8 +34,8 @@ def font_size():
 
 
 def tokens(w: DataFrame) -> DataFrame:
-    """Words as elements, each third one 4 and each next 8 lower, with fonts."""
-    y0 = F.col("top") + 4 * (F.col("seq") % 3)
+    """Words as elements, each third one 4 and each next 8 lower, and up to 3/32 lower besides, with fonts."""
+    y0 = F.col("top") + 4 * (F.col("seq") % 3) + (F.col("seq") % 4) * 0.03125
     return w.select("doc_id", "page_number", "seq", "text", "x0", y0.alias("y0"), "x1", (y0 + 10).alias("y1"), font_size().alias("font_size"), (F.col("ln") % 30 == 1).alias("is_bold"))
 
 
@@ -54,7 +55,7 @@ def pages(e: DataFrame) -> DataFrame:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n")
     some = ((F.col("doc_id") + F.col("page_number")) % 4 == 0).cast("int")
     rows = e.groupBy("doc_id", "page_number").agg(text.alias("raw_text"))
-    return rows.select("doc_id", "page_number", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), "raw_text", some.alias("n_images"), F.lit(0).alias("n_tables"), F.lit(None).cast("string").alias("ocr_text"))
+    return rows.select("doc_id", "page_number", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), "raw_text", some.alias("n_images"), ((F.col("doc_id") + 2 * F.col("page_number")) % 5 == 0).cast("int").alias("n_tables"), F.lit(None).cast("string").alias("ocr_text"))
 
 
 def images(p: DataFrame) -> DataFrame:
@@ -88,29 +89,20 @@ def table_cells(suppliers: DataFrame) -> DataFrame:
     )
 
 
-def tables(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
-    """The synthetic tables of a data directory, lazily."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    w = words(docs)
-    e = elements(w)
-    p = pages(e)
-    return SimpleNamespace(docs=docs, words=w, tokens=tokens(w), elements=e, pages=p, images=images(p), outline=outline(docs), files=files(docs), cells=table_cells(spark.read.parquet(f"{sf_dir}/supplier.parquet")))
-
-
 #: The same tables as DuckDB SQL.
 SQL = """
 w0 AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\n]+'), lambda x: x <> '') AS ws FROM documents),
 w1 AS (SELECT doc_id, unnest(ws) AS text, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER) AS seq FROM w0),
 w2 AS (SELECT *, seq // 10 AS ln, seq % 10 AS pos, (seq // 10) % 30 AS k FROM w1),
-w3 AS (SELECT *, CAST(CASE WHEN ln % 7 = 3 AND pos = 0 THEN 40 ELSE 55 + 50 * pos END AS DOUBLE) AS x0, CAST(20 + 26 * k + 5 * (k // 5) AS DOUBLE) AS top FROM w2),
+w3 AS (SELECT *, CAST(CASE WHEN ln % 7 = 3 AND pos = 0 THEN 40 ELSE 55 + 50 * pos END + CASE WHEN (doc_id + ln // 30) % 3 <> 1 OR pos < 4 THEN 0 WHEN pos < 7 THEN 12 ELSE 24 END AS DOUBLE) AS x0, CAST(20 + 26 * k + 5 * (k // 5) AS DOUBLE) AS top FROM w2),
 words AS (SELECT doc_id, ln // 30 + 1 AS page_number, seq, text, x0, x0 + 4 * length(text) AS x1, top, top + 10 AS bottom, ln, k FROM w3),
-tokens AS (SELECT doc_id, page_number, seq, text, x0, top + 4 * (seq % 3) AS y0, x1, top + 4 * (seq % 3) + 10 AS y1, CAST(CASE k WHEN 1 THEN 18 WHEN 28 THEN 16 WHEN 12 THEN 10 ELSE 12 END AS DOUBLE) AS font_size, k = 1 AS is_bold FROM words),
+tokens AS (SELECT doc_id, page_number, seq, text, x0, top + 4 * (seq % 3) + (seq % 4) * 0.03125::DOUBLE AS y0, x1, top + 4 * (seq % 3) + (seq % 4) * 0.03125::DOUBLE + 10 AS y1, CAST(CASE k WHEN 1 THEN 18 WHEN 28 THEN 16 WHEN 12 THEN 10 ELSE 12 END AS DOUBLE) AS font_size, k = 1 AS is_bold FROM words),
 elements AS (SELECT doc_id, page_number, ln AS seq,
   CASE WHEN ln % 90 = 1 THEN 'Chapter ' || CAST(ln // 90 + 1 AS VARCHAR) || ': ' WHEN ln % 90 = 31 THEN 'Section 2: ' WHEN k = 20 THEN '[1] ' WHEN k = 21 THEN 'Figure 3: ' WHEN k = 22 THEN 'Note: ' ELSE '' END
     || string_agg(text, ' ' ORDER BY seq) AS text,
   min(x0) AS x0, min(top) AS y0, max(x1) AS x1, max(bottom) AS y1, CAST(CASE k WHEN 1 THEN 18 WHEN 28 THEN 16 WHEN 12 THEN 10 ELSE 12 END AS DOUBLE) AS font_size, k = 1 AS is_bold
   FROM words GROUP BY doc_id, page_number, ln, k),
-pg AS (SELECT doc_id, page_number, CAST(595 AS DOUBLE) AS width, CAST(842 AS DOUBLE) AS height, string_agg(text, chr(10) ORDER BY seq) AS raw_text, CAST((doc_id + page_number) % 4 = 0 AS INTEGER) AS n_images FROM elements GROUP BY doc_id, page_number),
+pg AS (SELECT doc_id, page_number, CAST(595 AS DOUBLE) AS width, CAST(842 AS DOUBLE) AS height, string_agg(text, chr(10) ORDER BY seq) AS raw_text, CAST((doc_id + page_number) % 4 = 0 AS INTEGER) AS n_images, CAST((doc_id + 2 * page_number) % 5 = 0 AS INTEGER) AS n_tables FROM elements GROUP BY doc_id, page_number),
 images AS (SELECT doc_id, page_number, CAST(50 AS DOUBLE) AS x0, CAST(100 AS DOUBLE) AS y0, CAST(50 + 100 * (doc_id % 5) AS DOUBLE) AS x1, CAST(700 AS DOUBLE) AS y1, CAST(1000 + 400 * (doc_id % 7) AS INTEGER) AS width, 800 AS height,
   'assets/page_' || CAST(page_number AS VARCHAR) || '_image.png' AS path FROM pg WHERE n_images > 0),
 outline AS (SELECT doc_id, 'Start' AS title, 1 AS page FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'Later', 3 FROM documents WHERE doc_id % 5 = 0),
@@ -130,7 +122,7 @@ margins AS (SELECT doc_id, page_number, seq, text, x0, top AS y0, x1, bottom AS
   FROM words WHERE NOT (length(text) < 2 OR (regexp_full_match(text, '[0-9]+') AND length(text) < 4) OR regexp_full_match(text, '[.,;:!?—-]+'))),
 edge_words AS (SELECT * FROM margins WHERE side IS NOT NULL),
 density AS (SELECT pg.doc_id, pg.page_number, coalesce(sum((x1 - x0) * (bottom - top)) / (595.0::DOUBLE * 842), 0) AS text_density FROM pg LEFT JOIN words w ON w.doc_id = pg.doc_id AND w.page_number = pg.page_number GROUP BY ALL),
-layouts AS (SELECT pg.doc_id, pg.page_number, width, height, coalesce(head.text, '') AS header_text, coalesce(foot.text, '') AS footer_text, coalesce(n_body, 0) AS n_body, coalesce(n_edge, 0) AS n_edge, n_images > 0 AS has_images, text_density
+layouts AS (SELECT pg.doc_id, pg.page_number, width, height, coalesce(head.text, '') AS header_text, coalesce(foot.text, '') AS footer_text, coalesce(n_body, 0) AS n_body, coalesce(n_edge, 0) AS n_edge, n_images > 0 AS has_images, n_tables > 0 AS has_tables, text_density
   FROM pg JOIN density USING (doc_id, page_number) LEFT JOIN head USING (doc_id, page_number) LEFT JOIN foot USING (doc_id, page_number)
   LEFT JOIN (SELECT doc_id, page_number, count(*) AS n_body FROM paragraphs GROUP BY ALL) USING (doc_id, page_number)
   LEFT JOIN (SELECT doc_id, page_number, count(*) AS n_edge FROM edge_words GROUP BY ALL) USING (doc_id, page_number)),

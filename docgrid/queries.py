@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,16 +18,47 @@ PAGE = elements.PAGE
 _QUERIES: dict[str, tuple[Callable, str | None]] = {}
 
 
+#: Where words, elements and pages of a data directory lie, by application, directory and the files it held.
+_BASES: dict[tuple, dict[str, DataFrame]] = {}
+
+
 class Tables:
-    """The synthetic tables and what is derived from them, made when asked for."""
+    """The synthetic tables and what is derived from them, made when asked for.
+
+    Words, elements and pages, from which nearly everything is derived, are
+    written once an application and data directory and read from then on.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.__dict__.update(vars(synth.tables(spark, sf_dir)))
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def _base(self) -> dict[str, DataFrame]:
+        docs = self.read("documents")
+        state = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, *docs.agg(F.bit_xor(state), F.sum(F.pmod(state, F.lit(1 << 30))), F.count("*")).first())
+        if key not in _BASES:
+            words = materialised(synth.words(self.docs), "words")
+            own = materialised(synth.elements(words), "elements")
+            _BASES[key] = {"words": words, "elements": own, "pages": materialised(synth.pages(own), "pages")}
+        return {name: self.spark.read.schema(df.schema).parquet(*df.inputFiles()) if df.sparkSession is not self.spark else df for name, df in _BASES[key].items()}
+
+    @cached_property
+    def docs(self) -> DataFrame:
+        return self.read("documents").select("doc_id", "text", "source")
+
+    words = property(lambda self: self._base["words"])
+    elements = property(lambda self: self._base["elements"])
+    pages = property(lambda self: self._base["pages"])
+    tokens = property(lambda self: synth.tokens(self.words))
+    images = property(lambda self: synth.images(self.pages))
+    outline = property(lambda self: synth.outline(self.docs))
+    files = property(lambda self: synth.files(self.docs))
+    cells = property(lambda self: synth.table_cells(self.read("supplier")))
+
     @property
     def layouts(self) -> DataFrame:
         return layout.analyze(self.words, self.pages)
@@ -113,7 +145,7 @@ def _(t):
     return layout.body_paragraphs(t.words, t.pages)
 
 
-@_query("page_layouts", "SELECT doc_id, page_number, width, height, header_text, footer_text, n_body, n_edge, CAST(0 AS BIGINT) AS n_sidebar, has_images, false AS has_tables, text_density FROM layouts")
+@_query("page_layouts", "SELECT doc_id, page_number, width, height, header_text, footer_text, n_body, n_edge, CAST(0 AS BIGINT) AS n_sidebar, has_images, has_tables, text_density FROM layouts")
 def _(t):
     return t.layouts
 
@@ -152,11 +184,21 @@ def _(t):
     return t.images.select(*PAGE, images.filename(format=F.lit("JPEG")).alias("name"), images.asset_path("path").alias("asset"))
 
 
-@_query("image_object_match", "SELECT doc_id, page_number, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS object_no, doc_id % 3 = 0 AS near FROM images")
+_OBJECTS = """SELECT doc_id, page_number, CAST(0 AS INTEGER) AS object_no, CAST(9 AS DOUBLE) AS ox, CAST(9 AS DOUBLE) AS oy FROM images WHERE doc_id % 7 <> 6
+  UNION ALL SELECT doc_id, page_number, 1, x0 + 0.5::DOUBLE, y0 - 0.5::DOUBLE FROM images WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, page_number, 2, x0 - 1, y0 FROM images WHERE doc_id % 2 = 0"""
+
+
+@_query(
+    "image_object_match",
+    f"""SELECT i.doc_id, i.page_number, object_no, coalesce(abs(x0 - ox) < 1 AND abs(y0 - oy) < 1, false) AS near FROM images i LEFT JOIN ({_OBJECTS}) o ON o.doc_id = i.doc_id AND o.page_number = i.page_number
+QUALIFY row_number() OVER (PARTITION BY i.doc_id, i.page_number ORDER BY near DESC, object_no) = 1""",
+)
 def _(t):
-    far = t.images.select(*PAGE, F.lit(0).alias("object_no"), F.lit(9.0).alias("x0"), F.lit(9.0).alias("y0"))
-    at = t.images.where("doc_id % 3 = 0").select(*PAGE, F.lit(1).alias("object_no"), (F.col("x0") + 0.5).alias("x0"), (F.col("y0") - 0.5).alias("y0"))
-    return images.matched(t.images, far.unionByName(at)).select(*PAGE, "object_no", "near")
+    place = lambda rows, no, x, y: rows.select(*PAGE, F.lit(no).alias("object_no"), x.cast("double").alias("x0"), y.cast("double").alias("y0"))
+    far = place(t.images.where("doc_id % 7 <> 6"), 0, F.lit(9), F.lit(9))
+    at = place(t.images.where("doc_id % 3 = 0"), 1, F.col("x0") + 0.5, F.col("y0") - 0.5)
+    beside = place(t.images.where("doc_id % 2 = 0"), 2, F.col("x0") - 1, F.col("y0"))
+    return images.matched(t.images, far.unionByName(at).unionByName(beside)).select(*PAGE, "object_no", "near")
 
 
 @_query("has_layout_change", "SELECT doc_id, page_number, layout_change FROM changes")
@@ -210,22 +252,52 @@ g2 AS (SELECT *, count(*) OVER p AS n, row_number() OVER (PARTITION BY doc_id, p
 SELECT d.doc_id, d.page_number, (before + x0) / 2 AS boundary FROM (SELECT DISTINCT doc_id, page_number FROM spread) d LEFT JOIN (SELECT * FROM g2 WHERE n >= 2 AND k = n // 2 + 1) USING (doc_id, page_number)"""
 
 
-@_query("column_boundaries", ", spread AS (SELECT * FROM tokens WHERE x0 NOT IN (105, 155, 305, 355, 405))" + _COLUMNS)
+@_query("column_boundaries", ", spread AS (SELECT * FROM tokens)" + _COLUMNS)
 def _(t):
-    return elements.column_boundary(t.tokens.where(~F.col("x0").isin(105, 155, 305, 355, 405)))
+    return elements.column_boundary(t.tokens)
 
 
-@_query("adaptive_order")
+@_query(
+    "adaptive_order",
+    ", spread AS (SELECT * FROM tokens), parted AS (SELECT * FROM (" + _COLUMNS.replace(", g0 AS", "WITH g0 AS", 1) + """)),
+sized AS (SELECT doc_id, page_number, list_sort(list(DISTINCT y0)) AS l, CASE WHEN arg_min(font_size, y0 * 1000000 + seq) > 0 THEN avg(font_size) FILTER (font_size > 0) ELSE 12.0::DOUBLE END * 0.8::DOUBLE AS gap FROM tokens GROUP BY ALL),
+lead0 AS (SELECT doc_id, page_number, list_reduce(list_transform(l, lambda v: [v]), lambda a, b: CASE WHEN b[1] - a[-1] > gap THEN list_concat(a, b) ELSE a END) AS leads FROM sized),
+lined0 AS (SELECT t.*, list_max(list_filter(leads, lambda v: v <= t.y0)) AS line_y FROM tokens t JOIN lead0 USING (doc_id, page_number)),
+mid AS (SELECT doc_id, page_number, line_y, list_sort(list(y0))[count(*) // 2 + 1] AS m FROM lined0 GROUP BY ALL)
+SELECT doc_id, page_number, seq, CAST(row_number() OVER (PARTITION BY doc_id, page_number ORDER BY m, line_y, CASE WHEN boundary <= x0 THEN 1 ELSE 0 END, x0, seq) AS INTEGER) AS order_no
+FROM lined0 JOIN mid USING (doc_id, page_number, line_y) LEFT JOIN parted USING (doc_id, page_number)""",
+)
 def _(t):
     return elements.adaptive_order(t.tokens).select(*PAGE, "seq", "order_no")
 
 
-@_query("merge_adjacent")
+def _merged(ordered: str) -> str:
+    """SQL of the left fold that merges adjacent elements of a relation with order_no: ``merged(doc_id, page_number, merged_no, text, x0, y0, x1, y1)``."""
+    strip = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    joins = (
+        f"a.marks <> '' AND length(a.text) > 0 AND length(b.text) > 0 AND abs(a.y0 - b.y0) <= 10 AND b.x0 - a.x1 <= 50 AND {strip('a.text')} <> ''"
+        f" AND NOT (regexp_matches({strip('a.text')}, '[.!?。！？;；：]$') AND regexp_matches({strip('b.text')}, '^[\\p{{Lu}}\\p{{Nd}}]')) AND NOT (a.fs > 0 AND b.fs > 0 AND abs(a.fs - b.fs) > 2)"
+    )
+    space = "b.x0 - a.x1 > 5 OR (regexp_matches(a.text, '[A-Za-z0-9]$') AND regexp_matches(b.text, '^[A-Za-z0-9]'))"
+    text = f"CASE WHEN {strip('b.text')} = '' THEN right({strip('a.text')}, 1) || right(b.text, 1) ELSE b.text END"
+    return f""", folded AS (SELECT doc_id, page_number, list_reduce(list_prepend({{'text': '', 'x0': 0.0::DOUBLE, 'x1': 0.0::DOUBLE, 'y0': 0.0::DOUBLE, 'fs': 0.0::DOUBLE, 'marks': ''}}, list({{'text': text, 'x0': x0, 'x1': x1, 'y0': y0, 'fs': font_size, 'marks': ''}} ORDER BY order_no)),
+  lambda a, b: CASE WHEN {joins} THEN {{'text': {text}, 'x0': a.x0, 'x1': greatest(a.x1, b.x1), 'y0': least(a.y0, b.y0), 'fs': a.fs, 'marks': a.marks || CASE WHEN {space} THEN 's' ELSE 'j' END}}
+    ELSE {{'text': b.text, 'x0': b.x0, 'x1': b.x1, 'y0': b.y0, 'fs': b.fs, 'marks': a.marks || 'n'}} END).marks AS marks FROM {ordered} GROUP BY ALL),
+numbered AS (SELECT o.*, m, sum(CASE WHEN m = 'n' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_number ORDER BY order_no) - 1 AS merged_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY order_no) AS i FROM {ordered}) o
+  JOIN (SELECT doc_id, page_number, unnest(string_split(marks, '')) AS m, generate_subscripts(string_split(marks, ''), 1) AS i FROM folded) USING (doc_id, page_number, i)),
+merged AS (SELECT doc_id, page_number, CAST(merged_no AS INTEGER) AS merged_no, string_agg(CASE WHEN m = 's' THEN ' ' ELSE '' END || text, '' ORDER BY order_no) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM numbered GROUP BY ALL)
+"""
+
+
+@_query(
+    "merge_adjacent",
+    _LEADERS.format(gap=10) + ", inorder AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY line_y, x0, seq) AS order_no FROM lined)" + _merged("inorder") + "SELECT doc_id, page_number, merged_no, text, x0, y0, x1, y1 FROM merged",
+)
 def _(t):
     return elements.merge_adjacent(elements.reading_order(t.tokens)).select(*PAGE, "merged_no", "text", "x0", "y0", "x1", "y1")
 
 
-@_query("joined_lines", "SELECT doc_id, page_number, string_agg(text, chr(10) ORDER BY y0) AS text FROM (SELECT doc_id, page_number, y0, string_agg(text, ' ' ORDER BY x0, seq) AS text FROM tokens GROUP BY ALL) GROUP BY ALL")
+@_query("joined_lines", "SELECT doc_id, page_number, string_agg(text, chr(10) ORDER BY y) AS text FROM (SELECT doc_id, page_number, round_even(y0, 1) AS y, string_agg(text, ' ' ORDER BY x0, seq) AS text FROM tokens GROUP BY ALL) GROUP BY ALL")
 def _(t):
     return elements.joined_lines(t.tokens)
 
@@ -250,7 +322,16 @@ def _(t):
     return elements.overlap_pairs(t.tokens)
 
 
-@_query("overlap_groups")
+_MEET = "h.x1 >= {e}.x0 AND {e}.x1 >= h.x0 AND h.y1 >= {e}.y0 AND {e}.y1 >= h.y0"
+
+
+@_query(
+    "overlap_groups",
+    f""", heads AS (SELECT doc_id, page_number, list_reduce(list([{{'seq': seq, 'x0': x0, 'x1': x1, 'y0': y0, 'y1': y1}}] ORDER BY seq), lambda a, b: CASE WHEN len(list_filter(a, lambda h: {_MEET.format(e="b[1]")})) > 0 THEN a ELSE list_concat(a, b) END) AS hs FROM tokens GROUP BY ALL),
+flat AS (SELECT doc_id, page_number, unnest(hs) AS h, generate_subscripts(hs, 1) - 1 AS g FROM heads),
+joined AS (SELECT t.doc_id, t.page_number, t.seq, min(g) AS g FROM tokens t JOIN flat f ON f.doc_id = t.doc_id AND f.page_number = t.page_number AND f.h.seq <= t.seq AND {_MEET.format(e="t").replace("h.", "f.h.")} GROUP BY ALL)
+SELECT doc_id, page_number, CAST(g AS INTEGER) AS group_no, seq FROM joined QUALIFY count(*) OVER (PARTITION BY doc_id, page_number, g) >= 2""",
+)
 def _(t):
     return elements.overlap_groups(t.tokens)
 
@@ -270,7 +351,20 @@ def _(t):
     return elements.region_order(t.elements, t.edge_words, layout.body_paragraphs(t.words, t.pages)).select(*PAGE, "seq", "bucket", "order_no")
 
 
-@_query("merge_complex_layout")
+_KIND = """CASE WHEN regexp_matches(lower(text), '^(fig\\.|figure|table|caption)') OR (font_size > 0 AND font_size < 12 AND NOT is_bold AND length(text) < 200) THEN 1
+  WHEN length(text) < 50 AND (regexp_matches(lower(text), '^(note:|tip:|warning:)') OR (is_bold AND font_size > 0 AND font_size < 14)) THEN 2 ELSE 0 END"""
+
+
+@_query(
+    "merge_complex_layout",
+    f""", kinds AS (SELECT *, {_KIND} AS part FROM elements),
+placed AS (SELECT e.*, CASE WHEN EXISTS (SELECT 1 FROM edge_words r WHERE r.doc_id = e.doc_id AND r.page_number = e.page_number AND (e.x0 + e.x1) / 2 BETWEEN r.x0 AND r.x1 AND (e.y0 + e.y1) / 2 BETWEEN r.y0 AND r.y1) THEN 2
+  WHEN EXISTS (SELECT 1 FROM paragraphs r WHERE r.doc_id = e.doc_id AND r.page_number = e.page_number AND (e.x0 + e.x1) / 2 BETWEEN r.x0 AND r.x1 AND (e.y0 + e.y1) / 2 BETWEEN r.y0 AND r.y1) THEN 0 ELSE 1 END AS bucket FROM kinds e WHERE part = 0),
+inorder AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY bucket, y0 DESC, x0, seq) AS order_no FROM placed)"""
+    + _merged("inorder")
+    + """, every AS (SELECT doc_id, page_number, 0 AS part, merged_no AS n, text FROM merged UNION ALL SELECT doc_id, page_number, part, seq, text FROM kinds WHERE part > 0)
+SELECT doc_id, page_number, CAST(row_number() OVER (PARTITION BY doc_id, page_number ORDER BY part, n) AS INTEGER) AS order_no, CAST(part AS INTEGER) AS part, text FROM every""",
+)
 def _(t):
     return elements.merge_complex(t.elements, t.edge_words, layout.body_paragraphs(t.words, t.pages))
 
@@ -299,7 +393,7 @@ def _(t):
     return t.read("lineitem").select("l_orderkey", "l_linenumber", tx.colour_hex(F.array("l_discount", "l_tax", F.lit(1.0))).alias("color"))
 
 
-@_query("needs_ocr", "SELECT doc_id, page_number, coalesce(raw_text, '') = '' OR length(trim(raw_text, ' ' || chr(10) || chr(9) || chr(13))) < 100 OR length(raw_text)::DOUBLE / 2000 < CAST(0.05 AS DOUBLE) OR (n_images > 0 AND r > CAST(0.4 AS DOUBLE)) AS needs_ocr FROM pg JOIN (SELECT pg.doc_id, pg.page_number, coalesce(sum(greatest(0, x1 - x0) * greatest(0, y1 - y0)) / (595.0::DOUBLE * 842), 0) AS r FROM pg LEFT JOIN images USING (doc_id, page_number) GROUP BY ALL) USING (doc_id, page_number)")
+@_query("needs_ocr", "SELECT doc_id, page_number, coalesce(raw_text, '') = '' OR length(trim(raw_text, ' ' || chr(10) || chr(9) || chr(13))) < 100 OR length(trim(raw_text, ' ' || chr(10) || chr(9) || chr(13)))::DOUBLE / 2000 < CAST(0.05 AS DOUBLE) OR (n_images > 0 AND r > CAST(0.4 AS DOUBLE)) AS needs_ocr FROM pg JOIN (SELECT pg.doc_id, pg.page_number, coalesce(sum(greatest(0, x1 - x0) * greatest(0, y1 - y0)) / (595.0::DOUBLE * 842), 0) AS r FROM pg LEFT JOIN images USING (doc_id, page_number) GROUP BY ALL) USING (doc_id, page_number)")
 def _(t):
     rows = t.pages.join(layout.image_area_ratio(t.images, t.pages), PAGE).withColumn("has_images", F.col("n_images") > 0)
     return rows.select(*PAGE, ocr.needs_ocr(max_image_ratio=0.4).alias("needs_ocr"))
@@ -533,14 +627,38 @@ def _(t):
     return summary.statistics(t.summaries).select("doc_id", "heading_count", "footnote_count", "avg_words_per_page")
 
 
-@_query("summary_markdown")
+_POINTS = """, paras AS (SELECT doc_id, page_number, unnest(string_split(body_text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(body_text, chr(10) || chr(10)), 1) AS i FROM bodies),
+sents AS (SELECT doc_id, page_number, i, trim(string_split(p, '. ')[1], ' ' || chr(10)) AS s FROM paras),
+points AS (SELECT doc_id, k, s || '.' AS point FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, i) AS k FROM sents WHERE length(s) > 20) WHERE k <= 10)
+"""
+_TITLE = ", titles AS (SELECT f.doc_id, coalesce(min_by(l.text, page_number * 100000 + seq), 'Annual Report ' || upper(source[1]) || source[2:]) AS title FROM documents f LEFT JOIN levels l ON l.doc_id = f.doc_id AND l.level = 1 GROUP BY f.doc_id, source)\n"
+
+
+@_query(
+    "summary_markdown",
+    _POINTS + _TITLE + """, totals AS (SELECT doc_id, count(*) AS pages, CAST(sum(word_count) AS BIGINT) AS words FROM stats GROUP BY doc_id),
+h AS (SELECT doc_id, '## Headings' || chr(10) || chr(10) || string_agg('- ' || text, chr(10) ORDER BY page_number, seq) || chr(10) AS a FROM headings GROUP BY doc_id),
+k AS (SELECT doc_id, '## Key Points' || chr(10) || chr(10) || string_agg('- ' || point, chr(10) ORDER BY k) || chr(10) AS b FROM points GROUP BY doc_id),
+c AS (SELECT doc_id, '## Table of Contents' || chr(10) || chr(10) || string_agg(repeat('#', level) || ' ' || text || ' (page ' || page_number || ')', chr(10) ORDER BY level, page_number, seq) || chr(10) AS c FROM levels GROUP BY doc_id),
+f AS (SELECT doc_id, '## Footnotes' || chr(10) || chr(10) || string_agg(n || '. ' || text, chr(10) ORDER BY n) || chr(10) AS d FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, seq) AS n FROM footnotes) GROUP BY doc_id),
+n AS (SELECT doc_id, '## Annotations' || chr(10) || chr(10) || string_agg('- ' || text, chr(10) ORDER BY page_number, seq) || chr(10) AS e FROM annotations GROUP BY doc_id)
+SELECT doc_id, concat_ws(chr(10), '# ' || title || chr(10) || chr(10) || '**Page Count**: ' || pages || chr(10) || chr(10) || '**Word Count**: ' || words || chr(10), a, b, c, d, e) AS markdown
+FROM totals JOIN titles USING (doc_id) LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN n USING (doc_id)""",
+)
 def _(t):
     return t.summaries.select("doc_id", summary.to_markdown().alias("markdown"))
 
 
-@_query("assistant_prompt")
+@_query(
+    "assistant_prompt",
+    _TITLE + """, cut AS (SELECT doc_id, text, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents),
+h AS (SELECT doc_id, string_agg('- ' || text, chr(10) ORDER BY page_number, seq) AS lines FROM headings GROUP BY doc_id)
+SELECT doc_id, 'Document: ' || title || chr(10) || chr(10) || CASE WHEN len(w) <= 2000 THEN text ELSE array_to_string(w[1:2000], ' ') || '...' END || chr(10) || CASE WHEN lines IS NULL THEN '' ELSE chr(10) || 'Known items:' || chr(10) || lines || chr(10) END
+  || chr(10) || 'Give a summary, key points and a table of contents.' || chr(10) AS prompt
+FROM cut JOIN (SELECT DISTINCT doc_id FROM stats) USING (doc_id) JOIN titles USING (doc_id) LEFT JOIN h USING (doc_id)""",
+)
 def _(t):
-    return t.summaries.join(t.docs, "doc_id").select("doc_id", summary.prompt(F.col("title"), F.col("text"), F.col("headings"), 50).alias("prompt"))
+    return t.summaries.join(t.docs, "doc_id").select("doc_id", summary.prompt(F.col("title"), F.col("text"), F.col("headings")).alias("prompt"))
 
 
 @_query("assistant_key_points", "SELECT page_id, coalesce(list_aggregate(list_transform(list_filter(list_transform(string_split(r, chr(10)), lambda x: trim(x)), lambda x: x[1] = '-' OR x[1] = '*'), lambda x: trim(regexp_replace(x, '^[-*]+', '')))[1:2], 'string_agg', '|'), '') AS points FROM (SELECT page_id, 'Points' || chr(10) || '- one ' || page_id || chr(10) || ' * two' || chr(10) || 'x' || chr(10) || '- three' AS r FROM pages)")
@@ -549,9 +667,13 @@ def _(t):
     return t.read("pages").select("page_id", F.array_join(summary.parse_key_points(reply, 2), "|").alias("points"))
 
 
-@_query("assistant_headings", "SELECT page_id, 'Part ' || page_id || '|Next' AS headings FROM pages")
+@_query(
+    "assistant_headings",
+    """SELECT page_id, coalesce(string_agg(trim(replace(l, '#', '')), '|' ORDER BY i), '') AS headings FROM (SELECT page_id, unnest(string_split(r, chr(10))) AS l, generate_subscripts(string_split(r, chr(10)), 1) AS i
+  FROM (SELECT page_id, 'intro' || chr(10) || repeat('#', CAST(page_id % 4 AS INTEGER)) || ' Part ' || page_id || chr(10) || chr(10) || '  # no' || chr(10) || ' ### Next' AS r FROM pages)) WHERE starts_with(trim(l), '##') GROUP BY page_id""",
+)
 def _(t):
-    reply = F.concat(F.lit("intro\n## Part "), F.col("page_id").cast("string"), F.lit("\n\n# no\n### Next"))
+    reply = F.concat(F.lit("intro\n"), F.expr("repeat('#', cast(page_id % 4 as int))"), F.lit(" Part "), F.col("page_id").cast("string"), F.lit("\n\n  # no\n ### Next"))
     return t.read("pages").select("page_id", F.array_join(summary.parse_headings(reply), "|").alias("headings"))
 
 
@@ -578,11 +700,11 @@ def _(t):
     return tables.dimensions(t.cells).select("table_no", "num_rows", "num_cols", "has_header", "is_empty")
 
 
-@_query(
-    "table_alignment",
-    """SELECT table_no, col, CASE WHEN c > 0 AND c >= l AND c >= r THEN 'center' WHEN r > l THEN 'right' ELSE 'left' END AS alignment FROM (SELECT table_no, col, count(*) FILTER (k = 'c') AS c, count(*) FILTER (k = 'r') AS r, count(*) FILTER (k = 'l') AS l
-  FROM (SELECT *, CASE WHEN regexp_full_match(text, '[0-9]{1,5}') THEN 'c' WHEN regexp_matches(text, '[0-9]') AND regexp_matches(text, '[.,%$€£¥]') THEN 'r' ELSE 'l' END AS k FROM cells) GROUP BY table_no, col)""",
-)
+_ALIGNMENTS = """SELECT table_no, col, CASE WHEN c > 0 AND c >= l AND c >= r THEN 'center' WHEN r > l THEN 'right' ELSE 'left' END AS alignment FROM (SELECT table_no, col, count(*) FILTER (k = 'c') AS c, count(*) FILTER (k = 'r') AS r, count(*) FILTER (k = 'l') AS l
+  FROM (SELECT *, CASE WHEN regexp_full_match(text, '[0-9]{1,5}') THEN 'c' WHEN regexp_matches(text, '[0-9]') AND regexp_matches(text, '[.,%$€£¥]') THEN 'r' ELSE 'l' END AS k FROM cells) GROUP BY table_no, col)"""
+
+
+@_query("table_alignment", _ALIGNMENTS)
 def _(t):
     return tables.alignments(t.cells).select("table_no", "col", "alignment")
 
@@ -603,22 +725,30 @@ def _(t):
     return tables.to_markdown(t.cells).select("table_no", "markdown")
 
 
-@_query(
-    "table_aligned_markdown",
-    f"""SELECT table_no, string_agg(CASE WHEN row = 0 THEN line || chr(10) || '| --- | ' || CASE WHEN mid THEN ':---:' ELSE '---' END || ' | ' || CASE WHEN money THEN '---:' ELSE '---' END || ' | --- |' ELSE line END, chr(10) ORDER BY row) AS markdown
+_ALIGNED = f"""SELECT table_no, string_agg(CASE WHEN row = 0 THEN line || chr(10) || sep ELSE line END, chr(10) ORDER BY row) AS markdown
 FROM (SELECT table_no, row, {_GRID.format(cell="replace(replace(text, '|', chr(92) || '|'), '|', chr(92) || '|')")} AS line FROM cells GROUP BY table_no, row)
-JOIN (SELECT table_no, max(row) > 1 OR true AS mid, max(row) > 1 AS money FROM cells GROUP BY table_no) USING (table_no) GROUP BY table_no""",
-)
+JOIN (SELECT table_no, '| ' || string_agg(CASE alignment WHEN 'center' THEN ':---:' WHEN 'right' THEN '---:' ELSE '---' END, ' | ' ORDER BY col) || ' |' AS sep FROM aligned GROUP BY table_no) USING (table_no) GROUP BY table_no"""
+
+
+@_query("table_aligned_markdown", f", aligned AS ({_ALIGNMENTS}) {_ALIGNED}")
 def _(t):
     return tables.to_aligned_markdown(t.cells).select("table_no", "markdown")
 
 
-@_query("table_html")
+@_query(
+    "table_html",
+    f""", aligned AS ({_ALIGNMENTS}), tags AS (SELECT table_no, row, col, CASE WHEN row = 0 THEN 'th' ELSE 'td' END AS tag, alignment, replace(text, '|', chr(92) || '|') AS text FROM cells JOIN aligned USING (table_no, col)),
+lines AS (SELECT table_no, row, '<tr>' || chr(10) || string_agg('<' || tag || ' align="' || alignment || '">' || text || '</' || tag || '>', chr(10) ORDER BY col) || chr(10) || '</tr>' AS line FROM tags GROUP BY table_no, row)
+SELECT table_no, '<table>' || chr(10) || '<caption>Suppliers</caption>' || chr(10) || string_agg(line, chr(10) ORDER BY row) || chr(10) || '</table>' AS html FROM lines GROUP BY table_no""",
+)
 def _(t):
     return tables.to_html(t.cells, "Suppliers").select("table_no", "html")
 
 
-@_query("table_list")
+@_query(
+    "table_list",
+    f", aligned AS ({_ALIGNMENTS}), md AS ({_ALIGNED}) SELECT CAST(1 AS BIGINT) AS doc_id, 1 AS page_number, string_agg('### Table ' || (table_no + 1) || chr(10) || chr(10) || markdown || chr(10), chr(10) ORDER BY table_no) AS markdown FROM md",
+)
 def _(t):
     return tables.listed(t.cells)
 
@@ -665,21 +795,26 @@ def _(t):
     return render.chapter_content(t.bodies, t.boundaries)
 
 
-@_query("chapter_content_whole")
+@_query(
+    "chapter_content_whole",
+    """SELECT c.doc_id, chapter_number, '# ' || title || chr(10) || chr(10) || string_agg(chr(10) || '## Page ' || b.page_number || chr(10) || chr(10) || CASE WHEN body_text = '' THEN '*No text*' ELSE body_text END || chr(10), chr(10) ORDER BY b.page_number) AS content
+FROM (SELECT *, coalesce(lead(page_number) OVER (PARTITION BY doc_id ORDER BY page_number) - 1, 1000000) AS last_page FROM boundaries) c JOIN bodies b ON b.doc_id = c.doc_id AND b.page_number BETWEEN c.page_number AND last_page GROUP BY c.doc_id, chapter_number, title""",
+)
 def _(t):
     return render.chapter_content(t.bodies, t.boundaries, chapters.ranges(t.boundaries, t.pages))
 
 
-@_query("statistics_block")
+@_query(
+    "statistics_block",
+    """SELECT doc_id, chr(10) || '## Summary' || chr(10) || chr(10) || '- **Total Pages**: ' || count(*) || chr(10) || '- **Total Words**: ' || sum(word_count) || chr(10) || '- **Images**: ' || sum(n_images) || chr(10) || '- **Tables**: ' || sum(n_tables) || chr(10) || chr(10)
+  || '| Page | Words | Images | Tables | OCR Used |' || chr(10) || '|------|-------|--------|--------|----------|' || chr(10) || string_agg('| ' || page_number || ' | ' || word_count || ' | ' || n_images || ' | ' || n_tables || ' | No |', chr(10) ORDER BY page_number) AS block FROM pg JOIN stats USING (doc_id, page_number) GROUP BY doc_id""",
+)
 def _(t):
     return render.statistics_block(t.pages, t.statistics)
 
 
 @_query("documents")
 def _(t):
-    t.words = materialised(t.words, "words")  # read by regions, elements and edges: made from the texts once
-    t.elements = materialised(synth.elements(t.words), "elements")
-    t.pages = synth.pages(t.elements)
     found, bodies = materialised(t.boundaries, "boundaries"), materialised(t.bodies, "bodies")
     items = summary.items(t.elements, t.pages, bodies, t.edge_words)
     summaries = summary.summaries(items, bodies, t.statistics, t.files)
@@ -692,9 +827,19 @@ def _(t):
     return t.docs.select("doc_id", file_source.sha256(F.col("text").cast("binary")).alias("sha256"))
 
 
-@_query("file_validation", "SELECT doc_id, path, true AS ok, regexp_replace(path, '\\.pdf$', '_md') AS output FROM files")
+_FILES = "SELECT doc_id, regexp_replace(path, 'pdf$', CASE doc_id % 5 WHEN 0 THEN 'PDF' WHEN 1 THEN 'txt' WHEN 2 THEN 'pdf.bak' ELSE 'pdf' END) AS path, doc_id * 3000017 % 300000000 AS length FROM files"
+
+
+@_query("file_validation", f"SELECT doc_id, path, ends_with(lower(path), '.pdf') AND length <= 209715200 AS ok, regexp_replace(path, '\\.[^./]*$', '') || '_md' AS output FROM ({_FILES})")
+def _(t):
+    suffix = F.when(F.col("doc_id") % 5 == 0, "PDF").when(F.col("doc_id") % 5 == 1, "txt").when(F.col("doc_id") % 5 == 2, "pdf.bak").otherwise("pdf")
+    rows = t.files.select("doc_id", F.concat(F.regexp_replace("path", "pdf$", ""), suffix).alias("path"), (F.col("doc_id") * 3000017 % 300000000).alias("length"))
+    return rows.select("doc_id", "path", file_source.is_valid().alias("ok"), file_source.output_dir("path").alias("output"))
+
+
+@_query("single_output_path", "SELECT doc_id, '/out/' || regexp_extract(path, '([^/]*)\\.[^./]*$', 1) || '.md' AS output FROM files")
 def _(t):
-    return t.files.select("doc_id", "path", file_source.is_valid("path", F.length("path")).alias("ok"), file_source.output_dir("path").alias("output"))
+    return t.files.select("doc_id", file_source.single_output_path("path", "/out/").alias("output"))
 
 
 @_query("resume_antijoin", "SELECT doc_id, page_number FROM pg WHERE NOT (doc_id % 3 = 0 AND page_number % 2 = 1)")
@@ -716,6 +861,115 @@ def _(t):
     return sinks.progress(pages).select("path", "total_pages", F.size("processed_pages").alias("done"), F.size("failed_pages").alias("failed"))
 
 
+@_query("han_characters", "SELECT c, regexp_full_match(c, '[\\x{4E00}-\\x{9FFF}]') AS han FROM (SELECT DISTINCT unnest(string_split(left(text, 50) || '第一, a章!', '')) AS c FROM conversations)")
+def _(t):
+    chars = t.read("conversations").select(F.explode(F.split(F.concat(F.left("text", F.lit(50)), F.lit("第一, a章!")), "")).alias("c")).where("c <> ''").distinct()
+    return chars.select("c", tx.is_chinese_char("c").alias("han"))
+
+
+_SEEN = "SELECT pg.*, body_text, CASE WHEN page_number % 3 = 0 THEN 'seen ' || page_number WHEN page_number % 3 = 1 THEN '' END AS ocr_text FROM pg JOIN bodies USING (doc_id, page_number)"
+
+
+def _seen(t):
+    ocr_text = F.when(F.col("page_number") % 3 == 0, F.concat(F.lit("seen "), F.col("page_number").cast("string"))).when(F.col("page_number") % 3 == 1, "")
+    return t.pages.drop("ocr_text").join(t.bodies, PAGE).withColumn("ocr_text", ocr_text)
+
+
+@_query("page_has_content", f"SELECT doc_id, page_number, (page_number % 2 = 0 AND raw_text <> '') OR n_images > 0 OR n_tables > 0 OR coalesce(ocr_text, '') <> '' AS has_content FROM ({_SEEN})")
+def _(t):
+    return _seen(t).withColumn("raw_text", F.when(F.col("page_number") % 2 == 0, F.col("raw_text"))).select(*PAGE, elements.has_content().alias("has_content"))
+
+
+@_query("page_all_text", f"SELECT doc_id, page_number, concat_ws(chr(10) || chr(10), nullif(body_text, ''), CASE WHEN coalesce(ocr_text, '') <> '' THEN '[OCR]' || chr(10) || ocr_text END) AS whole_text FROM ({_SEEN})")
+def _(t):
+    return _seen(t).select(*PAGE, elements.all_text().alias("whole_text"))
+
+
+@_query("ocr_is_empty", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN true WHEN turn % 3 = 1 THEN trim(text) = '' ELSE true END AS empty FROM conversations")
+def _(t):
+    said = F.when(F.col("turn") % 3 == 1, F.col("text")).when(F.col("turn") % 3 == 2, " \n\t")
+    return t.read("conversations").select("conv_id", "turn", ocr.is_empty(said).alias("empty"))
+
+
+@_query("hf_labels", "SELECT doc_id, kind, norm, upper(kind[1]) || kind[2:] || ': ' || norm || ' (' || count(*) || ' pages)' AS label FROM hf GROUP BY doc_id, kind, norm HAVING count(*) >= 2")
+def _(t):
+    return headers.exact_groups(t.running).withColumn("leader", F.col("norm")).select("doc_id", "kind", "norm", headers.described().alias("label"))
+
+
+@_query("edge_labels", "SELECT doc_id, page_number, seq, '[' || position || ' page ' || page_number || ']: ' || text AS label FROM edges")
+def _(t):
+    return t.edge_texts.select(*PAGE, "seq", edges.described().alias("label"))
+
+
+@_query("summary_of_type", f"SELECT {_ITEMS} FROM items WHERE item_type = 'caption'")
+def _(t):
+    return summary.of_type(t.items, "caption")
+
+
+@_query("summary_labels", "SELECT doc_id, page_number, kind_rank, seq, '[' || item_type || '] Page ' || page_number || ': ' || text AS label FROM items")
+def _(t):
+    return t.items.select(*PAGE, "kind_rank", "seq", summary.described().alias("label"))
+
+
+@_query("assistant_fallback", "SELECT doc_id, string_agg(text, chr(10) ORDER BY page_number, seq) AS headings FROM headings GROUP BY doc_id")
+def _(t):
+    return summary.fallback(t.items).select("doc_id", F.array_join("headings", "\n").alias("headings"))
+
+
+@_query("table_lookups", "SELECT table_no, row, col, text, 'cell' AS part FROM cells WHERE row = 1 AND col = 2 UNION ALL SELECT table_no, row, col, text, 'row' FROM cells WHERE row = 0 UNION ALL SELECT table_no, row, col, text, 'col' FROM cells WHERE col = 3")
+def _(t):
+    cut = lambda rows, part: rows.select("table_no", "row", "col", "text", F.lit(part).alias("part"))
+    return cut(tables.cell(t.cells, 1, 2), "cell").unionByName(cut(tables.row_cells(t.cells, 0), "row")).unionByName(cut(tables.col_cells(t.cells, 3), "col"))
+
+
+@_query("table_text", "SELECT table_no, string_agg(line, chr(10) ORDER BY row) AS text FROM (SELECT table_no, row, string_agg(CASE WHEN (row + col) % 4 = 3 THEN '' ELSE text END, ' | ' ORDER BY col) AS line FROM cells GROUP BY table_no, row) GROUP BY table_no")
+def _(t):
+    cells = t.cells.withColumn("text", F.when((F.col("row") + F.col("col")) % 4 != 3, F.col("text")))
+    rows = cells.groupBy(*tables.TABLE, "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda e: e["text"]).alias("c"))
+    whole = rows.groupBy(*tables.TABLE).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "c"))), lambda e: e["c"]).alias("rows"))
+    return tables.as_text(whole).select("table_no", "text")
+
+
+@_query("image_link_sized", """SELECT doc_id, page_number, '<img src="' || path || '" alt="Page ' || page_number || ' Image" width="640">' AS link FROM images""")
+def _(t):
+    return t.images.select(*PAGE, render.image_link_with_size("path", "path", 640).alias("link"))
+
+
+@_query("section_link", "SELECT doc_id, page_number, seq, '[' || text || '](' || CASE WHEN seq % 2 = 0 THEN 'docs/a.md' ELSE '' END || '#' || trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s-]', '', 'g'), '\\s+', '-', 'g'), '-') || ')' AS link FROM headings")
+def _(t):
+    return t.headings.select(*PAGE, "seq", render.section_link("text", F.when(F.col("seq") % 2 == 0, "docs/a.md")).alias("link"))
+
+
+_RUNS = "SELECT doc_id, page_number, (doc_id + page_number + run) % 4 = 0 AS bad, run FROM pg CROSS JOIN (SELECT unnest([0, 1]) AS run) WHERE (page_number + run) % 2 = 0"
+
+
+def _manifest(t):
+    """Two runs of the pages of each document, the second with the pages that the first left out."""
+    pages = t.pages.select("doc_id", "page_number", F.col("doc_id").cast("string").alias("path"), F.lit("x").alias("sha256"))
+    bad = lambda run: F.when((F.col("doc_id") + F.col("page_number") + run) % 4 == 0, "bad")
+    one = lambda run: sinks.progress(pages.where((F.col("page_number") + run) % 2 == 0).withColumn("error", bad(run))).withColumn("timestamp", F.timestamp_seconds(F.lit(run)))
+    return pages, one(0).unionByName(one(1))
+
+
+@_query("manifest_latest", f"SELECT CAST(doc_id AS VARCHAR) AS path, coalesce(string_agg(page_number, ',' ORDER BY page_number) FILTER (NOT bad), '') AS done, coalesce(string_agg(page_number, ',' ORDER BY page_number) FILTER (bad), '') AS failed, CAST(max(run) AS INTEGER) AS last_run FROM ({_RUNS}) GROUP BY doc_id")
+def _(t):
+    said = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return sinks.latest(_manifest(t)[1]).select("path", said("processed_pages").alias("done"), said("failed_pages").alias("failed"), F.unix_timestamp("timestamp").cast("int").alias("last_run"))
+
+
+@_query("failed_pages", f"SELECT doc_id, page_number FROM ({_RUNS}) WHERE bad")
+def _(t):
+    pages, manifest = _manifest(t)
+    return sinks.failed_pages(pages, manifest).select("doc_id", "page_number")
+
+
+@_query("known_files", f"SELECT DISTINCT CAST(doc_id AS VARCHAR) AS path FROM ({_RUNS}) WHERE doc_id % 3 <> 0")
+def _(t):
+    pages, manifest = _manifest(t)
+    files = pages.select("path", F.when(F.col("doc_id") % 3 == 0, "changed").otherwise("x").alias("sha256")).distinct()
+    return sinks.known_files(files, manifest).select("path")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, (f, _) in _QUERIES.items()}
 
@@ -727,5 +981,3 @@ def oracle_sql() -> dict[str, str]:
             shared = "WITH " + synth.SQL.strip()
             out[name] = shared + (sql if sql.startswith(",") else "\n" + sql)
     return out
-
-

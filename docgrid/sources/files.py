@@ -13,9 +13,10 @@ _EMPTY = "path string, modificationTime timestamp, length long, content binary"
 
 
 def scan_directory(spark: SparkSession, directory: str, with_content: bool = False) -> DataFrame:
-    """The ``*.pdf`` files right in a directory (suffix in small letters), by path; none for a missing directory.
+    """The ``*.pdf`` files right in a directory (suffix in small letters); none for a missing directory.
 
-    Contents are read only where they are asked for.
+    Contents are read only where they are asked for; the list is by path without
+    them, and in no order with them, since bytes aren't shuffled for its sake.
     """
     try:
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "false").load(directory)
@@ -24,7 +25,7 @@ def scan_directory(spark: SparkSession, directory: str, with_content: bool = Fal
             raise
         files = spark.createDataFrame([], _EMPTY)
     columns = ["path", "length", "modificationTime", *(["content"] if with_content else [])]
-    return files.select(*columns).orderBy("path")
+    return files.select(*columns) if with_content else files.select(*columns).orderBy("path")
 
 
 def is_valid(path="path", length="length", max_size_mb: int = MAX_SIZE_MB) -> Column:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docgrid import cli, schemas
-from docgrid.operators import chapters, edges, elements, headers, ocr, render, sinks, summary, tables
+from docgrid.operators import chapters, edges, elements, headers, layout, ocr, render, sinks, summary, tables
 from docgrid.plans import convert
 from docgrid.sources import files, pdf
 from docgrid.streaming import new_files
@@ -84,6 +84,65 @@ def test_stream_of_new_files_is_idempotent(spark, books, tmp_path):
     assert rows.where("page_number > 0").count() == 4 and sinks.read_manifest(spark, str(tmp_path / "t" / "manifest")).count() == 2
 
 
+def test_stream_batch_that_runs_again_loses_and_adds_nothing(spark, books, tmp_path):
+    import shutil
+
+    for _ in range(2):  # the second time as after a crash before the commit
+        new_files.watch(spark, books, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(120)
+        shutil.rmtree(tmp_path / "c" / "commits")
+    rows = spark.read.parquet(str(tmp_path / "t" / "pages"))
+    assert rows.where("page_number > 0").count() == 4 and sinks.read_manifest(spark, str(tmp_path / "t" / "manifest")).count() == 2
+    assert sinks.remove_manifest(spark, str(tmp_path / "t" / "manifest")) and sinks.read_manifest(spark, str(tmp_path / "t" / "manifest")).count() == 0
+
+
+def test_needs_ocr_counts_stripped_text(spark):
+    rows = [("x" * 120 + " " * 5000, 2000, False, 0.0), ("x" * 99, 10, False, 0.0), ("x" * 120, 2401, False, 0.0), ("x" * 120, 0, True, 0.81), ("x" * 120, 300, True, 0.8), ("", 0, False, 0.0), (None, 0, None, None)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, raw_text string, usual int, has_images boolean, image_area_ratio double")
+    got = [r.x for r in df.orderBy("k").select(ocr.needs_ocr(typical_length=F.col("usual")).alias("x")).collect()]
+    assert got == [len((t or "").strip()) < 100 or (u > 0 and len(t.strip()) / u < 0.05) or bool(i and a > 0.8) for t, u, i, a in rows] and got[0] is False
+
+
+def test_tenths_are_rounded_as_binary_values(spark):
+    import random
+
+    r = random.Random(1)
+    values = [0.15, 0.25, 0.35, 0.45, 2.675, 1.05, -0.15, -0.25, 0.05, 842.0, 100.25, 100.75] + [r.choice([round(r.uniform(0, 900), 2), r.uniform(-5, 900), r.randrange(9000) / 8]) for _ in range(3000)]
+    got = [x.k for x in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(elements.tenths("v").alias("k")).collect()]
+    assert got == [round(v, 1) for v in values]
+
+
+def test_merging_is_a_fold(spark):
+    import random
+
+    r = random.Random(2)
+    texts = ["word", "End.", "Next", "9", " ", "a ", ".", "中文", "", "x! "]
+    rows = []
+    for page in range(40):
+        x = 0.0
+        for k in range(30):
+            x += r.choice([0.0, 2.0, 6.0, 40.0])
+            rows.append((1, page, k, k, r.choice(texts), x, 10.0 + r.choice([0.0, 0.0, 1.0, 4.0, 9.0]), x + 5, 20.0, r.choice([0.0, 12.0, 12.0, 15.0]), False))
+            x += 5
+    df = spark.createDataFrame(rows, "doc_id long, page_number int, order_no int, seq int, text string, x0 double, y0 double, x1 double, y1 double, font_size double, is_bold boolean")
+    got = sorted((g.page_number, g.merged_no, g.text, g.x0, g.y0, g.x1, g.y1, g.font_size, g.seq) for g in elements.merge_adjacent(df).collect())
+    want = []
+    for page in range(40):
+        done = []
+        for _, _, k, _, t, x0, y0, x1, y1, size, _ in (x for x in rows if x[1] == page):
+            a = done[-1] if done else None
+            if a:
+                stop = a[0].strip()[-1:] in tuple(".!?。！？;；：") and (t.strip()[:1].isupper() or t.strip()[:1].isdigit())
+                sizes = a[5] > 0 and size > 0 and abs(a[5] - size) > elements.SIZE_GAP
+                if a[0].strip() and t and abs(a[2] - y0) <= elements.LINE_GAP and x0 - a[3] <= elements.MERGE_GAP and not stop and not sizes:
+                    latin = lambda c: c.isascii() and c.isalnum()
+                    space = x0 - a[3] > elements.SPACE_GAP or (latin(a[0][-1]) and latin(t[0]))
+                    done[-1] = [a[0] + " " * space + t, min(a[1], x0), min(a[2], y0), max(a[3], x1), max(a[4], y1), a[5], a[6]]
+                    continue
+            done.append([t, x0, y0, x1, y1, size, k])
+        want += [(page, n, *d) for n, d in enumerate(done)]
+    assert got == sorted(want)
+
+
 def pages_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, page_number int, width double, height double, raw_text string, n_images int, n_tables int, ocr_text string")
 
@@ -154,7 +213,9 @@ def test_ocr_engine_sees_only_pages_that_need_it(spark):
             return "text", 0.85, "en", [[[0.0, 1.0]]]
 
     rows = spark.createDataFrame([(1, True, b"x"), (2, True, b"bad"), (3, False, b"x"), (4, True, None)], "k int, needs_ocr boolean, image binary")
-    got = {r.k: r.ocr for r in ocr.recognised(rows, lambda: Engine()).collect()}
+    found = ocr.recognised(rows, lambda: Engine()).collect()
+    assert {r.k: r.ocr_error for r in found} == {1: None, 2: "ValueError: ", 3: None, 4: None}
+    got = {r.k: r.ocr for r in found}
     assert got[1].text == "text" and got[1].boxes == [[[0.0, 1.0]]] and got[2] is None and got[3] is None and got[4] is None
 
 
@@ -187,3 +248,78 @@ def test_ruled_tables_and_images(spark, tmp_path):
     whole = (tmp_path / "out" / "t_md" / "docs" / "complete_content.md").read_text()
     assert "| Name | Value |\n| --- | --- |\n| abc | $1.50 |" in whole and "![Page 1 Image 1](../assets/page_1_image_1.jpg)" in whole
     assert (tmp_path / "out" / "t_md" / "assets" / "page_1_image_1.jpg").read_bytes() == b"JPEG"
+
+
+def picture_pdf(entries, data, text=b""):
+    """A page with one image of 5 by 4 samples that covers nearly all of it."""
+    body = b"q 590 0 0 840 0 0 cm /I1 Do Q" + text
+    parts = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", b"<< /Type /Page /MediaBox [0 0 595 842] /Resources << /XObject << /I1 5 0 R >> >> /Contents 4 0 R >>"]
+    parts += [b"<< /Length %d >>\nstream\n" % len(body) + body + b"\nendstream", b"<< /Subtype /Image /Width 5 /Height 4 %s /Length %d >>\nstream\n" % (entries, len(data)) + data + b"\nendstream"]
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i + 1, p) for i, p in enumerate(parts)) + b"%%EOF"
+
+
+def samples(png):
+    """Scan lines of a PNG file."""
+    at, out = 8, b""
+    while at < len(png):
+        n, kind = int.from_bytes(png[at : at + 4], "big"), png[at + 4 : at + 8]
+        body = png[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + body) == int.from_bytes(png[at + 8 + n : at + 12 + n], "big")
+        out += body if kind == b"IDAT" else b""
+        at += 12 + n
+    return zlib.decompress(out)
+
+
+def test_images_of_plain_samples_become_png():
+    rgb, grey = bytes(range(60)), bytes(range(20))
+    rows = lambda data, n: b"".join(b"\0" + data[i : i + n] for i in range(0, len(data), n))
+    image = lambda entries, data: pdf.page_chars(f := pdf.File(picture_pdf(entries, data)), f.pages()[0])[3][0]
+    flate = b"/Filter /FlateDecode"
+    got = image(b"/BitsPerComponent 8 /ColorSpace /DeviceRGB " + flate, zlib.compress(rgb))
+    assert got["format"] == "png" and samples(got["data"]) == rows(rgb, 15) and got["data"][16:26] == b"\0\0\0\5\0\0\0\4\x08\2"
+    assert samples(image(b"/BitsPerComponent 8 /ColorSpace /DeviceGray", grey)["data"]) == rows(grey, 5)
+    lines = b"".join(b"\2" + rgb[i : i + 15] for i in range(0, 60, 15))
+    assert samples(image(b"/BitsPerComponent 8 /ColorSpace /DeviceRGB /DecodeParms << /Predictor 15 /Colors 3 /Columns 5 >> " + flate, zlib.compress(lines))["data"]) == lines
+    assert samples(image(b"/BitsPerComponent 8 /ColorSpace /DeviceCMYK " + flate, zlib.compress(b"\0\0\0\0" * 19 + b"\xff\0\0\0"))["data"])[-3:] == b"\0\xff\xff"
+    assert b"PLTE" in image(b"/BitsPerComponent 8 /ColorSpace [/Indexed /DeviceRGB 1 <000000ffffff>]", b"\0\1" * 10)["data"]
+    assert image(b"/BitsPerComponent 8 /ColorSpace /DeviceRGB", b"short")["format"] == "raw" and image(b"/Filter /JPXDecode", b"x")["format"] == "jp2"
+
+
+def test_conversion_recognises_scanned_pages(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "scan.pdf").write_bytes(picture_pdf(b"/BitsPerComponent 8 /ColorSpace /DeviceGray", bytes(range(20))))
+    (d / "bad.pdf").write_bytes(picture_pdf(b"/Filter /DCTDecode", b"JPEG"))
+
+    class Engine:
+        def recognise(self, image):
+            if not image.startswith(b"\x89PNG"):
+                raise ValueError("no picture")
+            return "What the scan says.", 0.9, "en", []
+
+    out = tmp_path / "out"
+    got = {r.path.rsplit("/", 1)[-1]: r for r in convert.convert(spark, str(d), str(out), options=convert.Options(make_engine=lambda: Engine())).collect()}
+    assert got["scan.pdf"].success and got["bad.pdf"].success
+    content = (out / "scan_md" / "docs" / "complete_content.md").read_text()
+    assert "### OCR Extracted Text\n\nWhat the scan says." in content and "page_1_image_1.png" in content
+    assert (out / "scan_md" / "assets" / "page_1_image_1.png").read_bytes().startswith(b"\x89PNG")
+    errors = {r.path.rsplit("/", 1)[-1]: r.ocr_error for r in spark.read.parquet(str(out / "_pages")).collect()}
+    assert errors == {"scan.pdf": None, "bad.pdf": "ValueError: no picture"}
+    plain = convert.Options(make_engine=lambda: Engine(), include_images=False, include_ocr_text=False, include_tables=False)
+    convert.convert(spark, str(d), str(tmp_path / "out2"), options=plain).collect()
+    content = (tmp_path / "out2" / "scan_md" / "docs" / "complete_content.md").read_text()
+    assert "What the scan says" not in content and "image" not in content and not (tmp_path / "out2" / "scan_md" / "assets").exists()
+
+
+def test_parameters_of_chapters_and_layout(spark):
+    rows = [(1, 1, 0, "Chapter 1", 0.0, 10.0, 50.0, 20.0, 13.0, True), (1, 2, 0, "Chapter 2", 0.0, 10.0, 50.0, 20.0, 15.0, True)]
+    e = spark.createDataFrame(rows, "doc_id long, page_number int, seq int, text string, x0 double, y0 double, x1 double, y1 double, font_size double, is_bold boolean")
+    p = pages_of(spark, [(1, i, 595.0, 842.0, "", 0, 0, None) for i in (1, 2)])
+    assert chapters.from_pages(e, p).count() == 1 and chapters.from_pages(e, p, min_font_size=12.0).count() == 2
+    lay = spark.createDataFrame([(1, 1, 1, 100.0, 100.0, 0.50), (1, 2, 1, 108.0, 100.0, 0.60)], "doc_id long, page_number int, n_body int, width double, height double, text_density double")
+    flags = lambda **k: chapters.changes(lay, **k).where("page_number = 2").select("layout_change", "density_change").first()
+    assert tuple(flags()) == (False, False) and tuple(flags(layout_change=0.05, density_change=0.1)) == (True, True)
+    words = spark.createDataFrame([(1, 1, 0, "head", 100.0, 140.0, 55.0, 65.0), (1, 1, 1, "side", 60.0, 70.0, 300.0, 310.0)], "doc_id long, page_number int, seq int, text string, x0 double, x1 double, top double, bottom double")
+    assert layout.header(words).count() == 0 and layout.header(words, 60.0).count() == 1
+    assert layout.edge_words(words, p).count() == 0 and layout.edge_words(words, p, 80.0).count() == 1
+    assert layout.analyze(words, p, header_height=60.0, margin=80.0).orderBy("page_number").first().n_edge == 1
