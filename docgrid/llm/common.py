@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -56,15 +56,37 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/docgrid/{name}-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._docgrid_path = path
+    return out
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes the tables that :func:`saved` has written so far; results not read yet may still need them."""
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`saved` that nothing will read again."""
+    for t in tables:
+        if path := getattr(t, "_docgrid_path", None):
+            _delete(t.sparkSession, [path])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+    _written[:] = [p for p in _written if p not in paths]
+
+
+def saved_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows that `make` gives, saved; the tables that were saved in making them are deleted."""
+    before = len(_written)
+    out = saved(make(), name)
+    _delete(out.sparkSession, _written[before:-1])
+    return out
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that :func:`saved` has written so far; results not read yet may still need them."""
+    _delete(spark, list(_written))
 
 
 #: Bits of a Bloom filter: 16 for each id, within these bounds; what is broadcast is 16 MB at most.
@@ -155,10 +177,11 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = spread_join(large, low.select("u", "m"), "u", low, n)
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+        old, now = now, saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        dropped(old, large)
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._docgrid_path = now._docgrid_path
+    return out
 
 
 #: Edges that a task unites at once.

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved, spread_join
+from .common import components, dropped, saved, spread_join
 
 COSINE = 0.93
 PROJECTIONS = 48
@@ -126,6 +126,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     comp = components(found, "head", "to")
     known = classes.select("mark", "head", "copies").join(n.withColumnRenamed("head", "mark"), "mark", "left").join(comp.withColumnRenamed("node", "mark"), "mark", "left")
     known = saved(known.select("mark", "head", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "mark").alias("component")), "known")
+    dropped(classes, found, comp)
     total = rows.count()
     least = known.groupBy("component").agg(F.min("head").alias("component_id"), F.count("*").alias("n"))
     known = spread_join(known, least.drop("n"), "component", least.select("component", "n"), total)

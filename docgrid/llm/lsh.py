@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved, spread_join
+from .common import components, dropped, saved, spread_join
 
 #: Multipliers and shifts of a 64-bit finaliser (fixed values).
 MIX_A, MIX_B, MIX_C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -265,7 +265,9 @@ def linked(
         ids = both_ends(pairs).unionByName(members.select("id"))
         kept = saved(texts(ids, ids.count()), "texts")
         texts = lambda ids, n: kept.join(ids.distinct(), "id", "left_semi")
-    comp = components(saved(_verified(pairs, texts, bags, counted, least), "links"))
+    links = saved(_verified(pairs, texts, bags, counted, least), "links")
+    comp = components(links)
+    dropped(pairs, links)
     if none:
         return comp
     known = members.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -277,9 +279,11 @@ def linked(
     y = some.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
     rest = saved(x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct(), "pairs")
     more = saved(_verified(rest, texts, bags, counted, least).unionByName(_in_blocks(open_.where(F.col("n") > SMALL), texts, bags, counted, least, hold)), "links")
-    if more.isEmpty():
-        return comp
-    return components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
+    if not more.isEmpty():
+        first, comp = comp, components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
+        dropped(first)
+    dropped(known, open_, rest, more, *([kept] if hold else []))
+    return comp
 
 
 def _verified(pairs: DataFrame, texts: Callable, bags: Callable, counted: bool, least: float) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, saved, small_batches, spread_join
+from .common import among, dropped, saved, small_batches, spread_join
 from .lsh import SKETCH_BITS, Segments, Signed, candidates, linked, mixed, sketches, slices
 
 WORDS = 5
@@ -151,6 +151,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found = saved(candidates(own.select("id", "text"), _signed, SIMILARITY), "candidates")
     comp = linked(found, texts, shingles, True, SIMILARITY)
+    dropped(found)
     rows = saved(own.select("doc_id", "id"), "ids")
     total = rows.count()
     single = rows.groupBy("id").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))

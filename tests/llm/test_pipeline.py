@@ -1,7 +1,7 @@
 """The corpus pipeline, stage by stage and as a whole."""
 
 import corpus_pipeline
-from docgrid.llm import linededup, minhash
+from docgrid.llm import common, linededup, minhash
 from docgrid.llm.common import saved
 
 
@@ -16,5 +16,7 @@ def test_pipeline_stages(spark, sf):
         if name == "minhash_dedup":
             assert minhash.near_duplicates(kept).where("not kept").count() == 0
     assert kept.count() > 0.6 * docs.count()
+    before = set(common._written)
     pieces = corpus_pipeline.run(spark, sf)
+    assert sorted(p.rsplit("/", 1)[-1].split("-")[1] for p in set(common._written) - before) == sorted(name for name, _ in corpus_pipeline.STAGES[:-1])  # nothing else is left behind
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
