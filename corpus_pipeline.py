@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from docgrid.llm import linededup, minhash, packing, pii, toxicity
-from docgrid.llm.common import saved
+from docgrid.llm.common import saved_alone
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +49,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each stage's rows written as Parquet and read again."""
+    """All stages over the documents table, each stage's rows written as Parquet and read again; what a stage wrote besides is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = saved_alone(partial(stage, spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
