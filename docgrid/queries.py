@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import chapters, edges, elements, headers, images, layout, ocr, render, sinks, summary, tables
-from .plans import synth
+from .plans import convert, synth
 from .plans.materialise import materialised
 from .sources import files as file_source
+from .sources import pdf
 
 PAGE = elements.PAGE
 _QUERIES: dict[str, tuple[Callable, str | None]] = {}
@@ -970,6 +971,32 @@ def _(t):
     return sinks.known_files(files, manifest).select("path")
 
 
+_SHEETS = """, sheet_lines AS (SELECT doc_id, page_number, ln, string_agg(text, ' ' ORDER BY seq) AS line FROM words GROUP BY ALL)
+"""
+
+
+def _pdf(t):
+    return pdf.read_pages(synth.pdf_files(t.words)).withColumn("doc_id", F.regexp_extract("path", r"(\d+)\.pdf", 1).cast("long"))
+
+
+@_query(
+    "pdf_pages",
+    _SHEETS + """SELECT doc_id, page_number, string_agg(line, chr(10) ORDER BY ln) AS raw_text, CAST(sum(length(line)) AS BIGINT) AS n_chars, CASE WHEN page_number % 4 = 0 THEN 1 ELSE 0 END AS n_images, 1 AS n_tables,
+  rtrim(min(left(line, 82)) FILTER (ln % 30 = 0)) AS boxed, CASE WHEN page_number % 4 = 0 THEN 'png' ELSE '' END AS format, CAST(595 AS DOUBLE) AS width FROM sheet_lines GROUP BY doc_id, page_number""",
+)
+def _(t):
+    rows = _pdf(t)
+    boxed, kind = F.get(F.get(F.get("tables", F.lit(0)), F.lit(0)), F.lit(0)), F.coalesce(F.get("images", F.lit(0))["format"], F.lit(""))
+    return rows.select("doc_id", "page_number", "raw_text", F.size("chars").cast("long").alias("n_chars"), "n_images", "n_tables", boxed.alias("boxed"), kind.alias("format"), "width")
+
+
+@_query("pdf_words", _SHEETS + "SELECT doc_id, page_number, ln % 30 AS line_no, CAST(row_number() OVER (PARTITION BY doc_id, page_number, ln ORDER BY seq) AS INTEGER) AS word_no, text, CAST(12 AS DOUBLE) AS font_size FROM words")
+def _(t):
+    words = convert.words_of(_pdf(t))
+    w = Window.partitionBy(*PAGE, "top").orderBy("x0")
+    return words.select(*PAGE, F.round((F.col("top") - 32.4) / 24).cast("int").alias("line_no"), F.row_number().over(w).alias("word_no"), "text", "font_size")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, (f, _) in _QUERIES.items()}
 
