@@ -814,7 +814,32 @@ def _(t):
     return render.statistics_block(t.pages, t.statistics)
 
 
-@_query("documents")
+_SECTION = "chr(10) || '### {name}' || chr(10) || chr(10) || string_agg({line}, chr(10) ORDER BY {order}) || chr(10)"
+_DOCUMENTS = (
+    _POINTS + _TITLE + f""", totals AS (SELECT doc_id, count(*) AS pages, CAST(sum(word_count) AS BIGINT) AS words FROM stats GROUP BY doc_id),
+k AS (SELECT doc_id, {_SECTION.format(name="Key Points", line="'- ' || point", order="k")} AS a FROM points GROUP BY doc_id),
+h AS (SELECT doc_id, {_SECTION.format(name="Headings", line="'- ' || text", order="page_number, seq")} AS b FROM headings GROUP BY doc_id),
+f AS (SELECT doc_id, {_SECTION.format(name="Footnotes", line="n || '. ' || text", order="n")} AS c FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, seq) AS n FROM footnotes) GROUP BY doc_id),
+n AS (SELECT doc_id, {_SECTION.format(name="Annotations", line="'- ' || text", order="page_number, seq")} AS d FROM annotations GROUP BY doc_id),
+toc AS (SELECT doc_id, string_agg(repeat('#', level) || ' ' || text || ' (page ' || page_number || ')', chr(10) ORDER BY level, page_number, seq) || chr(10) AS toc FROM levels GROUP BY doc_id),
+es AS (SELECT doc_id, chr(10) || '## Edge Text' || chr(10) || chr(10) || string_agg(part, chr(10) ORDER BY r) AS edge FROM (SELECT doc_id, list_position(['left', 'right', 'top', 'bottom'], position) AS r,
+  '### ' || upper(position[1]) || position[2:] || chr(10) || {_LIST.format(line="'- Page ' || CAST(page_number AS VARCHAR) || ': ' || text")} || chr(10) AS part FROM edges GROUP BY doc_id, position) GROUP BY doc_id),
+whole AS (SELECT doc_id, string_agg(chr(10) || '## Page ' || page_number || chr(10) || CASE WHEN body_text <> '' THEN chr(10) || body_text || chr(10) ELSE '' END, chr(10) ORDER BY page_number) AS content FROM bodies GROUP BY doc_id),
+form AS (SELECT doc_id, bool_or(n_images > 0) OR count(*) >= 10 AS multi FROM pg GROUP BY doc_id),
+parts AS (SELECT b.doc_id, chapter_number, '# ' || title || chr(10) || chr(10) || chr(10) || '## Page ' || b.page_number || chr(10) || chr(10) || CASE WHEN body_text = '' THEN '*No text*' ELSE body_text END || chr(10) AS content FROM boundaries b JOIN bodies USING (doc_id, page_number)),
+said AS (SELECT doc_id, multi, content, edge, 'annual_report-' || source || '.md' AS name,
+  '# Annual Report ' || upper(source[1]) || source[2:] || chr(10) || chr(10) || '*Generated from: `/in/annual_report-' || source || '.pdf`*' || chr(10) AS head,
+  '## Table of Contents' || chr(10) || chr(10) || coalesce(toc, '- [Introduction](./docs/complete_content.md)' || chr(10) || chr(10) || '- [Summary](#summary)' || chr(10) || chr(10) || '- [Images](#images)' || chr(10) || chr(10) || '- [Edge Text](#edge-text)' || chr(10)) AS toc,
+  concat_ws(chr(10), chr(10) || '## Summary' || chr(10) || chr(10) || '**Title**: ' || title || chr(10) || chr(10) || '**Page Count**: ' || pages || chr(10) || chr(10) || '**Word Count**: ' || words || chr(10), a, b, c, d) AS summary
+  FROM documents JOIN form USING (doc_id) JOIN totals USING (doc_id) JOIN titles USING (doc_id) LEFT JOIN whole USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN h USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN toc USING (doc_id) LEFT JOIN es USING (doc_id))
+SELECT doc_id, name AS path, CASE WHEN multi THEN concat_ws(chr(10), head, toc, summary, chr(10) || '## Content' || chr(10) || chr(10) || '*Full content available in the docs/ directory.*' || chr(10), edge, '{{closing}}')
+  ELSE concat_ws(chr(10), head, summary, chr(10) || '## Content' || chr(10), content, edge, '{{closing}}') END AS content FROM said
+UNION ALL SELECT doc_id, 'docs/complete_content.md', content FROM said WHERE multi AND doc_id NOT IN (SELECT doc_id FROM parts)
+UNION ALL SELECT doc_id, 'docs/chapter_' || chapter_number || '.md', content FROM parts WHERE doc_id IN (SELECT doc_id FROM form WHERE multi)"""
+)
+
+
+@_query("documents", _DOCUMENTS.replace("{closing}", render.CLOSING.replace("'", "''")))
 def _(t):
     found, bodies = materialised(t.boundaries, "boundaries"), materialised(t.bodies, "bodies")
     items = summary.items(t.elements, t.pages, bodies, t.edge_words)
