@@ -30,9 +30,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 #: Texts of one key that are paired with each other at once; more are split by their sketches, up to SPLIT of them, or linked to one of them first.
 SMALL, SPLIT = 16, 2048
 #: Entries that a task sorts before it hands them on, and texts of one key among them from which on only one of them is handed on.
-CHUNK, HOT = 1 << 20, 64
+CHUNK, HOT = 1 << 18, 64
 #: Bytes of input for one bucket of entries, and how many buckets there may be.
-BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 8 << 20, 8, 1 << 20
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 2 << 20, 8, 1 << 20
 #: Members and characters of a block; a task compares two blocks.
 BLOCK, BLOCK_CHARS = 512, 4_000_000
 #: Characters of texts that are shingled at once; a longer text is taken alone.
