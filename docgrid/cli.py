@@ -8,7 +8,9 @@ import logging
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .operators.sinks import has_space
 from .plans.convert import Options, convert
+from .plans.progress import reported
 
 log = logging.getLogger("docgrid")
 
@@ -20,11 +22,19 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--output", required=True, help="folder for the results")
     p.add_argument("--resume", action="store_true", help="leave files alone that were converted whole and haven't changed")
     p.add_argument("--boundary-page-only", action="store_true", help="chapter files hold the chapter's first page only")
+    p.add_argument("--no-images", action="store_true", help="leave images out of the results")
+    p.add_argument("--no-tables", action="store_true", help="leave tables out of the results")
+    p.add_argument("--required-mb", type=int, default=1000, help="free space without which nothing is done")
     p.add_argument("--verbose", action="store_true")
     a = p.parse_args(argv)
     logging.basicConfig(level=logging.DEBUG if a.verbose else logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
     spark = SparkSession.builder.appName("docgrid").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    rows = convert(spark, a.source, a.output, a.resume, Options(whole_chapters=not a.boundary_page_only))
+    if not has_space(spark, a.output, a.required_mb):
+        log.error("less than %d MB are free at %s", a.required_mb, a.output)
+        return 1
+    options = Options(whole_chapters=not a.boundary_page_only, include_images=not a.no_images, include_tables=not a.no_tables)
+    with reported(spark, f"conversion of {a.source}", log):
+        rows = convert(spark, a.source, a.output, a.resume, options)
     n = rows.agg(F.count("*").alias("files"), F.count_if("success").alias("good"), F.coalesce(F.sum("processed_pages"), F.lit(0)).alias("pages")).first()
     log.info("%d files, %d without errors, %d pages", n.files, n.good, n.pages)
     return int(n.good < n.files)

@@ -45,6 +45,40 @@ def matched(page_images: DataFrame, objects: DataFrame, tolerance: float = 1.0)
     return both.where("k = 1").select(*page_images.columns, "object_no", "near")
 
 
+def recognition_size(max_dimension: int = 2000) -> Column:
+    """struct(width, height) in which an image goes to recognition: its longer side at most max_dimension, whole numbers."""
+    w, h = _c("width"), _c("height")
+    ratio = F.lit(max_dimension) / F.greatest(w, h)
+    large = F.greatest(w, h) > max_dimension
+    side = lambda c, name: F.when(large, F.floor(c * ratio)).otherwise(c).cast("int").alias(name)
+    return F.struct(side(w, "width"), side(h, "height"))
+
+
+def for_recognition(images: DataFrame, max_dimension: int = 2000, contrast: float = 1.2) -> DataFrame:
+    """images (width, height, data) as recognition takes them: in three colours, no larger than max_dimension, with more contrast, as PNG; as they are where the pixel library is missing or can't read them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        try:
+            from PIL import Image, ImageEnhance
+        except ImportError:
+            Image = None
+        for b in batches:
+            out = []
+            for data, w, h in zip(b["data"], b["w"], b["h"]):
+                try:
+                    picture = Image.open(io.BytesIO(bytes(data))).convert("RGB")
+                    picture = picture if picture.size == (w, h) else picture.resize((int(w), int(h)))
+                    to = io.BytesIO()
+                    ImageEnhance.Contrast(picture).enhance(contrast).save(to, "PNG")
+                    out.append(to.getvalue())
+                except Exception:
+                    out.append(data)
+            yield pd.Series(out)
+
+    size = recognition_size(max_dimension)
+    return images.withColumn("data", F.pandas_udf(run, "binary")(F.struct(F.col("data"), size["width"].alias("w"), size["height"].alias("h"))))
+
+
 def optimised(images: DataFrame, max_width: int = 1920, quality: int = 85, format: str = "png") -> DataFrame:
     """images (width, height, data) scaled down to max_width and encoded anew where the pixel library is installed; data that it can't read stays as it is."""
 

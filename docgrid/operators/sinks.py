@@ -39,6 +39,19 @@ def write_files(documents: DataFrame, root: str, overwrite: bool = True) -> None
     documents.select("path", "content").foreachPartition(write)
 
 
+def has_space(spark: SparkSession, path: str, required_mb: int = 1000) -> bool:
+    """Whether the file system of a path, which need not exist yet, has that much room; false if it can't be asked."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        while not files.exists(at) and at.getParent() is not None:
+            at = at.getParent()
+        return files.getStatus(at).getRemaining() >= required_mb * 1024 * 1024
+    except Exception:  # whatever the file system's client throws
+        return False
+
+
 def read_manifest(spark: SparkSession, path: str, without_batch: int | None = None) -> DataFrame:
     """All manifest rows, or those of other batches only; none if nothing has been written yet."""
     try:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,3 +183,38 @@ def fallback(rows: DataFrame) -> DataFrame:
     """What stands in for an assistant's summary: the headings of each document."""
     return of_type(rows, "heading").groupBy("doc_id").agg(_ordered(["page_number", "seq"], "text").alias("headings"))
 
+
+class Assistant(Protocol):
+    """What answers a prompt; made once a worker."""
+
+    def reply(self, prompt: str) -> str: ...
+
+
+def assisted(prompts: DataFrame, make_assistant: Callable[[], Assistant], column: str = "prompt") -> DataFrame:
+    """prompts with ``reply`` and ``reply_error``: what the assistant says, or what went wrong; null prompts aren't sent."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        assistant = make_assistant()
+        for b in batches:
+            rows = []
+            for p in b:
+                try:
+                    rows.append((None if p is None else assistant.reply(p), None))
+                except Exception as e:
+                    rows.append((None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["reply", "error"])
+
+    got = prompts.withColumn("_got", F.pandas_udf(run, "reply string, error string")(column))
+    return got.withColumn("reply", F.col("_got.reply")).withColumn("reply_error", F.col("_got.error")).drop("_got")
+
+
+def assistant_summaries(prompts: DataFrame, items: DataFrame, make_assistant: Callable[[], Assistant] | None = None, max_points: int = 5) -> DataFrame:
+    """``doc_id, headings, key_points, by, reply_error`` for prompts (doc_id, prompt): the assistant's, or the rules' headings where there is no assistant or it fails."""
+    said = prompts.withColumn("reply", F.lit(None).cast("string")).withColumn("reply_error", F.lit(None).cast("string")) if make_assistant is None else assisted(prompts, make_assistant)
+    rows = said.join(fallback(items).withColumnRenamed("headings", "own"), "doc_id", "left")
+    empty = F.array().cast("array<string>")
+    ok = F.col("reply").isNotNull()
+    return rows.select(
+        "doc_id", F.when(ok, parse_headings(F.col("reply"))).otherwise(F.coalesce("own", empty)).alias("headings"), F.when(ok, parse_key_points(F.col("reply"), max_points)).otherwise(empty).alias("key_points"),
+        F.when(ok, "assistant").otherwise("rules").alias("by"), "reply_error",
+    )

@@ -171,6 +171,11 @@ def _(t):
     return t.images.select(*PAGE, layout.resized().alias("r")).select(*PAGE, F.col("r.width").alias("new_width"), F.col("r.height").alias("new_height"))
 
 
+@_query("image_recognition_size", "SELECT doc_id, page_number, CAST(CASE WHEN greatest(width, height) > 2000 THEN floor(width * (2000::DOUBLE / greatest(width, height))) ELSE width END AS INTEGER) AS w, CAST(CASE WHEN greatest(width, height) > 2000 THEN floor(height * (2000::DOUBLE / greatest(width, height))) ELSE height END AS INTEGER) AS h FROM images")
+def _(t):
+    return t.images.select(*PAGE, images.recognition_size().alias("s")).select(*PAGE, F.col("s.width").alias("w"), F.col("s.height").alias("h"))
+
+
 @_query(
     "image_crop_box",
     "SELECT doc_id, page_number, CAST(greatest(0, least(CAST(trunc(x0 * (1240 / 595::DOUBLE)) AS INTEGER), 1240)) AS INTEGER) AS l, CAST(greatest(0, least(CAST(trunc(x1 * (1240 / 595::DOUBLE)) AS INTEGER), 1240)) AS INTEGER) AS r FROM images WHERE x1 > x0",

@@ -323,3 +323,34 @@ def test_parameters_of_chapters_and_layout(spark):
     assert layout.header(words).count() == 0 and layout.header(words, 60.0).count() == 1
     assert layout.edge_words(words, p).count() == 0 and layout.edge_words(words, p, 80.0).count() == 1
     assert layout.analyze(words, p, header_height=60.0, margin=80.0).orderBy("page_number").first().n_edge == 1
+
+
+def test_assistant_or_rules(spark):
+    class Helper:
+        def reply(self, prompt):
+            if "bad" in prompt:
+                raise TimeoutError("no answer")
+            return f"## About {prompt}\ntext\n- one\n* two"
+
+    prompts = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None)], "doc_id long, prompt string")
+    items = spark.createDataFrame([(d, 1, 0, 0, "heading", f"Own {d}", "body", 0.9, None) for d in (1, 2)], schemas.SUMMARY_ITEMS)
+    got = {r.doc_id: r for r in summary.assistant_summaries(prompts, items, lambda: Helper()).collect()}
+    assert (got[1].headings, got[1].key_points, got[1].by) == (["About a"], ["one", "two"], "assistant")
+    assert (got[2].headings, got[2].by, got[2].reply_error) == (["Own 2"], "rules", "TimeoutError: no answer") and got[3].headings == []
+    assert {r.by for r in summary.assistant_summaries(prompts, items).collect()} == {"rules"}
+
+
+def test_free_space_progress_and_sizes(spark, tmp_path, caplog):
+    import logging
+
+    from docgrid.operators import images
+    from docgrid.plans.progress import reported
+
+    assert sinks.has_space(spark, str(tmp_path / "not" / "there"), 1) and not sinks.has_space(spark, str(tmp_path), 10**9)
+    with caplog.at_level(logging.INFO), reported(spark, "work", logging.getLogger("docgrid.test"), 0.2):
+        spark.range(8, numPartitions=4).selectExpr("java_method('java.lang.Thread', 'sleep', cast(300 as bigint))").collect()
+    said = [r.message for r in caplog.records]
+    assert said[0] == "work: started" and said[-1].startswith("work: ") and any("tasks" in m for m in said)
+    df = spark.createDataFrame([(4000, 1000, b"no image"), (100, 50, b"x")], "width int, height int, data binary")
+    assert [tuple(r.s) for r in df.select(images.recognition_size().alias("s")).collect()] == [(2000, 500), (100, 50)]
+    assert [bytes(r.data) for r in images.for_recognition(df).collect()] == [b"no image", b"x"]
