@@ -530,17 +530,17 @@ def test_near_duplicates_against_brute_force(spark):
     bags = {t: bag(t) for t in set(texts.values())}
     root = {t: t for t in bags}
     find = lambda x: x if root[x] == x else find(root[x])
-    by_shingle = {}
+    by_shingle, both = {}, Counter()
     for t, b in bags.items():
-        for s in b:
-            by_shingle.setdefault(s, []).append(t)
-    done = set()
-    for own in by_shingle.values():
-        for a, b in itertools.combinations(own[:60], 2):
-            if (a, b) not in done:
-                done.add((a, b))
-                if overlap(bags[a], bags[b]) >= 0.8:
-                    root[find(a)] = find(b)
+        for s, n in b.items():
+            by_shingle.setdefault(s, []).append((t, n))
+    for own in by_shingle.values():  # every pair that shares a shingle, by how much it shares
+        for (a, n), (b, m) in itertools.combinations(own, 2):
+            both[a, b] += min(n, m)
+    size = {t: sum(b.values()) for t, b in bags.items()}
+    for (a, b), n in both.items():
+        if n >= 0.8 * (size[a] + size[b] - n):
+            root[find(a)] = find(b)
     least = {}
     for i, t in texts.items():
         least[find(t)] = min(i, least.get(find(t), i))
