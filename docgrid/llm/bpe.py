@@ -53,30 +53,38 @@ class Bpe:
     def merged(self, piece: str) -> list[int]:
         """Token ids of one piece.
 
-        Symbols form a doubly linked list, adjacent pairs wait in a heap by
-        (rank, place).  A popped entry counts only if both symbols are still
-        what they were when it was pushed; otherwise it is stale and skipped.
+        Symbols form a doubly linked list; adjacent pairs wait in a heap by rank
+        and place, one whole number each.  A popped entry counts only if the pair
+        at its place still has its rank; otherwise it is stale and skipped.
         """
         letters = self.letters
         symbol: list = [letters[b] for b in piece.encode()]
         n = len(symbol)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank_of = self.ranks.get
-        heap = [(r, i, symbol[i], symbol[i + 1]) for i in range(n - 1) if (r := rank_of((symbol[i], symbol[i + 1]))) is not None]
+        get = self.ranks.get
+        rank = [get(pair, -1) for pair in zip(symbol, symbol[1:])]
+        rank.append(-1)
+        heap = [r << 32 | i for i, r in enumerate(rank) if r >= 0]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if symbol[i] != a or j >= n or symbol[j] != b:
+            entry = pop(heap)
+            i = entry & 0xFFFFFFFF
+            if rank[i] != entry >> 32:
                 continue
-            symbol[i], symbol[j] = a + b, None
+            j = after[i]
+            s = symbol[i] = symbol[i] + symbol[j]
+            symbol[j], rank[j], rank[i] = None, -1, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank_of((a + b, symbol[k]))) is not None:
-                    heapq.heappush(heap, (r, i, a + b, symbol[k]))
-            if (h := before[i]) >= 0 and (r := rank_of((symbol[h], a + b))) is not None:
-                heapq.heappush(heap, (r, h, symbol[h], a + b))
+                rank[i] = r = get((s, symbol[k]), -1)
+                if r >= 0:
+                    push(heap, r << 32 | i)
+            if (h := before[i]) >= 0:
+                rank[h] = r = get((symbol[h], s), -1)
+                if r >= 0:
+                    push(heap, r << 32 | h)
         vocab = self.vocab
         return [vocab[s] for s in symbol if s is not None]
 

@@ -41,8 +41,8 @@ SLICE_CHARS = 400_000
 SKETCH_BITS = 63
 #: One text under one key, within a bucket.
 ENTRY = np.dtype([("key", "<u4"), ("id", "<i8"), ("sketch", "<u8")])
-#: One text b of a key with many, a being the text it may be near, or b itself.
-MEMBER = np.dtype([("key", "<i8"), ("a", "<i8"), ("b", "<i8")])
+#: One text b of a key with many, a being the text it may be near, or b itself, and b's sketch.
+MEMBER = np.dtype([("key", "<i8"), ("a", "<i8"), ("b", "<i8"), ("sketch", "<i8")])
 U = np.uint64
 
 
@@ -109,6 +109,7 @@ class Dealer:
             m = np.empty(size[g] - 1, dtype=MEMBER)
             m["key"], m["b"] = _whole(place[first[g]]), ids[text[run]]
             m["a"] = np.where(_apart(sketch[text[run]], sketch[head]) <= self.far, ids[head], m["b"])
+            m["sketch"] = sketch[text[run]].view(np.int64)
             many.append(m.tobytes())
         place, text, flag = place[stay], text[stay], flag[stay]
         out = np.empty(len(place), dtype=ENTRY)
@@ -175,15 +176,15 @@ def paired(bucket: int, e: np.ndarray, far: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, dtype=MEMBER)
 
 
-def _rows(key: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _rows(key: int, a: np.ndarray, b: np.ndarray, sketch: np.ndarray | None = None) -> np.ndarray:
     out = np.empty(len(a), dtype=MEMBER)
-    out["key"], out["a"], out["b"] = key, a, b
+    out["key"], out["a"], out["b"], out["sketch"] = key, a, b, 0 if sketch is None else sketch.view(np.int64)
     return out
 
 
 def _star(name: np.uint64, ids: np.ndarray, sketch: np.ndarray, far: int) -> np.ndarray:
     """Members of a key with many texts, those whose sketches are near the first one's as pairs with it."""
-    return _rows(_whole(name)[0], np.where(_apart(sketch, sketch[0]) <= far, ids[0], ids), ids)
+    return _rows(_whole(name)[0], np.where(_apart(sketch, sketch[0]) <= far, ids[0], ids), ids, np.ascontiguousarray(sketch))
 
 
 #: What a batch of rows gives: ids, band keys and sketches, and rows to be passed on as they are.
@@ -191,14 +192,14 @@ Signed = tuple[np.ndarray, np.ndarray, np.ndarray, pd.DataFrame | None]
 
 
 def candidates(rows: DataFrame, signed: Callable[[pd.DataFrame], Iterator[Signed]], least: float, aside: str = "") -> DataFrame:
-    """``key, a, b``: pairs (a, b) of ids to be verified (key 0), and with a key, members b of keys with many texts.
+    """``key, a, b, sketch``: pairs (a, b) of ids to be verified (key 0), and with a key, members b of keys with many texts.
 
     Entries travel in blobs, one for each chunk and bucket, and what meets in a
     bucket is sorted there; texts that meet under a key are paired if their
     sketches are near enough for a similarity of `least`.  Of HOT or more texts
     of one key in a chunk, one goes on for all, so a bucket holds no key a task
     has many of.  aside: schema of rows of whole numbers that `signed` gives besides,
-    which come out with nulls for key, a and b; so one pass over the texts serves for both.
+    which come out with nulls for the other columns; so one pass over the texts serves for both.
     """
     found = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = min(max(found // BUCKET_BYTES, LEAST_BUCKETS), MOST_BUCKETS) if found < 1 << 60 else 1024
@@ -221,13 +222,13 @@ def candidates(rows: DataFrame, signed: Callable[[pd.DataFrame], Iterator[Signed
     def meet(g: pd.DataFrame) -> pd.DataFrame:
         own = paired(int(g["bucket"].iloc[0]), np.frombuffer(b"".join(g["entries"]), dtype=ENTRY), far)
         every = np.concatenate((own, np.frombuffer(b"".join(g["members"]), dtype=MEMBER)))
-        made = pd.DataFrame({c: every[c] for c in ("key", "a", "b")})
+        made = pd.DataFrame({c: every[c] for c in MEMBER.names})
         if not aside:
             return made
         parts = [made, *(pickle.loads(x) for x in g["aside"] if x)]  # nullable whole numbers throughout: floats would round ids
         return pd.concat([pd.DataFrame({c: p[c].astype("Int64") if c in p else pd.array([pd.NA] * len(p), dtype="Int64") for c in names}) for p in parts])
 
-    schema = "key long, a long, b long" + (f", {aside}" if aside else "")
+    schema = "key long, a long, b long, sketch long" + (f", {aside}" if aside else "")
     names = [c.split()[0] for c in schema.split(",")]
     dealt = rows.mapInPandas(deal, "bucket int, entries binary, members binary, aside binary")
     return dealt.groupBy("bucket").applyInPandas(meet, schema)
@@ -259,7 +260,7 @@ def linked(
     no component misses a link that its keys hold.
     """
     pairs = saved(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    members = found.where("key <> 0").select("key", F.col("b").alias("id")).distinct()
+    members = found.where("key <> 0").groupBy("key", F.col("b").alias("id")).agg(F.min("sketch").alias("sketch"))
     none = members.isEmpty()
     if hold:
         ids = both_ends(pairs).unionByName(members.select("id"))
@@ -275,9 +276,10 @@ def linked(
     mix = known.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "n")
     open_ = saved(spread_join(known, mix, "key", mix, known.count()), "open")
     some = open_.where(F.col("n") <= SMALL)
-    x = some.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-    y = some.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    rest = saved(x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct(), "pairs")
+    x = some.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
+    y = some.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"))
+    near = F.bit_count(F.shiftrightunsigned(F.col("sa").bitwiseXOR(F.col("sb")), 1)) <= farthest(least)
+    rest = saved(x.join(y, "key").where("a < b and ca <> cb").where(near).select("a", "b").distinct(), "pairs")
     more = saved(_verified(rest, texts, bags, counted, least).unionByName(_in_blocks(open_.where(F.col("n") > SMALL), texts, bags, counted, least, hold)), "links")
     if not more.isEmpty():
         first, comp = comp, components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
@@ -333,7 +335,8 @@ def similar(left: list[str], right: list[str], bags: Callable, counted: bool, le
 
 
 def _in_blocks(members: DataFrame, texts: Callable, bags: Callable, counted: bool, least: float, short: bool) -> DataFrame:
-    """Links (a, b) that join the components of keys (key, id, component, n), all members of a key compared; short texts are shingled where they are compared."""
+    """Links (a, b) that join the components of keys (key, id, sketch, component, n), all members of a key compared; short texts are shingled where they are compared."""
+    far = farthest(least)
     count = members.count()
     if not count:
         return members.select(F.col("id").alias("a"), F.col("id").alias("b"))
@@ -354,10 +357,26 @@ def _in_blocks(members: DataFrame, texts: Callable, bags: Callable, counted: boo
     per = sized.groupBy("key").agg(blocks.alias("blocks"), F.count("*").alias("n"))
     dealt = spread_join(members.drop("n"), per.select("key", "blocks"), "key", per.select("key", "n"), count)
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "component").join(known, "id")
+    dealt = dealt.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "sketch", "component").join(known, "id")
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
-        ids, group = b["id"].to_numpy(), b["component"].to_numpy()
+        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        heads, place = np.unique(b["component"].to_numpy(), return_inverse=True)
+        # pairs within a component don't matter, so the largest one's members are compared with the others only
+        fewer = np.flatnonzero(place != np.bincount(place).argmax())
+        sketch = b["sketch"].to_numpy().view(np.uint64)
+        may = (_apart(sketch[fewer, None], sketch[None, :]) <= far) & (place[fewer, None] != place[None, :])
+        mine = b["block"].to_numpy() == b["i"].iloc[0]
+        if b["i"].iloc[0] != b["j"].iloc[0]:
+            may &= mine[fewer, None] != mine[None, :]
+        if not may.any():
+            return none
+        left, right = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+        used = np.union1d(fewer[left], right)
+        may = may[np.ix_(left, right)]
+        left, right = np.searchsorted(used, fewer[left]), np.searchsorted(used, right)
+        b, place = b.iloc[used], place[used]
+        ids = b["id"].to_numpy()
         lists = [np.frombuffer(x, dtype="<u8") for x in (pd.concat(profiles(b)) if short else b)["bag"]]
         size = np.array([len(x) for x in lists], dtype=np.int64)
         owner = np.repeat(np.arange(len(lists)), size)
@@ -365,23 +384,17 @@ def _in_blocks(members: DataFrame, texts: Callable, bags: Callable, counted: boo
         shared = n[term] > 1
         column = np.cumsum(n > 1) - 1
         owner, term = owner[shared], column[term[shared]]
-        heads, place = np.unique(group, return_inverse=True)
-        fewer = np.flatnonzero(place != np.bincount(place).argmax())  # pairs within a component don't matter, so the largest one's members are compared with the others only
-        both = np.zeros((len(fewer), len(lists)), dtype=np.float32)
+        both = np.zeros(may.shape, dtype=np.float32)
         order = np.argsort(term, kind="stable")
         owner, term = owner[order], term[order]
         for start in range(0, int((n > 1).sum()), 4096):
             lo, hi = np.searchsorted(term, [start, start + 4096])
             part = np.zeros((len(lists), 4096), dtype=np.float32)
             part[owner[lo:hi], term[lo:hi] - start] = 1
-            both += part[fewer] @ part.T
-        total = size[fewer, None] + size[None, :] - both
-        p, q = np.nonzero((both >= least * total) & (place[fewer, None] != place[None, :]))
-        p = fewer[p]
-        mine = b["block"].to_numpy() == b["i"].iloc[0]
-        if b["i"].iloc[0] != b["j"].iloc[0]:
-            across = mine[p] != mine[q]
-            p, q = p[across], q[across]
+            both += part[left] @ part[right].T
+        total = size[left, None] + size[None, right] - both
+        p, q = np.nonzero((both >= least * total) & may)
+        p, q = left[p], right[q]
         root = list(range(len(heads)))
 
         def find(v: int) -> int:

@@ -411,9 +411,9 @@ def test_line_ids_are_sparks_hashes_and_collisions_stay_apart(spark):
 
     hashes = [r.h for r in spark.createDataFrame([(x,) for x in lines], "t string").select(F.xxhash64("t").alias("h")).collect()]
     assert own.ids.tolist() == hashes
-    rows = spark.createDataFrame([(1, 0, 7, 70), (2, 0, 7, 71), (3, 0, 7, 70)], "doc_id long, line_no int, id long, check long")
-    several = spark.createDataFrame([(7, 70, 7, 3)], "id long, check long, component long, n long")
-    assert {r.doc_id: r.kept for r in linededup._marked(rows, several, 3).collect()} == {1: True, 2: True, 3: False}
+    rows = spark.createDataFrame([(0, 0, 7, 71), (1, 0, 7, 70), (2, 0, 7, 71), (3, 0, 7, 70), (4, 0, 9, 9), (5, 0, 8, 8)], "doc_id long, line_no int, id long, check long")
+    comp = spark.createDataFrame([(7, 7), (9, 7)], "node long, component long")
+    assert {r.doc_id: r.kept for r in linededup._judged(rows, comp).collect()} == {0: True, 1: True, 2: True, 3: False, 4: False, 5: True}
 
 
 def test_columns_of_any_name(spark):
