@@ -484,6 +484,11 @@ def _(t):
     return headers.exact_groups(t.running)
 
 
+@_query("hf_chapter_groups", "SELECT doc_id, kind, norm, count(*) AS frequency, min(page_number) AS first_page FROM hf GROUP BY doc_id, kind, norm HAVING count(*) >= 3 OR doc_id NOT IN (SELECT doc_id FROM boundaries)")
+def _(t):
+    return headers.consistent_in_chapters(headers.exact_groups(t.running, 1), t.boundaries, 3)
+
+
 @_query("hf_fuzzy_groups")
 def _(t):
     return headers.fuzzy_groups(t.running).select("doc_id", "kind", "leader", "frequency", "first_page")
