@@ -16,25 +16,31 @@ CHECKPOINT_PAGES = 5
 def write_files(documents: DataFrame, root: str, overwrite: bool = True) -> None:
     """Writes ``path, content`` rows (text or bytes) under root, each file by one task: first under another name, then renamed.
 
-    root is a folder that all executors share. A task that runs again writes the
-    same files again. With overwrite off, files that exist stay.
+    root is a folder that all executors share, or the address of a store that
+    Arrow's file systems reach. A task that runs again writes the same files
+    again. With overwrite off, files that exist stay.
     """
 
     def write(rows: Iterator) -> None:
         import os
+        import posixpath
         import uuid
 
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), os.path.abspath(root))
+        base = posixpath.normpath(base)
         for r in rows:
-            path = os.path.normpath(os.path.join(root, r.path.lstrip("/")))
-            if not path.startswith(os.path.normpath(root) + os.sep):
+            path = posixpath.normpath(posixpath.join(base, r.path.lstrip("/")))
+            if not path.startswith(base + "/"):
                 raise ValueError(f"outside the output folder: {r.path}")
-            if not overwrite and os.path.exists(path):
+            if not overwrite and files.get_file_info(path).type != fs.FileType.NotFound:
                 continue
-            os.makedirs(os.path.dirname(path), exist_ok=True)
+            files.create_dir(posixpath.dirname(path), recursive=True)
             part = f"{path}.{uuid.uuid4().hex}.part"
-            with open(part, "wb") as f:
+            with files.open_output_stream(part) as f:
                 f.write(r.content.encode() if isinstance(r.content, str) else bytes(r.content))
-            os.replace(part, path)
+            files.move(part, path)
 
     documents.select("path", "content").foreachPartition(write)
 

@@ -231,6 +231,15 @@ def test_manifest(spark, tmp_path):
         sinks.write_files(spark.createDataFrame([("../x", "y")], "path string, content string"), str(tmp_path / "o"))
 
 
+def test_files_are_written_to_folders_and_addresses(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b.md", "one"), ("c.md", "é")], "path string, content string")
+    sinks.write_files(rows, str(tmp_path / "o"))
+    sinks.write_files(rows.withColumn("content", F.lit("two")), f"file://{tmp_path}/o", overwrite=False)
+    assert (tmp_path / "o" / "a" / "b.md").read_text() == "one" and (tmp_path / "o" / "c.md").read_text() == "é"
+    sinks.write_files(rows.withColumn("content", F.lit("two")), f"file://{tmp_path}/o")
+    assert sorted(p.name for p in (tmp_path / "o").rglob("*") if p.is_file()) == ["b.md", "c.md"] and (tmp_path / "o" / "c.md").read_text() == "two"
+
+
 def test_ruled_tables_and_images(spark, tmp_path):
     d = tmp_path / "in"
     d.mkdir()
