@@ -157,9 +157,11 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame, to
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components of an undirected graph of long nodes, by alternating large-star and small-star rounds.
 
-    A distributed union-find: each round hooks neighbours to the smallest
-    neighbour, first among the larger ones and then among the smaller ones,
-    until every node points at the smallest node of its component.  Returns
+    A distributed union-find: tasks first unite what they hold, EDGES edges at a
+    time.  While more edges than that are left, each round hooks neighbours to
+    the smallest neighbour, first among the larger ones and then among the
+    smaller ones, until every node points at the smallest node of its component;
+    no more than EDGES edges are united by one task.  Returns
     ``node, component`` for each node of an edge between two different nodes;
     loops, null ends and repeated edges have no effect; no edges give no rows.
     Per-node minima are combined before the shuffle, and hubs are only ever
@@ -168,8 +170,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     a, b = F.col(left), F.col(right)
     some = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(a.alias("u"), b.alias("v"))
     now = saved(some.mapInPandas(_joined, "u long, v long").distinct(), "edges")
-    while not _stars(now):
-        n = now.count()
+    while (n := now.count()) > EDGES and not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = spread_join(both.where("v > u"), low.select("u", "m"), "u", low, 2 * n)
@@ -179,6 +180,9 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old, now = now, saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
         dropped(old, large)
+    if n <= EDGES:  # what one task unites is a forest of stars
+        old, now = now, saved(now.coalesce(1).mapInPandas(_joined, "u long, v long"), "stars")
+        dropped(old)
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     out._docgrid_path = now._docgrid_path
     return out

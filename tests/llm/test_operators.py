@@ -35,7 +35,9 @@ def tokenizer():
 # components
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("edges", [common.EDGES, 100])
+def test_components_against_union_find(spark, monkeypatch, edges):
+    monkeypatch.setattr(common, "EDGES", edges)  # with few, rounds on tables are needed
     r = random.Random(3)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7), (None, 3)]
     got = {x.node: x.component for x in common.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
