@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another system
+    _libc = None
+
 #: Rows of one Arrow batch: texts may be very long, and a batch is held whole by a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
@@ -35,6 +42,23 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def freed() -> None:
+    """Gives memory that this Python worker no longer uses back to the system, which allocators otherwise keep for later; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that calls :func:`freed` at its end."""
+
+    def all_of(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        freed()
+
+    return all_of
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, no_id, text``: ids and texts as Python takes them; a null id is 0 with no_id beside it, since pandas would round a batch's ids to floats for its sake, and a null text is empty."""
     own = F.col(id_col).cast("long")
@@ -96,14 +120,30 @@ LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 def among(df: DataFrame, columns: str | list[str], ids: DataFrame, n: int | None = None) -> DataFrame:
     """Rows of df of which a long column may be one of ids (its one column): all that are, and about one in seventy of the others for each column.
 
+    n: about how many ids there are, if known; ids may repeat.
+    """
+    columns = [columns] if isinstance(columns, str) else columns
+    some = F.coalesce(*(F.col(c) for c in columns)).isNotNull()
+    return df.where(some).where(_held(columns, ids, n))
+
+
+def parted(df: DataFrame, mark: Column, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of df whose mark, a long hash that is never null, may be one of ids, and rows whose mark isn't: few go through a join that only concerns ids."""
+    name = "_docgrid_mark"
+    marked, held = df.withColumn(name, mark), _held([name], ids, None)
+    return marked.where(held).drop(name), marked.where(~held).drop(name)
+
+
+def _held(columns: list[str], ids: DataFrame, n: int | None) -> Column:
+    """Whether a value of these columns may be one of ids.
+
     A Bloom filter, put together by the executors and sent as a bitmap of
     bounded size, so that a semi join of a few ids with a large table needn't
     shuffle the table.  Values are hashes already, whose bits serve as they are.
-    n: about how many ids there are, if known; ids may repeat.  With more ids
-    than the bitmap is made for it lets more rows through, and stays right.
+    With more ids than the bitmap is made for it lets more rows through, and
+    stays right.
     """
-    spark = df.sparkSession
-    columns = [columns] if isinstance(columns, str) else columns
+    spark = ids.sparkSession
     (name,) = ids.columns
     n = ids.count() if n is None else n
     bits = LEAST_BITS
@@ -129,8 +169,7 @@ def among(df: DataFrame, columns: str | list[str], ids: DataFrame, n: int | None
                 hit |= (held(x) & held(x >> np.uint64(36))).astype(bool)
             yield pd.Series(hit)
 
-    whole = [F.coalesce(F.col(c), F.lit(0)) for c in columns]
-    return df.where(F.coalesce(*(F.col(c) for c in columns)).isNotNull()).where(F.pandas_udf(test, "boolean")(*whole))
+    return F.pandas_udf(test, "boolean")(*(F.coalesce(F.col(c), F.lit(0)) for c in columns))
 
 
 #: Rows of one key from which on they are dealt to SALTS tasks, if they are more than a thousandth of all rows too.

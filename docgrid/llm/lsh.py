@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, saved, spread_join
+from .common import components, dropped, freed, frugal, saved, spread_join
 
 #: Multipliers and shifts of a 64-bit finaliser (fixed values).
 MIX_A, MIX_B, MIX_C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -220,6 +220,7 @@ def candidates(rows: DataFrame, signed: Callable[[pd.DataFrame], Iterator[Signed
         yield table(dealer.flush())
 
     def meet(g: pd.DataFrame) -> pd.DataFrame:
+        freed()
         own = paired(int(g["bucket"].iloc[0]), np.frombuffer(b"".join(g["entries"]), dtype=ENTRY), far)
         every = np.concatenate((own, np.frombuffer(b"".join(g["members"]), dtype=MEMBER)))
         made = pd.DataFrame({c: every[c] for c in MEMBER.names})
@@ -230,7 +231,7 @@ def candidates(rows: DataFrame, signed: Callable[[pd.DataFrame], Iterator[Signed
 
     schema = "key long, a long, b long, sketch long" + (f", {aside}" if aside else "")
     names = [c.split()[0] for c in schema.split(",")]
-    dealt = rows.mapInPandas(deal, "bucket int, entries binary, members binary, aside binary")
+    dealt = rows.mapInPandas(frugal(deal), "bucket int, entries binary, members binary, aside binary")
     return dealt.groupBy("bucket").applyInPandas(meet, schema)
 
 
@@ -305,7 +306,7 @@ def _verified(pairs: DataFrame, texts: Callable, bags: Callable, counted: bool,
     # by b first: rows then come by a, so that a text of many pairs is shingled once a batch
     both = spread_join(pairs, known.select(F.col("id").alias("b"), F.col("text").alias("right")), "b", per("b"), n)
     both = spread_join(both, known.select(F.col("id").alias("a"), F.col("text").alias("left")), "a", per("a"), n, by=["b"])
-    return both.select("a", "b", "left", "right").mapInPandas(verify, "a long, b long")
+    return both.select("a", "b", "left", "right").mapInPandas(frugal(verify), "a long, b long")
 
 
 def slices(sizes: np.ndarray) -> Iterator[slice]:
@@ -351,7 +352,7 @@ def _in_blocks(members: DataFrame, texts: Callable, bags: Callable, counted: boo
             yield from profiles(b)
 
     known = texts(members.select("id"), count).withColumn("size", F.length("text"))
-    known = known if short else saved(known.mapInPandas(profile, "id long, size int, bag binary"), "bags")
+    known = known if short else saved(known.mapInPandas(frugal(profile), "id long, size int, bag binary"), "bags")
     sized = members.join(known.select("id", "size"), "id")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_CHARS)).cast("int")
     per = sized.groupBy("key").agg(blocks.alias("blocks"), F.count("*").alias("n"))
@@ -360,6 +361,7 @@ def _in_blocks(members: DataFrame, texts: Callable, bags: Callable, counted: boo
     dealt = dealt.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "sketch", "component").join(known, "id")
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
+        freed()
         none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         heads, place = np.unique(b["component"].to_numpy(), return_inverse=True)
         # pairs within a component don't matter, so the largest one's members are compared with the others only

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, dropped, saved, small_batches, spread_join
+from .common import among, dropped, parted, saved, small_batches, spread_join
 from .lsh import SKETCH_BITS, Segments, Signed, candidates, linked, mixed, sketches, slices
 
 WORDS = 5
@@ -164,12 +164,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without the near duplicates: of each class the row with the smallest doc_id, once if repeated; all columns stay."""
-    mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    kept = near_duplicates(docs).where("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
-    kept = saved(kept, "kept")
-    on = lambda some: docs["doc_id"].eqNullSafe(some["doc_id"]) & (mark == some["text_hash"])
-    once, again = kept.where("n = 1"), kept.where("n > 1")
-    single = docs.join(once, on(once), "left_semi")
-    if again.isEmpty():
-        return single
-    return single.unionByName(docs.join(again, on(again), "left_semi").dropDuplicates(["doc_id", "text"]))
+    own, mark = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = saved(near_duplicates(docs).groupBy("doc_id", "text_hash", "kept").agg(F.count("*").alias("n")), "classes")
+    # only documents that go, or are there more than once, are looked up; the others pass as they are
+    gone = rows.where("not kept or n > 1").select(F.xxhash64("doc_id", "text_hash").alias("m"))
+    some, others = parted(docs, F.xxhash64(own, mark), gone)
+    kept = rows.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"), "n")
+    on = own.eqNullSafe(F.col("_kept_id")) & (mark == F.col("_kept_hash"))
+    once, again = kept.where("n = 1").drop("n"), kept.where("n > 1").drop("n")
+    return others.unionByName(some.join(once, on, "left_semi")).unionByName(some.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_of, keyed, saved, small_batches
+from .common import freed, frugal, ids_of, keyed, saved, small_batches
 
 #: Labelled rows that the model is fitted on, about: more are sampled by a hash of their ids.
 SAMPLE_ROWS = 20_000
@@ -268,7 +268,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([features(t, flags) for t in b["text"]]).reshape(len(b), len(FEATURES))
             yield pd.DataFrame({"doc_id": ids_of(b), "score": sent.value.score(x)})
 
-    return keyed(docs).mapInPandas(run, "doc_id long, score double")
+    return keyed(docs).mapInPandas(frugal(run), "doc_id long, score double")
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -294,5 +294,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         flags = Flags(sent.value.words, sent.value.stems)
         for b in batches:
             yield pd.Series(sent.value.score(np.array([features(t, flags) for t in b.fillna("")]).reshape(len(b), len(FEATURES))))
+        freed()
 
     return docs.where(score(F.col("text")) < THRESHOLD)
