@@ -583,6 +583,20 @@ def test_toxicity_on_held_out_labels(spark):
     assert hit / sum(t for _, t in held) > 0.85 and hit / sum(p for p, _ in held) > 0.95
 
 
+def test_toxicity_of_one_very_long_word_takes_linear_time():
+    import time
+
+    flags, began = toxicity.Flags({"scum": 1.0}, {}), time.time()
+    for text in ("a" * 1_000_000, "语" * 500_000, "A" * 1_000_000 + "a", "a1" * 300_000, "a" * 300_000 + "1" * 300_000, "a." * 300_000, "!" * 1_000_000):
+        assert len(toxicity.features(text, flags)) == len(toxicity.FEATURES)
+    assert time.time() - began < 20
+    words = "sc4m s.c.u.m st*pid a1b2 4ever x--y 1a abc1 1abc2d éa1é"
+    old = re.compile(r"[^\W\d_]+[0134578@$!*€][0134578@$!*€\w]*[^\W\d_]|\b[^\W\d_](?:[.\-_*][^\W\d_]){2,}\b")
+    r = random.Random(4)
+    for t in [words, *("".join(r.choice("ab1!*.-_ é4") for _ in range(40)) for _ in range(3000))]:
+        assert toxicity.DISGUISED.findall(t) == old.findall(t)
+
+
 def test_toxicity_awkward(spark):
     df = docs(spark, AWKWARD)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -686,7 +700,9 @@ def test_windows_find_what_whole_texts_do(spark):
     assert pii.found_spans(texts) == pii.found_spans(texts, whole=True)
 
 
-def test_large_buckets_are_compared_whole(spark):
+@pytest.mark.parametrize("chars", [lsh.BLOCK_CHARS, 5000])
+def test_large_buckets_are_compared_whole(spark, monkeypatch, chars):
+    monkeypatch.setattr(lsh, "BLOCK_CHARS", chars)  # with few, several blocks
     r = random.Random(12)
     base = [f"w{i}" for i in range(80)]
     texts = []
