@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import PATTERN, Bpe, bpe
-from .common import ids_of, keyed, small_batches
+from .common import freed, frugal, ids_of, keyed, small_batches
 
 WINDOW = 1024
 #: Longest piece of a document that a window shares with other pieces: with four or more pieces a window, differencing comes out near-equal.
@@ -28,21 +28,20 @@ ROWS = 8192
 
 
 @lru_cache(maxsize=2)
-def _fast(path: str) -> tuple[tiktoken.Encoding, Bpe]:
-    """An encoder with the vocabulary of a tokenizer file, and the plain one for texts the fast one gives up on."""
-    own = bpe(path)
+def _fast(path: str) -> tiktoken.Encoding:
+    """An encoder with the vocabulary of a tokenizer file."""
+    own = Bpe(path)
     special = dict(own.added)
     ranks = {b: i for i, b in own.bytes_of.items() if i not in special.values()}
-    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special), own
+    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def token_ids(text: str, path: str, end_id: int = 0) -> np.ndarray:
     """Token ids of a text with the end id after them."""
-    fast, own = _fast(path)
     try:
-        ids = fast.encode(text, allowed_special="all")
+        ids = _fast(path).encode(text, allowed_special="all")
     except Exception:  # the library's pattern engine refuses some very long runs
-        ids = own.encode(text)
+        ids = bpe(path).encode(text)
     return np.array([*ids, end_id], dtype="<u4")
 
 
@@ -178,6 +177,8 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     columns = ["doc_id", "no_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "row_no"]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _fast(path)
+        freed()  # what reading the vocabulary took
         base = TaskContext.get().partitionId() << 33
         packer = Packer()
         held: dict[int, tuple] = {}  # of documents with waiting pieces: id, whether it is null, number of ids, those from `whole` on
@@ -224,4 +225,4 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         if rows:
             yield taken()
 
-    return keyed(docs, id_col, text_col).mapInPandas(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row_no long")
+    return keyed(docs, id_col, text_col).mapInPandas(frugal(pack), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row_no long")
