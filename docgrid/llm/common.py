@@ -20,6 +20,8 @@ except OSError:  # another system
 
 #: Rows of one Arrow batch: texts may be very long, and a batch is held whole by a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Rows that the Parquet reader decodes at once.
+READ_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,8 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small enough for long texts; only ever lowers the session's settings."""
-    for key, most, default in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS, "10000"), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES, "67108864")):
+    """Keeps batches of the Parquet reader and of Arrow small enough for long texts; only ever lowers the session's settings."""
+    wanted = (
+        ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS, "4096"),  # the reader holds a batch's texts in one array, which it doubles as it grows
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS, "10000"),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES, "67108864"),
+    )
+    for key, most, default in wanted:
         if not 0 < int(str(spark.conf.get(key, default)).rstrip("b")) <= most:
             spark.conf.set(key, str(most))
 
