@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embdedup, linededup, minhash, packing, pii, quality, topk, toxicity, warc
+from . import bpe, divergence, embdedup, lexical, linededup, minhash, packing, pii, quality, topk, toxicity, warc, wavelet
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, WORD_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +62,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 20)
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_exact_topk, op2_quality, op3_packing, op4_embedding_dedup, op5_warc_fixity, op6_line_dedup, op7_bpe, op8_minhash_dedup, op9_toxicity, op10_pii)
+    every = (op1_exact_topk, op2_quality, op3_packing, op4_embedding_dedup, op5_warc_fixity, op6_line_dedup, op7_bpe, op8_minhash_dedup, op9_toxicity, op10_pii, op11_ranked_search, op12_token_files, op13_source_divergence)
     return {f.__name__: f for f in every}
 
 
@@ -103,4 +115,62 @@ WITH r AS (
   FROM pages
 )
 SELECT page_id, CAST(strlen(rec) AS BIGINT) AS record_length, sha256(rec) AS record_sha256, coalesce(page_id % 97 = 5, false) AS damaged FROM r""",
+        "op11_ranked_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents
+), i AS (
+  SELECT row_number() OVER () AS j, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM benchmark
+), q AS (
+  SELECT j, item_id, term, count(*) AS times FROM (SELECT j, item_id, unnest(t) AS term FROM i) GROUP BY ALL
+), c AS (
+  SELECT count(*) FILTER (len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d
+), p AS (
+  SELECT k, doc_id, n, term, count(*) AS tf FROM (SELECT k, doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL
+), f AS (
+  SELECT term, count(*) AS df FROM p GROUP BY term
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM f, c
+), s AS (
+  SELECT j, item_id, k, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), c GROUP BY ALL
+), r AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY j ORDER BY score DESC, doc_id NULLS LAST, k) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""",
+        "op13_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents
+), o AS (
+  SELECT k, lang, source, unnest(t) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT k) >= 10
+), v AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), dense AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), p AS (
+  SELECT lang, source, term, n, CAST(1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS HUGEINT) AS p FROM dense JOIN v USING (lang)
+), whole AS (
+  SELECT lang, term, sum(n) AS n FROM dense GROUP BY ALL
+), q AS (
+  SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS HUGEINT) AS q FROM whole JOIN v USING (lang)
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(apart.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10""",
     }
