@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CALLOUT_STARTS, CAPTION_STARTS, _c, colour_hex, is_blank, starts_with_any, strip, word_count
+from . import spatial
 
 PAGE = ["doc_id", "page_number"]
 LINE_GAP, MERGE_GAP, SIZE_GAP, SPACE_GAP = 10.0, 50.0, 2.0, 5.0
@@ -204,11 +204,8 @@ def in_box(elements: DataFrame, x0: float, y0: float, x1: float, y1: float) -> D
 
 
 def outside_regions(elements: DataFrame, regions: DataFrame) -> DataFrame:
-    """Elements whose centre lies in no region of their page, bounds included: a range anti join within equal pages."""
-    e, r = elements.alias("e"), regions.select(*PAGE, F.col("x0").alias("rx0"), F.col("y0").alias("ry0"), F.col("x1").alias("rx1"), F.col("y1").alias("ry1")).alias("r")
-    cx, cy = (F.col("e.x0") + F.col("e.x1")) / 2, (F.col("e.y0") + F.col("e.y1")) / 2
-    on = (F.col("e.doc_id") == F.col("r.doc_id")) & (F.col("e.page_number") == F.col("r.page_number")) & cx.between(F.col("rx0"), F.col("rx1")) & cy.between(F.col("ry0"), F.col("ry1"))
-    return e.join(r, on, "left_anti")
+    """Elements whose centre lies in no region of their page, bounds included: a join by grid cells, then an anti join by place."""
+    return elements.join(spatial.centred_in(elements, regions, PAGE, "seq"), [*PAGE, "seq"], "left_anti")
 
 
 def body_text(pages: DataFrame, elements: DataFrame, regions: DataFrame) -> DataFrame:
@@ -234,39 +231,18 @@ def text_statistics(pages: DataFrame, elements: DataFrame) -> DataFrame:
     )
 
 
-def overlap(a: str = "a", b: str = "b") -> Column:
-    """Whether two elements' closed boxes meet."""
-    return (
-        (F.col(f"{a}.x1") >= F.col(f"{b}.x0")) & (F.col(f"{b}.x1") >= F.col(f"{a}.x0")) & (F.col(f"{a}.y1") >= F.col(f"{b}.y0")) & (F.col(f"{b}.y1") >= F.col(f"{a}.y0"))
-    )
-
-
 def overlap_pairs(elements: DataFrame) -> DataFrame:
-    """Pairs of elements of a page whose boxes meet, the earlier first."""
-    a, b = elements.alias("a"), elements.alias("b")
-    on = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page_number") == F.col("b.page_number")) & (F.col("a.seq") < F.col("b.seq")) & overlap()
-    return a.join(b, on).select(F.col("a.doc_id").alias("doc_id"), F.col("a.page_number").alias("page_number"), F.col("a.seq").alias("first_seq"), F.col("b.seq").alias("second_seq"))
+    """Pairs of elements of a page whose boxes meet, the earlier first: a join by page and grid cell."""
+    return spatial.self_pairs(elements, PAGE, "seq").select(*PAGE, F.col("first").alias("first_seq"), F.col("second").alias("second_seq"))
 
 
 def overlap_groups(elements: DataFrame) -> DataFrame:
-    """Greedy groups of two or more: an element joins the first group whose first member its box meets."""
-
-    def group(b: pd.DataFrame) -> pd.DataFrame:
-        heads: list = []
-        out = []
-        for e in b.sort_values("seq").itertuples():
-            for g, h in enumerate(heads):
-                if h.x1 >= e.x0 and e.x1 >= h.x0 and h.y1 >= e.y0 and e.y1 >= h.y0:
-                    out.append((e.doc_id, e.page_number, g, e.seq))
-                    break
-            else:
-                heads.append(e)
-                out.append((e.doc_id, e.page_number, len(heads) - 1, e.seq))
-        return pd.DataFrame(out, columns=["doc_id", "page_number", "group_no", "seq"])
-
-    rows = elements.select(*PAGE, "seq", "x0", "y0", "x1", "y1").groupBy(*PAGE).applyInPandas(group, "doc_id long, page_number int, group_no int, seq int")
-    w = Window.partitionBy(*PAGE, "group_no")
-    return rows.withColumn("n", F.count("*").over(w)).where("n >= 2").drop("n")
+    """Greedy groups of two or more: an element joins the first group whose first member its box meets; groups are numbered from 0 on each page, those of one member too."""
+    heads = spatial.greedy_heads(spatial.self_pairs(elements, PAGE, "seq"), PAGE).withColumnRenamed("second", "seq")
+    rows = elements.select(*PAGE, "seq").join(heads, [*PAGE, "seq"], "left").withColumn("head", F.coalesce("head", "seq"))
+    page = Window.partitionBy(*PAGE)
+    rows = rows.withColumn("group_no", F.dense_rank().over(page.orderBy("head")) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*PAGE, "head")))
+    return rows.where("n >= 2").select(*PAGE, "group_no", "seq")
 
 
 def standard_order(elements: DataFrame) -> DataFrame:
@@ -276,12 +252,10 @@ def standard_order(elements: DataFrame) -> DataFrame:
 
 def region_order(elements: DataFrame, sidebars: DataFrame, bodies: DataFrame) -> DataFrame:
     """elements with ``bucket`` and ``order_no``: what lies in a body first, then the rest, then sidebars; in each by falling y0 and rising x0."""
-    cx, cy = (F.col("e.x0") + F.col("e.x1")) / 2, (F.col("e.y0") + F.col("e.y1")) / 2
 
     def inside(regions: DataFrame, name: str) -> DataFrame:
-        r = regions.select(*PAGE, F.coalesce("x0", F.lit(0.0)).alias("a"), F.coalesce("x1", F.lit(999999.0)).alias("b"), F.coalesce("y0", F.lit(0.0)).alias("c"), F.coalesce("y1", F.lit(999999.0)).alias("d")).alias("r")
-        on = (F.col("e.doc_id") == F.col("r.doc_id")) & (F.col("e.page_number") == F.col("r.page_number")) & cx.between(F.col("a"), F.col("b")) & cy.between(F.col("c"), F.col("d"))
-        return elements.alias("e").join(r, on, "left_semi").select(*PAGE, "seq", F.lit(True).alias(name))
+        whole = regions.select(*PAGE, F.coalesce("x0", F.lit(0.0)).alias("x0"), F.coalesce("y0", F.lit(0.0)).alias("y0"), F.coalesce("x1", F.lit(999999.0)).alias("x1"), F.coalesce("y1", F.lit(999999.0)).alias("y1"))
+        return spatial.centred_in(elements, whole, PAGE, "seq").withColumn(name, F.lit(True))
 
     both = elements.join(inside(sidebars, "_side"), [*PAGE, "seq"], "left").join(inside(bodies, "_body"), [*PAGE, "seq"], "left")
     both = both.withColumn("bucket", F.when(F.col("_side"), 2).when(F.col("_body"), 0).otherwise(1)).drop("_side", "_body")
