@@ -77,6 +77,14 @@ def ids_of(b: pd.DataFrame) -> pd.api.extensions.ExtensionArray:
     return pd.arrays.IntegerArray(b["doc_id"].to_numpy(dtype=np.int64, copy=True), b["no_id"].to_numpy(dtype=bool, copy=True))
 
 
+def private(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in letters of any case."""
+    taken, name = {c.lower() for c in df.columns}, f"_docgrid_{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 #: Tables that this process has written to the shared folder.
 _written: list[str] = []
 
@@ -136,7 +144,7 @@ def among(df: DataFrame, columns: str | list[str], ids: DataFrame, n: int | None
 
 def parted(df: DataFrame, mark: Column, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of df whose mark, a long hash that is never null, may be one of ids, and rows whose mark isn't: few go through a join that only concerns ids."""
-    name = "_docgrid_mark"
+    name = private(df, "mark")
     marked, held = df.withColumn(name, mark), _held([name], ids, None)
     return marked.where(held).drop(name), marked.where(~held).drop(name)
 

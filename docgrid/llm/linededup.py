@@ -11,17 +11,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, ids_of, keyed, parted, saved, small_batches, spread_join
+from .common import among, ids_of, keyed, parted, private, saved, small_batches, spread_join
 from .lsh import MEMBER, Segments, Signed, candidates, linked, mixed, sketches, slices
 
 CHARS = 5
 SIMILARITY = 0.8
-#: Lines shorter than this (normalised) are not compared by runs: an edit in so few characters makes another line.
-MIN_CHARS = 20
+#: Lines shorter than this (normalised) have no run of their own: they are near only if they are equal.
+MIN_CHARS = CHARS
 #: 15 bands of 5 find a pair of similarity 0.8 with 0.997, one of 0.85 with 0.9998.
 BANDS, BAND_ROWS = 15, 5
-LINE = "doc_id long, line_no int, id long, check long"
-GONE, GONE_DOC, LEFT = "_docgrid_gone", "_docgrid_doc", "_docgrid_left"
+LINE = "doc_id long, whole long, line_no int, id long, check long"
 _MULT = mixed(np.arange(1, (BANDS * BAND_ROWS + 1) // 2 + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
 
@@ -124,7 +123,7 @@ class _Lines:
 
 
 def _signed(chars: int, shortest: int) -> Callable[[pd.DataFrame], Iterator[Signed]]:
-    """Entries of the lines of each batch, and its lines (doc_id, line_no, id, check) themselves."""
+    """Entries of the lines of each batch, and its lines (doc_id, whole, line_no, id, check) themselves; whole is the hash of a line's text, which tells rows of one doc_id apart."""
 
     def signed(batch: pd.DataFrame) -> Iterator[Signed]:
         for part in slices(batch["text"].str.len().to_numpy()):
@@ -132,7 +131,9 @@ def _signed(chars: int, shortest: int) -> Callable[[pd.DataFrame], Iterator[Sign
             own = _Lines(b["text"].tolist())
             check = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in own.lines], dtype=np.uint64).view(np.int64)
             rows = pd.DataFrame({"line_no": own.place, "id": own.ids, "check": check})
+            whole = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 42) for t in b["text"]], dtype=np.uint64).view(np.int64)
             rows.insert(0, "doc_id", ids_of(b)[own.owner])
+            rows.insert(1, "whole", whole[own.owner])
             _, at = np.unique(own.ids, return_index=True)
             at = np.sort(at[own.size[at] >= max(shortest, MIN_CHARS)])
             begin = np.cumsum(own.size + 1) - own.size - 1
@@ -142,7 +143,7 @@ def _signed(chars: int, shortest: int) -> Callable[[pd.DataFrame], Iterator[Sign
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, chars: int, shortest: int) -> DataFrame:
-    """``doc_id, line_no, line_hash, component, kept`` of all lines.
+    """``doc_id, whole, line_no, line_hash, component, kept`` of all lines.
 
     A line that is neither repeated nor near another stands for itself.  Of the
     lines that share an id the smallest second hash says which one it stands
@@ -151,7 +152,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, chars: int, shortest: i
     small_batches(docs.sparkSession)
     own = keyed(docs, id_col, text_col)
     found = saved(candidates(own, _signed(chars, shortest), SIMILARITY, LINE), "lines")
-    rows = found.where("line_no is not null").select("doc_id", "line_no", "id", "check")
+    rows = found.where("line_no is not null").select("doc_id", "whole", "line_no", "id", "check")
 
     def texts(ids: DataFrame, n: int) -> DataFrame:
         lines = own.select(F.explode(F.split("text", "\n", -1)).alias("text")).where(F.length("text") >= MIN_CHARS)
@@ -162,7 +163,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, chars: int, shortest: i
 
 
 def _judged(rows: DataFrame, comp: DataFrame) -> DataFrame:
-    """Lines (doc_id, line_no, id, check) with their component (comp: node, component) and whether they stay."""
+    """Lines (doc_id, line_no, id, check, and what else they have) with their component (comp: node, component) and whether they stay."""
     per = rows.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("check", "doc_id", "line_no")).alias("first"))
     several = per.join(comp.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or component is not null")
     several = saved(several.select("id", "n", F.col("first.check").alias("of"), F.struct("first.doc_id", "first.line_no").alias("first"), F.coalesce("component", "id").alias("component")), "several")
@@ -173,7 +174,7 @@ def _judged(rows: DataFrame, comp: DataFrame) -> DataFrame:
     alone, other = F.col("component").isNull(), F.col("check") != F.col("of")
     component = F.when(alone, F.col("id")).when(other, F.xxhash64("id", "check")).otherwise(F.col("component"))
     kept = F.when(alone | other, True).otherwise(F.struct("doc_id", "line_no").eqNullSafe(F.col("head")))
-    return out.select("doc_id", "line_no", F.col("id").alias("line_hash"), component.alias("component"), kept.alias("kept"))
+    return out.select(*(c for c in rows.columns if c not in ("id", "check")), F.col("id").alias("line_hash"), component.alias("component"), kept.alias("kept"))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars: int = CHARS, shortest: int = 1) -> DataFrame:
@@ -195,13 +196,18 @@ def without_repeats(docs: DataFrame, chars: int = CHARS, shortest: int = 1) -> D
 
     A document all of whose text went is dropped: the document that keeps those
     lines stands for it.  Documents that were empty or null to begin with stay.
+    Rows of one doc_id, or of none, lose only lines of their own text; a line
+    that such rows have at the same place stays in each.
     """
-    gone = _marked(docs, "doc_id", "text", chars, shortest).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias(GONE))
-    gone = saved(gone.withColumnRenamed("doc_id", GONE_DOC), "gone")
+    gone_doc, gone_whole, gone, left_text = (private(docs, n) for n in ("doc", "whole", "gone", "left"))
+    lines = _marked(docs, "doc_id", "text", chars, shortest).where("not kept")
+    lost = lines.groupBy(F.col("doc_id").alias(gone_doc), F.col("whole").alias(gone_whole)).agg(F.collect_set("line_no").alias(gone))
+    lost = saved(lost, "gone")
     # whole texts are shuffled of documents that lose lines only
-    some, others = parted(docs, F.xxhash64(F.col("doc_id").cast("long")), gone.select(F.xxhash64(GONE_DOC).alias("m")))
-    both = some.join(gone, F.col(GONE_DOC).eqNullSafe(F.col("doc_id")), "left")
-    same = F.col(GONE).isNull()
+    own, whole = F.col("doc_id").cast("long"), F.xxhash64("text")
+    some, others = parted(docs, F.xxhash64(own, whole), lost.select(F.xxhash64(gone_doc, gone_whole).alias("m")))
+    both = some.join(lost, F.col(gone_doc).eqNullSafe(own) & (F.col(gone_whole) == whole), "left")
+    same = F.col(gone).isNull()
 
     @F.pandas_udf("string")
     def left(texts: pd.Series, numbers: pd.Series) -> pd.Series:
@@ -211,9 +217,9 @@ def without_repeats(docs: DataFrame, chars: int = CHARS, shortest: int = 1) -> D
             out.append(None if t is None else "\n".join([x for i, x in enumerate(t.split("\n")) if i not in some]))
         return pd.Series(out, dtype=object)
 
-    both = both.withColumn(LEFT, left(F.when(same, F.lit(None)).otherwise(F.col("text")), F.col(GONE)))  # texts that stay as they are aren't sent
-    values = {"text": F.when(same, F.col("text")).otherwise(F.col(LEFT))}
+    both = both.withColumn(left_text, left(F.when(same, F.lit(None)).otherwise(F.col("text")), F.col(gone)))  # texts that stay as they are aren't sent
+    values = {"text": F.when(same, F.col("text")).otherwise(F.col(left_text))}
     if "n_chars" in docs.columns:
-        values["n_chars"] = F.when(same, F.col("n_chars")).otherwise(F.length(LEFT).cast("long"))
-    both = both.where(same | (F.trim(F.regexp_replace(LEFT, r"\s+", " ")) != "")).select(*(values.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+        values["n_chars"] = F.when(same, F.col("n_chars")).otherwise(F.length(left_text).cast("long"))
+    both = both.where(same | (F.trim(F.regexp_replace(left_text, r"\s+", " ")) != "")).select(*(values.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
     return others.unionByName(both)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, dropped, parted, saved, small_batches, spread_join
+from .common import among, dropped, parted, private, saved, small_batches, spread_join
 from .lsh import SKETCH_BITS, Segments, Signed, candidates, linked, mixed, sketches, slices
 
 WORDS = 5
@@ -163,13 +163,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the near duplicates: of each class the row with the smallest doc_id, once if repeated; all columns stay."""
+    """docs without the near duplicates: of each class the row with the smallest doc_id, once if repeated; all columns stay.
+
+    Of rows with the same doc_id and text whose other columns differ, the one
+    whose columns have the smallest hash stays.
+    """
     own, mark = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))
     rows = saved(near_duplicates(docs).groupBy("doc_id", "text_hash", "kept").agg(F.count("*").alias("n")), "classes")
     # only documents that go, or are there more than once, are looked up; the others pass as they are
     gone = rows.where("not kept or n > 1").select(F.xxhash64("doc_id", "text_hash").alias("m"))
     some, others = parted(docs, F.xxhash64(own, mark), gone)
-    kept = rows.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"), "n")
-    on = own.eqNullSafe(F.col("_kept_id")) & (mark == F.col("_kept_hash"))
-    once, again = kept.where("n = 1").drop("n"), kept.where("n > 1").drop("n")
-    return others.unionByName(some.join(once, on, "left_semi")).unionByName(some.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"]))
+    kept_id, kept_hash, row = (private(docs, n) for n in ("id", "hash", "row"))
+    kept = rows.where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash), F.col("n").alias(row))
+    on = own.eqNullSafe(F.col(kept_id)) & (mark == F.col(kept_hash))
+    once, again = kept.where(F.col(row) == 1).drop(row), kept.where(F.col(row) > 1).drop(row)
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    first = some.join(again, on, "left_semi").groupBy(own.alias(kept_id), mark.alias(kept_hash)).agg(F.min_by(F.struct(*every), F.xxhash64(*every)).alias(row))
+    first = first.select(*(F.col(row).getField(c).alias(c) for c in docs.columns))
+    return others.unionByName(some.join(once, on, "left_semi")).unionByName(first)
