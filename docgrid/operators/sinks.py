@@ -1,17 +1,12 @@
-"""Output files, and the manifest by which a run is resumed."""
+"""Output files and result rows."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import MANIFEST
-
-CHECKPOINT_PAGES = 5
-
 
 def write_files(documents: DataFrame, root: str, overwrite: bool = True) -> None:
     """Writes ``path, content`` rows (text or bytes) under root, each file by one task: first under another name, then renamed.
@@ -58,66 +53,6 @@ def has_space(spark: SparkSession, path: str, required_mb: int = 1000) -> bool:
         return False
 
 
-def read_manifest(spark: SparkSession, path: str, without_batch: int | None = None) -> DataFrame:
-    """All manifest rows, or those of other batches only; none if nothing has been written yet."""
-    try:
-        found = spark.read.schema(MANIFEST).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], MANIFEST)
-    if without_batch is not None and "batch" in found.columns:
-        found = found.where(F.col("batch") != without_batch)
-    return found.drop("batch")
-
-
-def _manifest_rows(rows: DataFrame) -> DataFrame:
-    return rows.select("path", "sha256", "total_pages", "processed_pages", "failed_pages", F.current_timestamp().alias("timestamp"), F.lit("1.0").alias("version"))
-
-
-def append_manifest(rows: DataFrame, path: str) -> None:
-    """Adds rows of path, sha256, total_pages, processed_pages, failed_pages to the manifest."""
-    _manifest_rows(rows).write.mode("append").parquet(path)
-
-
-def write_manifest(rows: DataFrame, path: str, batch: int) -> None:
-    """The manifest rows of one batch, in place of those that it may have written before."""
-    _manifest_rows(rows).write.mode("overwrite").parquet(f"{path}/batch={batch}")
-
-
-def remove_manifest(spark: SparkSession, path: str) -> bool:
-    """Deletes a manifest, so that the next run does everything anew; whether there was one."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
-
-
-def latest(manifest: DataFrame) -> DataFrame:
-    """The newest row of each path and digest, pages of older rows joined to it."""
-    pages = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return manifest.groupBy("path", "sha256").agg(F.max("total_pages").alias("total_pages"), pages("processed_pages"), pages("failed_pages"), F.max("timestamp").alias("timestamp"))
-
-
-def known_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Manifest rows of files that are unchanged: path and digest agree."""
-    return latest(manifest).join(files.select("path", "sha256").distinct(), ["path", "sha256"], "left_semi")
-
-
-def pending_pages(pages: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Pages (path, sha256, page_number) not processed yet: an anti join."""
-    done = manifest.select("path", "sha256", F.explode("processed_pages").alias("page_number")).distinct()
-    return pages.join(done, ["path", "sha256", "page_number"], "left_anti")
-
-
-def failed_pages(pages: DataFrame, manifest: DataFrame) -> DataFrame:
-    bad = manifest.select("path", "sha256", F.explode("failed_pages").alias("page_number")).distinct()
-    return pages.join(bad, ["path", "sha256", "page_number"], "left_semi")
-
-
-def progress(pages: DataFrame) -> DataFrame:
-    """Manifest rows of processed pages (path, sha256, page_number, error): pages with an error count as failed."""
-    number = lambda ok: F.array_sort(F.collect_list(F.when(F.col("error").isNull() == ok, F.col("page_number"))))
-    return pages.where("page_number > 0").groupBy("path", "sha256").agg(F.count("*").cast("int").alias("total_pages"), number(True).alias("processed_pages"), number(False).alias("failed_pages"))
-
-
 def success_rate(processed="processed_pages", total="total_pages") -> Column:
     """Processed by total, 0 where total is 0; both are counts."""
     return F.coalesce(F.try_divide(F.col(processed).cast("double"), F.col(total)), F.lit(0.0))

@@ -48,9 +48,9 @@ def annotations(edges: DataFrame) -> DataFrame:
     return _item(edges.where(has_annotation_marker("text")), "annotation", 3, 0.7, strip("text"), F.lit("edge"), F.lit("Edge text"))
 
 
-def items(elements: DataFrame, pages: DataFrame, bodies: DataFrame, edges: DataFrame) -> DataFrame:
+def items(elements: DataFrame, pages: DataFrame, bodies: DataFrame, edges: DataFrame, min_font_size: float = 14.0) -> DataFrame:
     """All summary items; their order is page, kind_rank, seq."""
-    return headings(elements, pages).unionByName(footnotes(bodies)).unionByName(captions(bodies)).unionByName(annotations(edges))
+    return headings(elements, pages, min_font_size).unionByName(footnotes(bodies)).unionByName(captions(bodies)).unionByName(annotations(edges))
 
 
 def of_type(rows: DataFrame, item_type: str) -> DataFrame:

@@ -5,15 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
-from ..operators import chapters, edges, elements, headers, images, layout, ocr, render, sinks, summary, tables
+from ..operators import chapters, checkpoints, edges, elements, headers, images, layout, manifest, ocr, render, sinks, summary, tables
 from ..shipping import ship
 from ..sources import files as file_source
 from ..sources import pdf
-from .materialise import materialised
+from .materialise import materialised, temporary
+from .progress import Progress
+
+
+RECOGNITION = ("auto", "always", "never")
 
 
 @dataclass(frozen=True)
@@ -31,11 +36,20 @@ class Options:
     #: Named parameters of :func:`docgrid.operators.chapters.boundaries` and :func:`docgrid.operators.layout.analyze`.
     chapters: dict = field(default_factory=dict)
     layout: dict = field(default_factory=dict)
+    #: Of :func:`docgrid.operators.summary.items`, :func:`docgrid.operators.headers.fuzzy_groups` and :func:`docgrid.operators.edges.extracted`.
+    summary: dict = field(default_factory=dict)
+    headers: dict = field(default_factory=dict)
+    edges: dict = field(default_factory=dict)
+    #: Whether pages are recognised by need ("auto") or all that have an image ("always"), and the thresholds of :func:`docgrid.operators.ocr.needs_ocr`.
+    recognition: str = "auto"
+    ocr: dict = field(default_factory=dict)
+    #: Pages of each file that are read before they are kept; None reads all at once.
+    pages_a_wave: int | None = None
 
 
 @dataclass
 class Analysis:
-    """The tables of a conversion, all lazy."""
+    """The tables of a conversion."""
 
     files: DataFrame
     pages: DataFrame
@@ -44,9 +58,14 @@ class Analysis:
     bodies: DataFrame
     statistics: DataFrame
     chapters: DataFrame
-    header_groups: DataFrame
     edge_texts: DataFrame
     summaries: DataFrame
+    options: Options
+
+    @property
+    def header_groups(self) -> DataFrame:
+        """Groups of similar headers and footers; made when asked for, since no output shows them."""
+        return headers.fuzzy_groups(self.layouts, **self.options.headers)
 
 
 def words_of(pages: DataFrame) -> DataFrame:
@@ -79,9 +98,9 @@ def analyze(files: DataFrame, pages: DataFrame, options: Options = Options()) ->
     bodies = materialised(elements.body_text(pages, own, margin), "bodies")
     stats = elements.text_statistics(pages, own)
     found = chapters.boundaries(own, sized, layouts, options.outline, **options.chapters)
-    texts = edges.extracted(margin, sized)
-    items = summary.items(own, sized, bodies, margin)
-    return Analysis(files, pages, own, layouts, bodies, stats, found, headers.fuzzy_groups(layouts), texts, summary.summaries(items, bodies, stats, files))
+    texts = edges.extracted(margin, sized, **options.edges)
+    items = summary.items(own, sized, bodies, margin, **options.summary)
+    return Analysis(files, pages, own, layouts, bodies, stats, found, texts, summary.summaries(items, bodies, stats, files), options)
 
 
 def pictures_of(pages: DataFrame) -> DataFrame:
@@ -90,17 +109,24 @@ def pictures_of(pages: DataFrame) -> DataFrame:
     return rows.withColumn("data", F.when(F.col("format").isin("jpeg", "png", "jp2"), F.col("data")))
 
 
-def with_recognised_text(pages: DataFrame, make_engine: Callable[[], ocr.OcrEngine]) -> DataFrame:
-    """pages with ``ocr_text`` where a page needs recognition and has an image, by its largest one, and ``ocr_error`` where the engine failed.
+def with_recognised_text(pages: DataFrame, options: Options) -> DataFrame:
+    """pages with ``ocr_text`` where a page is to be recognised and has an image, by its largest one, and ``ocr_error`` where the engine failed.
 
-    The usual length that a page is held against is its number of words.
+    By ``options.recognition`` that is where a page needs it, on every page, or
+    nowhere ("never"). The usual length that a page is held against is its
+    number of words.
     """
+    if options.recognition not in RECOGNITION:
+        raise ValueError(f"recognition is one of {', '.join(RECOGNITION)}")
+    if options.make_engine is None or options.recognition == "never":
+        return pages.withColumn("ocr_error", F.lit(None).cast("string"))
     area = lambda i: F.greatest(i["x1"] - i["x0"], F.lit(0.0)) * F.greatest(i["y1"] - i["y0"], F.lit(0.0))
     share = F.coalesce(F.try_divide(F.aggregate("images", F.lit(0.0), lambda acc, i: acc + area(i)), F.col("width") * F.col("height")), F.lit(0.0))
     whole = F.filter("images", lambda i: i["format"].isin("jpeg", "png", "jp2"))
     largest = F.array_max(F.transform(whole, lambda i: F.struct(area(i).alias("area"), (-i["image_no"]).alias("n"), i["data"].alias("data"))))["data"]
-    need = F.col("error").isNull() & (F.col("page_number") > 0) & ocr.needs_ocr(has_images=F.col("n_images") > 0, image_ratio=share, typical_length=word_count("raw_text"))
-    seen = ocr.recognised(pages.withColumn("needs_ocr", need).withColumn("image", largest), make_engine)
+    need = ocr.needs_ocr(has_images=F.col("n_images") > 0, image_ratio=share, typical_length=word_count("raw_text"), **options.ocr)
+    need = F.col("error").isNull() & (F.col("page_number") > 0) & (F.lit(True) if options.recognition == "always" else need)
+    seen = ocr.recognised(pages.withColumn("needs_ocr", need).withColumn("image", largest), options.make_engine)
     return seen.withColumn("ocr_text", F.col("ocr.text")).select(*pages.columns, "ocr_error")
 
 
@@ -119,32 +145,78 @@ def rendered(a: Analysis, options: Options = Options()) -> DataFrame:
     return render.documents(a.files, a.pages, a.summaries, content, edges.formatted(a.edge_texts), parts)
 
 
-def convert(spark: SparkSession, source: str, output: str, resume: bool = False, options: Options = Options()) -> DataFrame:
+def _read(spark: SparkSession, found: DataFrame, listed: DataFrame, output: str, first: int, resume: bool, options: Options, progress: Progress) -> None:
+    """Reads the pages of files that aren't done and keeps them under ``_pages``, with manifest rows beside, ``pages_a_wave`` of each file at a time.
+
+    A wave is a version of both tables, its manifest rows written last; a wave
+    that was broken off is done again under its number. Pages that failed before
+    are tried once more, those that fail in this run aren't tried again in it.
+    """
+    version = first
+    while True:
+        files = found
+        if resume or version > first:
+            tried = F.col("version") >= first
+            skip = manifest.newest(manifest.read(spark, f"{output}/_manifest")).where(tried | F.col("error").isNull() if resume else tried)
+            skip = skip.join(listed, manifest.FILE, "left_semi").groupBy(*manifest.FILE).agg(F.collect_list("page_number").alias("skip"))
+            files = found.join(materialised(skip, "skip"), manifest.FILE, "left")
+        pages = pdf.with_doc_ids(pdf.read_pages(files, options.pages_a_wave))
+        pages = with_recognised_text(pages, options)
+        progress.write(pages, f"{output}/_pages/version={version}")
+        kept = spark.read.schema(pages.schema).parquet(f"{output}/_pages/version={version}")
+        if kept.isEmpty():
+            manifest.remove(spark, f"{output}/_pages/version={version}")
+            return
+        manifest.write(manifest.rows(kept), f"{output}/_manifest", version)
+        if options.pages_a_wave is None:
+            return
+        version += 1
+
+
+def convert(spark: SparkSession, source: str, output: str, resume: bool = False, options: Options = Options(), progress: Progress | None = None) -> DataFrame:
     """Converts the PDF files of a directory (or one file) to Markdown, each file into a folder of its own under output; gives a result row a file.
 
-    Pages are read once and kept as Parquet under ``output/_pages``. With resume,
-    files that the manifest lists unchanged and whole are left alone, so their
-    output stays.
+    Pages are read once and kept as Parquet under ``output/_pages``, by version,
+    with a manifest row for each under ``output/_manifest``. With resume, files
+    that the manifest lists unchanged and whole are left alone, so their output
+    stays; of the others only the pages that aren't done are read, and the
+    output is made from these and the pages kept before. With
+    ``Options.pages_a_wave`` a run that is broken off inside long files resumes
+    at its next wave. ``progress`` gets the counts of pages as they are kept.
+    Checkpoint files, as JSON, lie under ``output/_checkpoints``.
     """
-    found = file_source.scan_directory(spark, source, with_content=True).where(file_source.is_valid())
-    found = found.withColumn("sha256", file_source.sha256())
-    manifest = f"{output}/_manifest"
-    if resume:
-        known = sinks.known_files(found, sinks.read_manifest(spark, manifest)).where("size(processed_pages) = total_pages")
-        found = found.join(known.select("path", "sha256"), ["path", "sha256"], "left_anti")
     ship(spark)
-    pages = pdf.with_doc_ids(pdf.read_pages(found))
-    if options.make_engine is not None:
-        pages = with_recognised_text(pages, options.make_engine)
-    pages.write.mode("overwrite").parquet(f"{output}/_pages")
-    pages = spark.read.parquet(f"{output}/_pages")
-    listed = materialised(found.select("path", "sha256"), "files").withColumn("doc_id", F.xxhash64("path"))
-    a = analyze(listed.select("doc_id", "path"), pages.where("page_number > 0"), options)
-    folder = listed.select("doc_id", file_source.stem("path").alias("folder"))
-    out = rendered(a, options).select("doc_id", "path", F.col("content").cast("binary").alias("content"))
-    if options.include_images:
-        out = out.unionByName(images.output_files(pictures_of(pages)))
-    out = out.join(folder, "doc_id").select(F.concat("folder", F.lit("_md/"), "path").alias("path"), "content")
-    sinks.write_files(out, output)
-    sinks.append_manifest(sinks.progress(pages.join(listed.select("path", "sha256"), "path")), manifest)
-    return sinks.results(pages)
+    with temporary(spark):
+        found = file_source.scan_directory(spark, source, with_content=True).where(file_source.is_valid())
+        found = found.withColumn("sha256", file_source.sha256())
+        table = f"{output}/_manifest"
+        if resume:
+            whole = manifest.known_files(found, manifest.read(spark, table)).where(manifest.is_whole())
+            found = found.join(materialised(whole.select(*manifest.FILE), "whole"), manifest.FILE, "left_anti")
+        listed = materialised(found.select(*manifest.FILE), "files").withColumn("doc_id", F.xxhash64("path"))
+        first = manifest.next_version(spark, table)
+        _read(spark, found, listed, output, first, resume, options, progress or Progress())
+        pages = kept_pages(spark, output, 0 if resume else first).join(listed.select(*manifest.FILE), manifest.FILE, "left_semi")
+        a = analyze(listed.select("doc_id", "path"), pages.where("page_number > 0"), options)
+        folder = listed.select("doc_id", file_source.stem("path").alias("folder"))
+        out = rendered(a, options).select("doc_id", "path", F.col("content").cast("binary").alias("content"))
+        if options.include_images:
+            out = out.unionByName(images.output_files(pictures_of(pages)))
+        out = out.join(folder, "doc_id").select(F.concat("folder", F.lit("_md/"), "path").alias("path"), "content")
+        sinks.write_files(out, output)
+        checkpoints.write(manifest.known_files(listed, manifest.read(spark, table)), f"{output}/_checkpoints")
+        sinks.results(pages).write.mode("overwrite").parquet(f"{output}/_results")
+    return spark.read.parquet(f"{output}/_results")
+
+
+def kept_pages(spark: SparkSession, output: str, first: int = 0) -> DataFrame:
+    """The newest version of each page that conversions into output have kept, of versions from `first` on."""
+    known = manifest.read(spark, f"{output}/_manifest").where(F.col("version") >= first)
+    try:
+        pages = spark.read.parquet(f"{output}/_pages").where(F.col("version") >= first)
+    except AnalysisException as e:
+        if not any(x in str(e.getCondition() or e) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
+            raise
+        return spark.createDataFrame([], f"{pdf.PAGE_ROWS}, doc_id BIGINT, ocr_error STRING, version BIGINT")
+    done = pages.join(known.select("version").distinct(), "version", "left_semi")  # a wave without manifest rows was broken off
+    return done.join(manifest.superseded(known), [*manifest.KEY, "version"], "left_anti")

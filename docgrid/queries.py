@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import chapters, edges, elements, headers, images, layout, ocr, render, sinks, summary, tables
-from .plans import convert, synth
+from .operators import chapters, checkpoints, edges, elements, headers, images, layout, manifest, ocr, render, sinks, summary, tables
+from .plans import catalog, convert, synth
 from .plans.materialise import materialised
 from .sources import files as file_source
 from .sources import pdf
@@ -880,9 +880,8 @@ def _(t):
 
 @_query("resume_antijoin", "SELECT doc_id, page_number FROM pg WHERE NOT (doc_id % 3 = 0 AND page_number % 2 = 1)")
 def _(t):
-    pages = t.pages.select("doc_id", "page_number", F.col("doc_id").cast("string").alias("path"), F.lit("x").alias("sha256"))
-    done = pages.where("doc_id % 3 = 0 and page_number % 2 = 1").groupBy("path", "sha256").agg(F.collect_list("page_number").alias("processed_pages"))
-    return sinks.pending_pages(pages, done).select("doc_id", "page_number")
+    pages = _paged(t)
+    return manifest.pending_pages(pages, _run(pages.where("doc_id % 3 = 0 and page_number % 2 = 1"), F.lit(None), 0)).select("doc_id", "page_number")
 
 
 @_query("success_rate", "SELECT event_type, count(*) AS total_pages, count(*) FILTER (value > 50) AS processed_pages, CAST(count(*) FILTER (value > 50) AS DOUBLE) / count(*) AS success_rate FROM events GROUP BY event_type")
@@ -891,10 +890,20 @@ def _(t):
     return rows.withColumn("success_rate", sinks.success_rate())
 
 
-@_query("manifest_progress", "SELECT CAST(doc_id AS VARCHAR) AS path, CAST(count(*) AS INTEGER) AS total_pages, CAST(count(*) FILTER (page_number % 5 <> 0) AS INTEGER) AS done, CAST(count(*) FILTER (page_number % 5 = 0) AS INTEGER) AS failed FROM pg GROUP BY doc_id")
+def _paged(t):
+    """Pages of each document as those of a file."""
+    return t.pages.select("doc_id", "page_number", F.col("doc_id").cast("string").alias("path"), F.lit("x").alias("sha256"), F.max("page_number").over(Window.partitionBy("doc_id")).alias("total_pages"))
+
+
+def _run(pages, error, version):
+    """Manifest rows of a run over pages."""
+    return manifest.rows(pages.withColumn("error", error.cast("string"))).withColumn("timestamp", F.timestamp_seconds(F.lit(version))).withColumn("version", F.lit(version).cast("long"))
+
+
+@_query("manifest_progress", "SELECT CAST(doc_id AS VARCHAR) AS path, CAST(max(page_number) AS INTEGER) AS total_pages, CAST(count(*) FILTER (page_number % 5 <> 0) AS INTEGER) AS done, CAST(count(*) FILTER (page_number % 5 = 0) AS INTEGER) AS failed FROM pg GROUP BY doc_id")
 def _(t):
-    pages = t.pages.select(F.col("doc_id").cast("string").alias("path"), F.lit("x").alias("sha256"), "page_number", F.when(F.col("page_number") % 5 == 0, "bad").alias("error"))
-    return sinks.progress(pages).select("path", "total_pages", F.size("processed_pages").alias("done"), F.size("failed_pages").alias("failed"))
+    run = _run(_paged(t), F.when(F.col("page_number") % 5 == 0, "bad"), 0)
+    return manifest.progress(run).select("path", "total_pages", F.size("processed_pages").alias("done"), F.size("failed_pages").alias("failed"))
 
 
 @_query("han_characters", "SELECT c, regexp_full_match(c, '[\\x{4E00}-\\x{9FFF}]') AS han FROM (SELECT DISTINCT unnest(string_split(left(text, 50) || '第一, a章!', '')) AS c FROM conversations)")
@@ -976,34 +985,102 @@ def _(t):
     return t.headings.select(*PAGE, "seq", render.section_link("text", F.when(F.col("seq") % 2 == 0, "docs/a.md")).alias("link"))
 
 
-_RUNS = "SELECT doc_id, page_number, (doc_id + page_number + run) % 4 = 0 AS bad, run FROM pg CROSS JOIN (SELECT unnest([0, 1]) AS run) WHERE (page_number + run) % 2 = 0"
+#: Three runs: the second tries what failed in the first once more, with the pages left out; the third reads some pages anew, which may fail then.
+_RUNS = """SELECT doc_id, page_number, 0 AS run, (doc_id + page_number) % 4 = 0 AS bad FROM pg WHERE page_number % 2 = 0
+UNION ALL SELECT doc_id, page_number, 1, page_number % 3 = 0 FROM pg WHERE page_number % 2 = 1 OR (doc_id + page_number) % 4 = 0
+UNION ALL SELECT doc_id, page_number, 2, (doc_id + page_number) % 5 = 0 FROM pg WHERE page_number % 3 = 0"""
+_NEWEST = f"SELECT * FROM ({_RUNS}) QUALIFY row_number() OVER (PARTITION BY doc_id, page_number ORDER BY run DESC) = 1"
 
 
 def _manifest(t):
-    """Two runs of the pages of each document, the second with the pages that the first left out."""
-    pages = t.pages.select("doc_id", "page_number", F.col("doc_id").cast("string").alias("path"), F.lit("x").alias("sha256"))
-    bad = lambda run: F.when((F.col("doc_id") + F.col("page_number") + run) % 4 == 0, "bad")
-    one = lambda run: sinks.progress(pages.where((F.col("page_number") + run) % 2 == 0).withColumn("error", bad(run))).withColumn("timestamp", F.timestamp_seconds(F.lit(run)))
-    return pages, one(0).unionByName(one(1))
+    pages = _paged(t)
+    both, page = F.col("doc_id") + F.col("page_number"), F.col("page_number")
+    runs = [(page % 2 == 0, both % 4 == 0), ((page % 2 == 1) | (both % 4 == 0), page % 3 == 0), (page % 3 == 0, both % 5 == 0)]
+    found = [_run(pages.where(some), F.when(bad, "bad"), n) for n, (some, bad) in enumerate(runs)]
+    return pages, found[0].unionByName(found[1]).unionByName(found[2])
 
 
-@_query("manifest_latest", f"SELECT CAST(doc_id AS VARCHAR) AS path, coalesce(string_agg(page_number, ',' ORDER BY page_number) FILTER (NOT bad), '') AS done, coalesce(string_agg(page_number, ',' ORDER BY page_number) FILTER (bad), '') AS failed, CAST(max(run) AS INTEGER) AS last_run FROM ({_RUNS}) GROUP BY doc_id")
+@_query("manifest_latest", f"SELECT CAST(doc_id AS VARCHAR) AS path, coalesce(string_agg(page_number, ',' ORDER BY page_number) FILTER (NOT bad), '') AS done, coalesce(string_agg(page_number, ',' ORDER BY page_number) FILTER (bad), '') AS failed, CAST(max(run) AS INTEGER) AS last_run FROM ({_NEWEST}) GROUP BY doc_id")
 def _(t):
     said = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
-    return sinks.latest(_manifest(t)[1]).select("path", said("processed_pages").alias("done"), said("failed_pages").alias("failed"), F.unix_timestamp("timestamp").cast("int").alias("last_run"))
+    return manifest.progress(_manifest(t)[1]).select("path", said("processed_pages").alias("done"), said("failed_pages").alias("failed"), F.unix_timestamp("timestamp").cast("int").alias("last_run"))
 
 
-@_query("failed_pages", f"SELECT doc_id, page_number FROM ({_RUNS}) WHERE bad")
+@_query("failed_pages", f"SELECT doc_id, page_number FROM ({_NEWEST}) WHERE bad")
 def _(t):
-    pages, manifest = _manifest(t)
-    return sinks.failed_pages(pages, manifest).select("doc_id", "page_number")
+    pages, rows = _manifest(t)
+    return manifest.failed_pages(pages, rows).select("doc_id", "page_number")
+
+
+@_query("pending_pages", f"SELECT doc_id, page_number FROM pg EXCEPT SELECT doc_id, page_number FROM ({_NEWEST}) WHERE NOT bad")
+def _(t):
+    pages, rows = _manifest(t)
+    return manifest.pending_pages(pages, rows).select("doc_id", "page_number")
+
+
+@_query("whole_files", f"SELECT CAST(doc_id AS VARCHAR) AS path FROM ({_NEWEST}) JOIN (SELECT doc_id, count(*) AS n FROM pg GROUP BY doc_id) USING (doc_id) GROUP BY doc_id, n HAVING count(*) FILTER (NOT bad) = n")
+def _(t):
+    return manifest.progress(_manifest(t)[1]).where(manifest.is_whole()).select("path")
+
+
+@_query("superseded_pages", f"SELECT doc_id, page_number, CAST(run AS BIGINT) AS version FROM ({_RUNS}) QUALIFY row_number() OVER (PARTITION BY doc_id, page_number ORDER BY run DESC) > 1")
+def _(t):
+    return manifest.superseded(_manifest(t)[1]).select(F.col("path").cast("long").alias("doc_id"), "page_number", "version")
 
 
 @_query("known_files", f"SELECT DISTINCT CAST(doc_id AS VARCHAR) AS path FROM ({_RUNS}) WHERE doc_id % 3 <> 0")
 def _(t):
-    pages, manifest = _manifest(t)
+    pages, rows = _manifest(t)
     files = pages.select("path", F.when(F.col("doc_id") % 3 == 0, "changed").otherwise("x").alias("sha256")).distinct()
-    return sinks.known_files(files, manifest).select("path")
+    return manifest.known_files(files, rows).select("path")
+
+
+def _by_sql(t, text: str, **tables: DataFrame) -> DataFrame:
+    """The answer to SQL text over views of tables."""
+    catalog.register(t.spark, {f"docgrid_{name}": df for name, df in tables.items()})
+    return t.spark.sql(text)
+
+
+@_query("sql_page_lines", """, ls AS (SELECT doc_id, page_number, list_reduce(list_transform(list_sort(list(DISTINCT top)), lambda v: [v]), lambda a, b: CASE WHEN b[1] - a[-1] > 10 THEN list_concat(a, b) ELSE a END) AS leads FROM words GROUP BY ALL),
+placed AS (SELECT w.*, list_max(list_filter(leads, lambda v: v <= w.top)) AS line_y FROM words w JOIN ls USING (doc_id, page_number))
+SELECT doc_id, page_number, CAST(row_number() OVER (PARTITION BY doc_id, page_number ORDER BY line_y) AS INTEGER) AS line_no, line_y, CAST(count(*) AS INTEGER) AS words, string_agg(text, ' ' ORDER BY x0, seq) AS text FROM placed GROUP BY doc_id, page_number, line_y""")
+def _(t):
+    return _by_sql(t, "SELECT doc_id, page_number, line_no, line_y, words, text FROM page_lines(TABLE(docgrid_words))", words=t.words)
+
+
+@_query("sql_heading_levels", "SELECT doc_id, CAST(level AS INTEGER) AS level, count(*) AS n FROM levels GROUP BY ALL")
+def _(t):
+    return _by_sql(t, "SELECT doc_id, heading_level(text) AS level, count(*) AS n FROM docgrid_headings GROUP BY ALL", headings=t.headings)
+
+
+@_query("sql_edge_counts", "SELECT doc_id, position, page_number, count(*) AS n FROM edges GROUP BY GROUPING SETS ((doc_id), (doc_id, position), (doc_id, page_number))")
+def _(t):
+    return _by_sql(t, "SELECT doc_id, position, page_number, count(*) AS n FROM docgrid_edges GROUP BY GROUPING SETS ((doc_id), (doc_id, position), (doc_id, page_number))", edges=t.edge_texts)
+
+
+@_query("sql_chapter_pages", "SELECT b.doc_id, b.chapter_number, count(*) AS pages FROM pg ASOF JOIN boundaries b ON pg.doc_id = b.doc_id AND pg.page_number >= b.page_number GROUP BY ALL")
+def _(t):
+    text = """WITH spans AS (SELECT doc_id, chapter_number, page_number AS first, lead(page_number) OVER (PARTITION BY doc_id ORDER BY page_number) AS after FROM docgrid_boundaries)
+SELECT s.doc_id, s.chapter_number, count(*) AS pages FROM spans s JOIN docgrid_pages p ON p.doc_id = s.doc_id AND p.page_number >= s.first AND (s.after IS NULL OR p.page_number < s.after) GROUP BY ALL"""
+    return _by_sql(t, text, boundaries=t.boundaries, pages=t.pages)
+
+
+@_query("sql_element_meetings", "SELECT a.doc_id, a.page_number, count(*) AS n FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND a.page_number = b.page_number AND a.seq < b.seq AND a.x1 >= b.x0 AND b.x1 >= a.x0 AND a.y1 >= b.y0 AND b.y1 >= a.y0 GROUP BY ALL")
+def _(t):
+    text = """SELECT a.doc_id, a.page_number, count(*) AS n FROM docgrid_tokens a JOIN docgrid_tokens b USING (doc_id, page_number)
+WHERE a.seq < b.seq AND boxes_meet(a.x0, a.y0, a.x1, a.y1, b.x0, b.y0, b.x1, b.y1) GROUP BY ALL"""
+    return _by_sql(t, text, tokens=t.tokens)
+
+
+@_query("checkpoint_json", f"""SELECT CAST(doc_id AS VARCHAR) AS path, doc_id % 5 = 0 AS damaged, CASE WHEN doc_id % 5 <> 0 THEN max(total) END AS total_pages,
+CASE WHEN doc_id % 5 <> 0 THEN string_agg(page_number, ',' ORDER BY page_number) FILTER (NOT bad) END AS done, CASE WHEN doc_id % 5 <> 0 THEN string_agg(page_number, ',' ORDER BY page_number) FILTER (bad) END AS failed
+FROM (SELECT *, CAST(max(page_number) OVER (PARTITION BY doc_id) AS INTEGER) AS total FROM ({_NEWEST})) GROUP BY doc_id""")
+def _(t):
+    """Checkpoints of all documents as JSON and read again, every fifth broken off on its way."""
+    found = manifest.progress(_manifest(t)[1]).withColumn("text", checkpoints.as_json())
+    cut = F.when(F.col("path").cast("long") % 5 == 0, F.left("text", F.length("text") - 9)).otherwise(F.col("text"))
+    said = lambda c: F.nullif(F.array_join(F.col(f"c.{c}").cast("array<string>"), ","), F.lit(""))
+    return found.select("path", checkpoints.parsed(cut).alias("c")).select("path", F.col("c.damaged").isNotNull().alias("damaged"), "c.total_pages", said("processed_pages").alias("done"), said("failed_pages").alias("failed"))
 
 
 _SHEETS = """, sheet_lines AS (SELECT doc_id, page_number, ln, string_agg(text, ' ' ORDER BY seq) AS line FROM words GROUP BY ALL)

@@ -5,32 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import sinks
+from ..operators import manifest
+from ..plans.progress import Progress, with_file_counts
 from ..sources import files as file_source
 from ..sources import pdf
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def watch(spark: SparkSession, directory: str, tables: str, checkpoint: str, max_files: int = 1000, available_now: bool = True) -> StreamingQuery:
+def watch(spark: SparkSession, directory: str, tables: str, checkpoint: str, max_files: int = 1000, available_now: bool = True, progress: Progress | None = None) -> StreamingQuery:
     """Reads pages of PDF files as they appear in a directory and appends them under ``tables/pages``, with a manifest beside.
 
     A file whose path and digest the manifest lists is left out. Pages and
     manifest rows are kept by batch number, and a batch that runs again replaces
     its own and looks only at what other batches did, so it adds nothing twice
     and loses nothing, wherever it was broken off. At most max_files files make
-    a batch.
+    a batch. Files and bytes are metrics of the stream, for
+    :class:`docgrid.plans.progress.StreamProgress`; ``progress`` gets the counts
+    of pages.
     """
+    counts = progress or Progress()
 
     def batch(rows: DataFrame, number: int) -> None:
         s = rows.sparkSession
-        known = sinks.read_manifest(s, f"{tables}/manifest", without_batch=number).select("path", "sha256").distinct()
+        known = manifest.read(s, f"{tables}/manifest", without=number).select("path", "sha256").distinct()
         new = rows.where(file_source.is_valid()).withColumn("sha256", file_source.sha256()).join(known, ["path", "sha256"], "left_anti")
         pages = pdf.with_doc_ids(pdf.read_pages(new))
-        pages.write.mode("overwrite").parquet(f"{tables}/pages/batch={number}")
-        kept = s.read.parquet(f"{tables}/pages/batch={number}").join(new.select("path", "sha256"), "path")
-        sinks.write_manifest(sinks.progress(kept), f"{tables}/manifest", number)
+        counts.write(pages, f"{tables}/pages/batch={number}")
+        kept = s.read.schema(pages.schema).parquet(f"{tables}/pages/batch={number}")
+        manifest.write(manifest.rows(kept), f"{tables}/manifest", number)
 
     stream = spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", "*.pdf").option("maxFilesPerTrigger", max_files).load(directory)
-    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = with_file_counts(stream).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()

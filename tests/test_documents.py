@@ -1,13 +1,15 @@
 """Chapters, headers, edges, tables, rendering, files: small documents from end to end."""
 
+import time
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from docgrid import cli, schemas
-from docgrid.operators import chapters, edges, elements, headers, layout, ocr, render, sinks, summary, tables
-from docgrid.plans import convert
+from docgrid.operators import chapters, checkpoints, edges, elements, headers, layout, manifest, ocr, render, sinks, summary, tables
+from docgrid.plans import catalog, convert
+from docgrid.plans.progress import Progress, StreamProgress
 from docgrid.sources import files, pdf
 from docgrid.streaming import new_files
 
@@ -68,20 +70,31 @@ def test_pdf_pages(spark, books):
 
 def test_conversion_resume_and_cli(spark, books, tmp_path):
     out = str(tmp_path / "out")
-    got = {r.path.rsplit("/", 1)[-1]: r for r in convert.convert(spark, books, out).collect()}
+    counts = Progress()
+    got = {r.path.rsplit("/", 1)[-1]: r for r in convert.convert(spark, books, out, progress=counts).collect()}
+    assert (counts.pages_done, counts.pages_failed, counts.files_failed) == (sum(r.processed_pages for r in got.values()), 0, 1) == (4, 0, 1)
     assert got["my_book.pdf"].success and got["my_book.pdf"].processed_pages == 3 and not got["broken.pdf"].success
     main = (tmp_path / "out" / "my_book_md" / "my_book.md").read_text()
     assert main.startswith("# My Book\n") and "## Page 2" in main and "Second page here." in main and "Chapter 1: Start" in main
     again = [r.path.rsplit("/", 1)[-1] for r in convert.convert(spark, books, out, resume=True).collect()]
     assert again == ["broken.pdf"]
+    found = {r.name: r for r in checkpoints.read(spark, f"{out}/_checkpoints").collect()}
+    assert (found["my_book.pdf"].total_pages, found["my_book.pdf"].processed_pages, found["my_book.pdf"].failed_pages) == (3, [1, 2, 3], []) and found["broken.pdf"].total_pages == 0
     assert cli.main([books, "--output", str(tmp_path / "out2"), "--boundary-page-only"]) == 1
 
 
 def test_stream_of_new_files_is_idempotent(spark, books, tmp_path):
+    listener, counts = StreamProgress(), Progress()
+    spark.streams.addListener(listener)
     for _ in range(2):
-        new_files.watch(spark, books, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(120)
+        new_files.watch(spark, books, str(tmp_path / "t"), str(tmp_path / "c"), progress=counts).awaitTermination(120)
+    for _ in range(100):
+        if listener.ended < 2:
+            time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert listener.files == 3 and listener.bytes > 0 and (counts.pages_done, counts.files_failed) == (4, 1)
     rows = spark.read.parquet(str(tmp_path / "t" / "pages"))
-    assert rows.where("page_number > 0").count() == 4 and sinks.read_manifest(spark, str(tmp_path / "t" / "manifest")).count() == 2
+    assert rows.where("page_number > 0").count() == 4 and manifest.read(spark, str(tmp_path / "t" / "manifest")).select("path").distinct().count() == 3 and manifest.read(spark, str(tmp_path / "t" / "manifest")).count() == 5
 
 
 def test_stream_batch_that_runs_again_loses_and_adds_nothing(spark, books, tmp_path):
@@ -91,8 +104,8 @@ def test_stream_batch_that_runs_again_loses_and_adds_nothing(spark, books, tmp_p
         new_files.watch(spark, books, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(120)
         shutil.rmtree(tmp_path / "c" / "commits")
     rows = spark.read.parquet(str(tmp_path / "t" / "pages"))
-    assert rows.where("page_number > 0").count() == 4 and sinks.read_manifest(spark, str(tmp_path / "t" / "manifest")).count() == 2
-    assert sinks.remove_manifest(spark, str(tmp_path / "t" / "manifest")) and sinks.read_manifest(spark, str(tmp_path / "t" / "manifest")).count() == 0
+    assert rows.where("page_number > 0").count() == 4 and manifest.read(spark, str(tmp_path / "t" / "manifest")).select("path").distinct().count() == 3 and manifest.read(spark, str(tmp_path / "t" / "manifest")).count() == 5
+    assert manifest.remove(spark, str(tmp_path / "t" / "manifest")) and manifest.read(spark, str(tmp_path / "t" / "manifest")).count() == 0
 
 
 def test_needs_ocr_counts_stripped_text(spark):
@@ -221,16 +234,69 @@ def test_ocr_engine_sees_only_pages_that_need_it(spark):
 
 def test_manifest(spark, tmp_path):
     path = str(tmp_path / "m")
-    rows = spark.createDataFrame([("a", "h", 1, None), ("a", "h", 2, "bad"), ("a", "h", 3, None)], "path string, sha256 string, page_number int, error string")
-    sinks.append_manifest(sinks.progress(rows), path)
-    m = sinks.read_manifest(spark, path)
-    assert [(r.total_pages, r.processed_pages, r.failed_pages) for r in m.collect()] == [(3, [1, 3], [2])]
-    assert [r.page_number for r in sinks.pending_pages(rows, m).collect()] == [2] and [r.page_number for r in sinks.failed_pages(rows, m).collect()] == [2]
-    assert sinks.known_files(spark.createDataFrame([("a", "other")], "path string, sha256 string"), m).count() == 0
+    pages = spark.createDataFrame([("a", "h", n, 3, e) for n, e in ((1, None), (2, "bad"), (3, None))] + [("b", "k", 0, 0, "unreadable")], "path string, sha256 string, page_number int, total_pages int, error string")
+    done = lambda m: {r.path: (r.total_pages, r.processed_pages, r.failed_pages) for r in manifest.progress(m).collect()}
+    for _ in range(2):  # an action that is repeated puts its rows in place of its own
+        manifest.write(manifest.rows(pages), path, 0)
+    m = manifest.read(spark, path)
+    assert m.count() == 4 and manifest.next_version(spark, path) == 1 and done(m) == {"a": (3, [1, 3], [2]), "b": (0, [], [])}
+    assert sorted((r.path, r.page_number) for r in manifest.pending_pages(pages, m).collect()) == [("a", 2), ("b", 0)] == sorted((r.path, r.page_number) for r in manifest.failed_pages(pages, m).collect())
+    again = pages.where("page_number = 2").withColumn("error", F.lit(None).cast("string"))
+    manifest.write(manifest.rows(again), path, 1)
+    m = manifest.read(spark, path)
+    assert done(m)["a"] == (3, [1, 2, 3], []) and [r.path for r in manifest.progress(m).where(manifest.is_whole()).collect()] == ["a"]
+    assert [r.path for r in manifest.failed_pages(pages, m).collect()] == ["b"] == [r.path for r in manifest.pending_pages(pages, m).collect()]
+    assert [(r.page_number, r.version) for r in manifest.superseded(m).collect()] == [(2, 0)] and manifest.read(spark, path, without=1).count() == 4
+    manifest.write(manifest.rows(again.withColumn("error", F.lit("worse"))), path, 2)  # read anew and failed: the newest counts
+    assert done(manifest.read(spark, path))["a"] == (3, [1, 3], [2])
+    before = done(manifest.read(spark, path))
+    manifest.merge(spark, path)
+    assert done(manifest.read(spark, path)) == before and manifest.read(spark, path).count() == 4 and manifest.next_version(spark, path) == 3
+    assert manifest.known_files(spark.createDataFrame([("a", "other")], "path string, sha256 string"), manifest.read(spark, path)).count() == 0
+    assert manifest.read(spark, str(tmp_path / "none")).count() == 0 == manifest.next_version(spark, str(tmp_path / "none"))
     with pytest.raises(Exception, match="outside"):
         sinks.write_files(spark.createDataFrame([("../x", "y")], "path string, content string"), str(tmp_path / "o"))
 
 
+def test_a_broken_off_conversion_resumes_at_its_pages(spark, books, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    write, calls = manifest.write, []
+
+    def breaks(rows, path, version):
+        calls.append(version)
+        if version == 1:
+            raise OSError("no space")
+        write(rows, path, version)
+
+    monkeypatch.setattr(manifest, "write", breaks)
+    options = convert.Options(pages_a_wave=1)
+    with pytest.raises(OSError):
+        convert.convert(spark, books, out, options=options)
+    assert calls == [0, 1]  # the second page of each file was read, but isn't known to be
+    monkeypatch.setattr(manifest, "write", write)
+    kept = lambda: sorted((r.path.rsplit("/", 1)[-1], r.page_number) for r in convert.kept_pages(spark, out).select("path", "page_number").collect())
+    assert kept() == [("broken.pdf", 0), ("my_book.pdf", 1), ("plain.pdf", 1)]
+    got = {r.path.rsplit("/", 1)[-1]: r for r in convert.convert(spark, books, out, resume=True, options=options).collect()}
+    assert set(got) == {"my_book.pdf", "broken.pdf"} and got["my_book.pdf"].success and got["my_book.pdf"].processed_pages == 3
+    versions = {(r.path.rsplit("/", 1)[-1], r.page_number): r.version for r in manifest.read(spark, f"{out}/_manifest").collect()}
+    assert versions[("my_book.pdf", 1)] == 0 and versions[("my_book.pdf", 2)] == 1 and versions[("my_book.pdf", 3)] == 2  # no page was read twice
+    main = (tmp_path / "out" / "my_book_md" / "my_book.md").read_text()
+    assert all(x in main for x in ("The first page has words", "Second page here.", "Last words."))
+
+
+def test_a_page_that_failed_is_tried_again(spark, books, tmp_path):
+    out = str(tmp_path / "out")
+    convert.convert(spark, books, out)
+    m = manifest.read(spark, f"{out}/_manifest")
+    bad = m.where("path like '%my_book.pdf' and page_number = 2").drop("version").withColumn("error", F.lit("engine was down"))
+    manifest.write(convert.materialised(bad, "bad"), f"{out}/_manifest", 7)
+    assert [r.page_number for r in manifest.failed_pages(m, manifest.read(spark, f"{out}/_manifest")).where("page_number > 0").collect()] == [2]
+    got = {r.path.rsplit("/", 1)[-1]: r for r in convert.convert(spark, books, out, resume=True).collect()}
+    assert got["my_book.pdf"].success and "plain.pdf" not in got
+    assert manifest.failed_pages(m, manifest.read(spark, f"{out}/_manifest")).where("page_number > 0").count() == 0
+    assert [(r.page_number, r.version) for r in convert.kept_pages(spark, out).where("path like '%my_book.pdf'").orderBy("page_number").collect()] == [(1, 0), (2, 8), (3, 0)]
+
+
 def test_files_are_written_to_folders_and_addresses(spark, tmp_path):
     rows = spark.createDataFrame([("a/b.md", "one"), ("c.md", "é")], "path string, content string")
     sinks.write_files(rows, str(tmp_path / "o"))
@@ -356,10 +422,44 @@ def test_free_space_progress_and_sizes(spark, tmp_path, caplog):
     from docgrid.plans.progress import reported
 
     assert sinks.has_space(spark, str(tmp_path / "not" / "there"), 1) and not sinks.has_space(spark, str(tmp_path), 10**9)
-    with caplog.at_level(logging.INFO), reported(spark, "work", logging.getLogger("docgrid.test"), 0.2):
-        spark.range(8, numPartitions=4).selectExpr("java_method('java.lang.Thread', 'sleep', cast(300 as bigint))").collect()
+    with caplog.at_level(logging.INFO), reported("work", logging.getLogger("docgrid")) as progress:
+        pages = spark.createDataFrame([(1, None), (2, "bad"), (3, None), (0, "unreadable")], "page_number int, error string")
+        progress.write(pages, str(tmp_path / "p"))
+        progress.write(pages.where("page_number = 2"), str(tmp_path / "q"))
+    assert (progress.pages_done, progress.pages_failed, progress.files_failed, progress.waves) == (2, 2, 1, 2) and spark.read.parquet(str(tmp_path / "p")).count() == 4
     said = [r.message for r in caplog.records]
-    assert said[0] == "work: started" and said[-1].startswith("work: ") and any("tasks" in m for m in said)
+    assert said[0] == "work: started" and said[-1].startswith("work: ") and any("2 pages done, 1 failed" in m for m in said)
     df = spark.createDataFrame([(4000, 1000, b"no image"), (100, 50, b"x")], "width int, height int, data binary")
     assert [tuple(r.s) for r in df.select(images.recognition_size().alias("s")).collect()] == [(2000, 500), (100, 50)]
     assert [bytes(r.data) for r in images.for_recognition(df).collect()] == [b"no image", b"x"]
+
+
+def test_checkpoints_as_json(spark, tmp_path):
+    rows = [("/in/a.pdf", "h", 3, [1, 3], [2]), ("/in/b.pdf", "k", 0, None, None), ("/in/c.pdf", "changed", 1, [1], [])]
+    progress = spark.createDataFrame(rows, "path string, sha256 string, total_pages int, processed_pages array<int>, failed_pages array<int>").withColumn("timestamp", F.timestamp_seconds(F.lit(5)))
+    folder = tmp_path / "checks"
+    checkpoints.write(progress, str(folder))
+    for name, text in (("cut", '{"file_hash":"h","total_pa'), ("empty", ""), ("kind", '{"file_hash":"h","total_pages":"many","processed_pages":[],"failed_pages":[],"version":"1.0"}'), ("less", '{"file_hash":"h","total_pages":1}'), ("list", "[1, 2]"), ("null", "null")):
+        (folder / f"{name}.pdf.checkpoint.json").write_text(text)
+    found = {r.name: r for r in checkpoints.read(spark, str(folder)).collect()}
+    assert (found["a.pdf"].file_hash, found["a.pdf"].total_pages, found["a.pdf"].processed_pages, found["a.pdf"].failed_pages, found["a.pdf"].version, found["a.pdf"].damaged) == ("h", 3, [1, 3], [2], "1.0", None)
+    assert found["b.pdf"].processed_pages == [] and found["cut.pdf"].damaged.startswith("{") and {n for n, r in found.items() if r.damaged is not None} == {f"{n}.pdf" for n in ("cut", "kind", "less", "list", "null")}
+    assert [r.d for r in spark.createDataFrame([("",), (None,), ("{}",)], "t string").select(checkpoints.parsed("t")["damaged"].alias("d")).collect()] == ["", "", "{}"]
+    files_ = spark.createDataFrame([("/in/a.pdf", "h"), ("/in/c.pdf", "other"), ("/in/cut.pdf", "h")], "path string, sha256 string")
+    assert [r.path for r in checkpoints.valid(checkpoints.read(spark, str(folder)), files_).collect()] == ["/in/a.pdf"]
+    assert checkpoints.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_table_functions_in_sql(spark, books):
+    words = [(1, 1, 0, "b", 50.0, 100.0), (1, 1, 1, "a", 10.0, 104.0), (1, 1, 2, "c", 10.0, 110.5), (1, 2, 0, None, 1.0, 1.0), (2, 1, 0, "x", 1.0, None), (None, 1, 0, "n", 1.0, 2.0)]
+    catalog.register(spark, {"own_words": spark.createDataFrame(words, "doc_id long, page_number int, seq int, text string, x0 double, top double"), "own_files": files.scan_directory(spark, books, True)})
+    ask = lambda q: sorted((tuple(r) for r in spark.sql(q).collect()), key=repr)
+    assert ask("SELECT * FROM page_lines(TABLE(own_words))") == sorted([(1, 1, 1, 100.0, 2, "a b"), (1, 1, 2, 110.5, 1, "c"), (1, 2, 1, 1.0, 1, ""), (None, 1, 1, 2.0, 1, "n")], key=repr)
+    assert ask("SELECT text FROM page_lines(TABLE(own_words), gap => 20.0) WHERE doc_id = 1 AND page_number = 1") == [("a c b",)]
+    assert ask("SELECT count(*) FROM page_lines(TABLE(SELECT * FROM own_words WHERE doc_id = 9))") == [(0,)]
+    pages = ask("SELECT regexp_extract(path, '[^/]*$', 0), page_number, total_pages, text, error IS NULL FROM pdf_text(TABLE(own_files))")
+    assert [p[:3] for p in pages] == [("broken.pdf", 0, 0), ("my_book.pdf", 1, 3), ("my_book.pdf", 2, 3), ("my_book.pdf", 3, 3), ("plain.pdf", 1, 1)] and pages[2][3] == "Second page here." and not pages[0][4]
+    for bad in ("page_lines(TABLE(own_files))", "page_lines(1)", "pdf_text(TABLE(own_words))"):
+        with pytest.raises(Exception, match="needs the columns|takes TABLE"):
+            spark.sql(f"SELECT * FROM {bad}").collect()
+    assert ask("SELECT heading_level('Chapter 3 x'), heading_level('2. Title'), heading_level('Other'), heading_level(NULL), share_done(1, 4), share_done(1, 0), boxes_meet(0, 0, 1, 1, 1, 1, 2, 2), boxes_meet(0, 0, 1, 1, 1.1, 1, 2, 2)") == [(1, 2, 3, 3, 0.25, 0.0, True, False)]
