@@ -17,8 +17,12 @@ from .common import freed, frugal, ids_of, keyed, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "contact", "secret", "identity")
 STATES = ("other", "contact", "secret", "identity")
-#: Tokens taken on either side of a token that may be personal data.
+#: Ordinary words on either side in the sentences of the labelled table.
 CONTEXT = 4
+#: Different tokens whose scores are remembered, and characters of texts that are scored at once.
+TOKENS, GROUP = 1 << 17, 1 << 18
+#: Times that certain places are looked for before the rest is decoded.
+ROUNDS = 3
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -26,7 +30,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\S+")
-_SEED = re.compile(r"[0-9@=]|[\[(](?:at|AT)[\])]|\bIBAN\b")
+#: Characters at a word's ends that its features leave out.
+_ENDS = ".,;:!?\"'"
+#: Those that end a part of a sentence, which shapes leave out.
+_STOPS = ".,;:!?"
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -77,7 +84,7 @@ def _order(span: tuple[int, int, str]) -> tuple[int, int, int]:
 def shape(token: str) -> str:
     """Letters as a and A, digits as 0, runs of more than four shortened to their length class; other characters stay."""
     out, i = [], 0
-    while i < len(token) and len(out) < 24:
+    while i < len(token):
         c = token[i]
         kind = "0" if c in "0123456789" else "A" if c.isupper() else "a" if c.isalpha() else c
         j = i
@@ -97,26 +104,43 @@ def coarse(token: str) -> str:
     return f"{size}{'d' if d else ''}{'D' if 2 * d >= len(token) else ''}{'U' if u else ''}{'w' if low else ''}{'@' if '@' in token else ''}{'=' if '=' in token else ''}{'-' if '-' in token else ''}{'(' if '(' in token else ''}{'.' if '.' in token[:-1] else ''}"
 
 
+def word_of(token: str) -> str:
+    """A short token without digits in small letters, without marks at its ends; empty for others."""
+    return token.lower().strip(_ENDS) if len(token) < 14 and not any(c in "0123456789" for c in token) else ""
+
+
+def prefix_of(token: str) -> str:
+    """What a token begins with up to its first =, _ or -, in small letters, if that is short; else empty."""
+    for i, c in enumerate(token[:9]):
+        if c in "=_-":
+            return token[: i + 1].lower()
+    return ""
+
+
 def token_features(tokens: list[str]) -> list[list[str]]:
     """Word-shape features of each token and its neighbours."""
-    shapes, kinds = [shape(t) for t in tokens], [coarse(t) for t in tokens]
-    words = [t.lower().strip(".,;:!?\"'") if len(t) < 14 and not any(c in "0123456789" for c in t) else "" for t in tokens]
+    shapes, kinds = [shape(t.rstrip(_STOPS)) for t in tokens], [coarse(t) for t in tokens]
+    words = [word_of(t) for t in tokens]
     out = []
     for i in range(len(tokens)):
         f = ["bias", f"s={shapes[i]}", f"c={kinds[i]}"]
         if words[i]:
             f.append(f"w={words[i]}")
+        if prefix := prefix_of(tokens[i]):
+            f.append(f"p={prefix}")
         if i:
             f += [f"c-={kinds[i - 1]}", f"w-={words[i - 1]}", f"c-c={kinds[i - 1]}|{kinds[i]}"]
         if i > 1:
             f.append(f"w--={words[i - 2]}")
         if i + 1 < len(tokens):
             f += [f"c+={kinds[i + 1]}", f"w+={words[i + 1]}"]
+        if i + 2 < len(tokens):
+            f.append(f"w++={words[i + 2]}")
         out.append(f)
     return out
 
 
-def labelled_table(rows: int = 800, seed: int = 7) -> list[tuple[list[str], list[int]]]:
+def labelled_table(rows: int = 1000, seed: int = 7) -> list[tuple[list[str], list[int]]]:
     """The small labelled table: sentences made by rule, with the state of each token."""
     r = random.Random(seed)
     syllables = "an er in th on re st ou le ti che ung que cion mente lich eau des und the of".split()
@@ -126,15 +150,24 @@ def labelled_table(rows: int = 800, seed: int = 7) -> list[tuple[list[str], list
     hexa, upper = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
     def entity() -> list[tuple[str, int]]:
-        k = r.randrange(20)
+        k = r.choice([*range(24), 2, 3, 21, 21])
+        if k == 22:
+            return [(r.choice([*"xyzEnkF", word()]), 0), (r.choice(["=", "==", ":"]), 0), (r.choice([digits(r.randint(1, 3)), word(), "mc2", "ma", f"{r.randint(1, 9)};"]), 0)]
+        if k == 23:
+            return [(f"{digits(r.randint(1, 3))}{r.choice('-:/x')}{digits(r.randint(1, 3))}", 0)]
+        if k == 20:
+            return [(word(), 1), (r.choice(["(dot)", "[dot]"]), 1), (r.choice(["com", "org", "net"]), 1)]
+        if k == 21:
+            return [(r.choice([word(), r.choice("abcdxyz")]), 0), (r.choice(["(dot)", "[dot]", "dot", "at", "[at]", "(at)"]), 0), (r.choice([word(), r.choice("abcdxyz")]), 0)]
         if k == 0:
-            return [("AKIA" + code(16, upper), 2)]
+            return [(r.choice(["AKIA", "ASIA"]) + code(16, r.choice([upper, upper[:26]])), 2)]
         if k == 1:
-            return [(r.choice(["password=", "passwd=", "pwd=", "secret=", "api_key="]) + code(r.randint(10, 24), hexa), 2)]
+            return [(r.choice(["password=", "passwd=", "pwd=", "secret=", "api_key="]) + code(r.randint(10, 24), r.choice([hexa, hexa, hexa[10:]])), 2)]
         if k == 2:
-            return [(r.choice(["token", "secret", "key", "api_key"]), 2), (r.choice(["=", ":"]), 2), ('"' + code(r.choice([32, 40]), hexa) + '"', 2)]
+            mark = r.choice("\"\"'")
+            return [(r.choice(["token", "secret", "key", "api_key"]), 2), (r.choice(["=", ":"]), 2), (mark + code(r.choice([12, 16, 24, 32, 40]), r.choice([hexa, hexa, hexa[10:]])) + mark, 2)]
         if k == 3:
-            return [(r.choice(["ghp_", "sk-", "xoxb-"]) + code(r.randint(20, 36), hexa + "ABCDEFXYZ"), 2)]
+            return [(r.choice(["ghp_", "sk-", "xoxb-"]) + code(r.randint(20, 36), r.choice([hexa, hexa + "ABCDEFXYZ"])), 2)]
         if k == 4:
             return [(f"{word()}.{digits(2)}@{word()}.example.com", 1)]
         if k == 5:
@@ -161,7 +194,8 @@ def labelled_table(rows: int = 800, seed: int = 7) -> list[tuple[list[str], list
             return [(word().upper() + r.choice(["!!", "!", "", ".!!"]), 0) for _ in range(r.randint(2, 6))]
         if k in (16, 17):
             bar = r.choice(["|", "|", "-", "•", "::", "*", "#", "##", ">", "~~", "$", "&", "%", "&amp;"])
-            return [(t, 0) for _ in range(r.randint(2, 5)) for t in (word().capitalize() if r.random() < 0.2 else word() + r.choice(["", "", ",", "."]), bar)]
+            long = lambda: word() + word() + word() if r.random() < 0.2 else word()
+            return [(t, 0) for _ in range(r.randint(2, 5)) for t in (word().capitalize() if r.random() < 0.2 else long() + r.choice(["", "", ",", "."]), bar)]
         if k == 18:
             return [(word().capitalize() + r.choice(["", ".", ",", "'s", "-" + word()]), 0) for _ in range(r.randint(1, 4))]
         return [(r.choice(["a=b", "@", "=", "==", "#1", "v2", "A4", "2nd", "CO2", "MP3", f"{word()}{r.randint(1, 9)}"]), 0)]
@@ -195,8 +229,11 @@ class Crf:
         return out, n
 
     def viterbi(self, rows: list[list[list[str]]]) -> list[np.ndarray]:
-        """The best state sequence of each row of a batch, all rows a step at a time."""
-        e, n = self.emissions(rows)
+        """The best state sequence of each row of a batch."""
+        return self.best(*self.emissions(rows))
+
+    def best(self, e: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        """The best state sequence by (sequence, place, state) scores, all sequences a step at a time; n: their lengths."""
         best = e[:, 0]
         back = np.zeros(e.shape, dtype=np.int8)
         for t in range(1, e.shape[1]):
@@ -271,60 +308,224 @@ def model() -> Crf:
     return train(labelled_table())
 
 
-def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Token spans around tokens that may be personal data: CONTEXT tokens on either side, overlapping windows merged."""
-    if not _SEED.search(text):
-        return []
-    spans = [m.span() for m in _TOKEN.finditer(text)]
-    out: list[list[int]] = []
-    for i, (a, b) in enumerate(spans):
-        if _SEED.search(text, a, b):
-            if out and i - CONTEXT <= out[-1][1]:
-                out[-1][1] = min(len(spans), i + CONTEXT + 1)
-            else:
-                out.append([max(0, i - CONTEXT), min(len(spans), i + CONTEXT + 1)])
-    return [spans[a:b] for a, b in out]
-
-
-def found_spans(texts: list[str], whole: bool = False, crf: Crf | None = None) -> list[tuple[list, list]]:
-    """(base spans, all spans) of each text by a trained chain, or :func:`model`; whole: decodes whole texts, which gives the same on all texts measured (see the tests) at many times the cost."""
-    base = [base_spans(t) for t in texts]
-    jobs = [(k, w) for k, t in enumerate(texts) for w in ([[m.span() for m in _TOKEN.finditer(t)]] if whole else windows(t)) if w]
-    jobs.sort(key=lambda j: len(j[1]))
-    more: list[list] = [[] for _ in texts]
+class Scores:
+    """Emission scores of whole texts, put together from those of their tokens.
+
+    A token adds one row of scores to its own place and one to each of the two
+    places after and before it; pairs of neighbours add one by their kinds.  Rows depend on a token's shape, kinds of characters
+    and, if the chain knows it, its word, so that nearly all tokens share rows.
+    """
+
+    def __init__(self, crf: Crf) -> None:
+        self.crf = crf
+        self.words = {k.partition("=")[2] for k in crf.names if k.startswith(("w=", "w-=", "w--=", "w+=", "w++="))} - {""}
+        self.prefixes = {k[2:] for k in crf.names if k.startswith("p=")}
+        kinds = sorted({x for k in crf.names if k.startswith("c-c=") for x in k[4:].split("|")})
+        self.kinds = {k: i for i, k in enumerate(kinds, 1)}  # 0 stands for the others
+        self.pairs = np.zeros((len(kinds) + 1, len(kinds) + 1, len(STATES)))
+        for k, i in crf.names.items():
+            if k.startswith("c-c="):
+                x, y = k[4:].split("|")
+                self.pairs[self.kinds[x], self.kinds[y]] = crf.emit[i]
+        self.pairs = self.pairs.reshape(-1, len(STATES))
+        # what the moves to and from a state can gain it over the first one: by whether the state before is known to be the first, any, or none is there, and the same after
+        into = {"first": crf.move[:1] - crf.move[0, 0], "any": crf.move - crf.move[:, :1], "none": np.zeros((1, len(STATES)))}
+        out = {"first": (crf.move[:, 0] - crf.move[0, 0])[None], "any": (crf.move - crf.move[0]).T, "none": np.zeros((1, len(STATES)))}
+        base = crf.move[0, 0]
+        self.move_in = crf.move.max(axis=0)[1:] - base
+        self.ends = max((crf.move[0, 1:] - base - self.move_in).max(), -self.move_in.min()) + max((crf.move[1:, 0] - base).max(), 0.0)
+        self.gain = {(x, y): into[x].max(axis=0) + out[y].max(axis=0) for x in into for y in out}
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.by_kind: dict[tuple, int] = {}
+        self.by_form: dict[tuple, int] = {}
+        self.rows: list[np.ndarray] = []
+        self.kind_of: list[int] = []
+        self.tables: list[np.ndarray] = []
+        self.kind = np.zeros(0, dtype=np.int64)
+
+    def _learn(self, token: str) -> int:
+        core = token.rstrip(_ENDS)
+        key = None
+        if core.isalpha() and (core.islower() or core[:1].isupper() and core[1:].islower()):  # what its rows depend on, without looking at each character
+            low = core.lower()
+            short = len(token) < 14
+            key = core[:1].isupper(), len(core), token[len(core) :], low if short and low in self.words else short
+            at = self.by_form.get(key)
+            if at is not None:
+                self.ids[token] = at
+                return at
+        form, word, kind, prefix = shape(token.rstrip(_STOPS)), word_of(token), coarse(token), prefix_of(token)
+        own = form, kind, word if not word or word in self.words else None, prefix if prefix in self.prefixes else ""
+        at = self.by_kind.get(own)
+        if at is None:
+            get, emit = self.crf.names.get, self.crf.emit
+
+            def sums(*names: str) -> np.ndarray:
+                return emit[[k for k in map(get, names) if k is not None]].sum(axis=0)
+
+            here = ("bias", f"s={form}", f"c={kind}", *((f"w={word}",) if word else ()), *((f"p={prefix}",) if prefix else ()))
+            at = self.by_kind[own] = len(self.rows)
+            self.rows.append(np.stack([sums(*here), sums(f"c-={kind}", f"w-={word}"), sums(f"w--={word}"), sums(f"c+={kind}", f"w+={word}"), sums(f"w++={word}")]))
+            self.kind_of.append(self.kinds.get(kind, 0))
+        if key is not None:
+            self.by_form[key] = at
+        self.ids[token] = at
+        return at
+
+    def emissions(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of all places of some texts' tokens, one text after the other, and where each begins."""
+        tokens = [t for own in texts for t in own]
+        found = list(map(self.ids.get, tokens))
+        if None in found:
+            ids, learn = self.ids, self._learn
+            found = [(ids[t] if t in ids else learn(t)) if i is None else i for t, i in zip(tokens, found)]
+        if len(self.rows) > len(self.kind):
+            every = np.stack(self.rows)
+            self.tables, self.kind = [np.ascontiguousarray(every[:, k]) for k in range(5)], np.array(self.kind_of)
+        at, begin = np.array(found, dtype=np.int64), np.cumsum([0, *map(len, texts)])
+        if not len(at):
+            return np.zeros((0, len(STATES))), begin
+        own, after, two_after, before, two_before = self.tables
+        edge = begin[:-1][np.diff(begin) > 0]
+        e = own.take(at, axis=0)
+        kind = self.kind.take(at)
+        part = after.take(at[:-1], axis=0) + self.pairs.take(kind[:-1] * (len(self.kinds) + 1) + kind[1:], axis=0)
+        part[edge[1:] - 1] = 0
+        e[1:] += part
+        for there, part in ((e[2:], two_after.take(at[:-2], axis=0)), (e[:-2], two_before.take(at[2:], axis=0))):
+            for k in (edge[1:] - 1, edge[1:] - 2):  # pairs of places that lie in two texts
+                part[k[(k >= 0) & (k < len(part))]] = 0
+            there += part
+        part = before.take(at[1:], axis=0)
+        part[edge[1:] - 1] = 0
+        e[:-1] += part
+        if len(self.ids) > TOKENS:
+            self.clear()
+        return e, begin
+
+    def states(self, texts: list[list[str]]) -> list[np.ndarray | None]:
+        """The best state of each token of each text, as decoding the whole text gives them; None for texts all of whose tokens are ordinary.
+
+        Where the first state beats every other by more than the moves to and
+        from it could make up for, it is on the best path whatever comes before
+        and after.  Such places cut a text into runs that are decoded on their
+        own, between neighbours of the first state.
+        """
+        e, begin = self.emissions(texts)
+        n = len(e)
+        out: list[np.ndarray | None] = [None] * len(texts)
+        if not n:
+            return out
+        lead = e[:, :1] - e[:, 1:]
+        some = np.diff(begin) > 0
+        start, end = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+        start[begin[:-1][some]], end[begin[1:][some] - 1] = True, True
+        # what a run of other states can gain at most over as many of the first: sums of the best that each place can give, over all runs that hold a place
+        most = (self.move_in - lead).max(axis=1)
+        sums = np.cumsum(most)
+        upto = sums - np.minimum.accumulate(np.append(0.0, sums[:-1]))
+        onward = np.maximum.accumulate(sums[::-1])[::-1] - (sums - most)
+        sure = (lead > self.gain["any", "any"][1:] + 1e-9).all(axis=1) | (upto + onward - most + self.ends < -1e-6)
+        doubt = np.flatnonzero(~sure)
+        for _ in range(ROUNDS if len(doubt) else 0):  # neighbours that are sure leave less to gain
+            left, right = np.append(True, sure[:-1])[doubt], np.append(sure[1:], True)[doubt]
+            need = np.empty((len(doubt), len(STATES)))
+            for x, chosen in (("none", start[doubt]), ("first", ~start[doubt] & left), ("any", ~start[doubt] & ~left)):
+                for y, also in (("none", end[doubt]), ("first", ~end[doubt] & right), ("any", ~end[doubt] & ~right)):
+                    need[chosen & also] = self.gain[x, y]
+            now = (lead[doubt] > need[:, 1:] + 1e-9).all(axis=1)
+            sure[doubt[now]] = True
+            doubt = doubt[~now]
+        if not len(doubt):
+            return out
+        every = np.zeros(n, dtype=np.int8)
+        is_start = np.zeros(n + 1, dtype=bool)
+        is_start[begin] = True
+        new = np.ones(len(doubt), dtype=bool)
+        new[1:] = (np.diff(doubt) > 1) | is_start[doubt[1:]]
+        first = doubt[new]
+        last = np.append(doubt[np.flatnonzero(new)[1:] - 1], doubt[-1])
+        runs = sorted(zip(first.tolist(), last.tolist()), key=lambda r: r[1] - r[0])
+        at = 0
+        while at < len(runs):
+            stop = at + 1  # runs of like length, some 20,000 tokens at once
+            while stop < len(runs) and (stop - at) * (runs[stop][1] - runs[stop][0] + 1) < 20_000:
+                stop += 1
+            part = runs[at:stop]
+            size = np.array([b - a + 1 for a, b in part])
+            padded = np.zeros((len(part), int(size.max()), len(STATES)))
+            for i, (a, b) in enumerate(part):
+                padded[i, : size[i]] = e[a : b + 1]
+                if not is_start[a]:
+                    padded[i, 0] += self.crf.move[0]
+                if not is_start[b + 1]:
+                    padded[i, size[i] - 1] += self.crf.move[:, 0]
+            for (a, b), s in zip(part, self.crf.best(padded, size)):
+                every[a : b + 1] = s
+            at = stop
+        for k in np.unique(np.searchsorted(begin, np.flatnonzero(every), side="right") - 1).tolist():
+            out[k] = every[begin[k] : begin[k + 1]]
+        return out
+
+
+def _shape_of_marks(marks: str) -> str:
+    return shape(marks) if marks else ""
+
+
+@lru_cache(maxsize=1)
+def _own_scores() -> Scores:
+    return Scores(model())
+
+
+def found_spans(texts: list[str], whole: bool = False, scores: Scores | None = None) -> list[tuple[list, list]]:
+    """(base spans, all spans) of each text, whose tokens are all decoded; whole: by one pass of the chain over each whole text, at many times the cost, to compare with."""
+    scores = scores or _own_scores()
+    out: list[tuple[list, list]] = []
     at = 0
-    while at < len(jobs):
-        end = at + 1  # windows of like length, some 20,000 tokens at once
-        while end < len(jobs) and (end - at) * len(jobs[end][1]) < 20_000:
-            end += 1
-        part = jobs[at:end]
-        states = (crf or model()).viterbi([token_features([texts[k][a:b] for a, b in w]) for k, w in part])
-        for (k, w), s in zip(part, states):
-            i = 0
-            while i < len(w):
-                j = i
-                while j < len(w) and s[j] == s[i]:
-                    j += 1
-                if s[i]:
-                    a, b = w[i][0], w[j - 1][1]
-                    while b > a + 1 and texts[k][b - 1] in ".,;:!?":
-                        b -= 1
-                    more[k].append((a, b, STATES[s[i]]))
-                i = j
-        at = end
-    out = []
-    for own, extra in zip(base, more):
-        starts = np.array([a for a, _, _ in own])
-        ends = np.maximum.accumulate([b for _, b, _ in own]) if own else np.zeros(0, int)
-        free = []
-        for a, b, kind in extra:
-            i = int(np.searchsorted(starts, b, "left"))  # base spans that begin before the end
-            if not i or ends[i - 1] <= a:
-                free.append((a, b, kind))
-        out.append((own, sorted(own + free, key=_order)))
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (size < GROUP or stop == at):
+            size += len(texts[stop])
+            stop += 1
+        group = texts[at:stop]
+        tokens = [t.split() for t in group]
+        if whole:
+            states = [scores.crf.viterbi([token_features(own)])[0] if own else None for own in tokens]
+        else:
+            states = scores.states(tokens)
+        out += [_spans(t, s) for t, s in zip(group, states)]
+        at = stop
     return out
 
 
+def _spans(text: str, states: np.ndarray | None) -> tuple[list, list]:
+    """Base spans of a text, and these with what the states of its tokens add where no base span lies."""
+    own = base_spans(text)
+    if states is None or not states.any():
+        return own, own
+    w = [m.span() for m in _TOKEN.finditer(text)]
+    starts = np.array([a for a, _, _ in own])
+    ends = np.maximum.accumulate([b for _, b, _ in own]) if own else np.zeros(0, int)
+    free = []
+    i = 0
+    while i < len(w):
+        j = i
+        while j < len(w) and states[j] == states[i]:
+            j += 1
+        if states[i]:
+            a, b = w[i][0], w[j - 1][1]
+            while b > a + 1 and text[b - 1] in ".,;:!?":
+                b -= 1
+            k = int(np.searchsorted(starts, b, "left"))  # base spans that begin before the end
+            if not k or ends[k - 1] <= a:
+                free.append((a, b, STATES[states[i]]))
+        i = j
+    return own, sorted(own + free, key=_order)
+
+
 def _said(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
@@ -335,18 +536,17 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The counts and the digest are of the base patterns over the whole text;
     spans adds what the chain finds apart from them, as kinds contact, secret
     and identity (``kind:start:end`` by start and kind, in code points, end
-    exclusive).  The chain is decoded over the tokens around each token with a
-    digit, an @, an = or a spelled-out at: other tokens are never personal data
-    to it, and beyond CONTEXT tokens they don't change what is decoded; whole
-    decodes all tokens of all texts instead.  Null and empty texts have no spans,
+    exclusive).  All tokens of all texts are decoded; whole does so in one plain
+    pass over each text, to compare with.  Null and empty texts have no spans,
     and their digest is that of an empty string; repeated rows give a row each.
     """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model())
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores = Scores(sent.value)
         for b in batches:
-            found = found_spans(b["text"].tolist(), whole, sent.value)
+            found = found_spans(b["text"].tolist(), whole, scores)
             out = {"doc_id": ids_of(b)}
             for kind in KINDS[:4]:
                 out[f"n_{kind}"] = [sum(s[2] == kind for s in own) for own, _ in found]
@@ -380,9 +580,10 @@ def without_personal_data(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scores = Scores(sent.value)
         for b in batches:
             texts = b.fillna("").tolist()
-            found = [masked(t, every) for t, (_, every) in zip(texts, found_spans(texts, crf=sent.value))]
+            found = [masked(t, every) for t, (_, every) in zip(texts, found_spans(texts, scores=scores))]
             yield pd.Series([None if n else t for t, n in zip(found, b.isna())], dtype=object)
         freed()
 
