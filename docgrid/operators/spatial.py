@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The smallest and the largest cells have sides of two to the power of these.
-LEAST_LEVEL, MOST_LEVEL = -6, 40
+#: Boxes of a level have sides up to four to its power, between these; cells are twice as wide.
+LEAST_LEVEL, MOST_LEVEL = -3, 20
 BOX = ("x0", "y0", "x1", "y1")
 
 
@@ -18,10 +18,14 @@ def _span(box: Column) -> dict[str, Column]:
 
 
 def level(box: Column) -> Column:
-    """The power of two that a box's longer side does not exceed: at that level it meets two cells in each direction at most."""
+    """The power of four that a box's longer side does not exceed: of the cells of that level it meets two in each direction at most, and mostly one."""
     s = _span(box)
-    side = F.greatest(s["high_x"] - s["low_x"], s["high_y"] - s["low_y"], F.lit(2.0**LEAST_LEVEL))
-    return F.least(F.ceil(F.log2(side)).cast("int"), F.lit(MOST_LEVEL))
+    side = F.greatest(s["high_x"] - s["low_x"], s["high_y"] - s["low_y"], F.lit(4.0**LEAST_LEVEL))
+    return F.least(F.ceil(F.log2(side) / 2).cast("int"), F.lit(MOST_LEVEL))
+
+
+def _size(at: Column) -> Column:
+    return F.pow(F.lit(2.0), 2 * at + 1)
 
 
 def is_finite(box: Column) -> Column:
@@ -32,7 +36,7 @@ def is_finite(box: Column) -> Column:
 
 def cells(box: Column, at: Column) -> Column:
     """The cells of a level that a box meets, as an array of (level, x, y)."""
-    s, size = _span(box), F.pow(F.lit(2.0), at)
+    s, size = _span(box), _size(at)
     reach = lambda axis: F.sequence(F.floor(s[f"low_{axis}"] / size), F.floor(s[f"high_{axis}"] / size))
     return F.flatten(F.transform(reach("x"), lambda x: F.transform(reach("y"), lambda y: F.struct(at.alias("level"), x.alias("x"), y.alias("y")))))
 
@@ -44,22 +48,29 @@ def _boxed(df: DataFrame, keys: Sequence[str], box: Sequence[str], name: str, al
     return rows.withColumn(f"{name}_level", level(F.col(name)))
 
 
-def _probes(rows: DataFrame, held: DataFrame, keys: Sequence[str], name: str, least: Column) -> DataFrame:
-    """rows once for each cell that their box meets at each level from `least` up at which `held` has boxes under their keys."""
-    levels = held.groupBy(*keys).agg(F.collect_set("level").alias("_levels"))
+def _probes(rows: DataFrame, name: str, least: Column) -> DataFrame:
+    """rows once for each cell that their box meets at each of their ``_levels`` from `least` up."""
     found = F.flatten(F.transform(F.filter("_levels", lambda v: v >= least), lambda v: cells(F.col(name), v)))
-    return rows.join(levels, list(keys)).withColumn("cell", F.explode(found)).drop("_levels")
+    return _in_cells(rows, found).drop("_levels")
 
 
 def _placed(rows: DataFrame, name: str) -> DataFrame:
     """rows once for each cell, four at most, that their box meets at its own level."""
-    return rows.withColumn("cell", F.explode(cells(F.col(name), F.col(f"{name}_level")))).withColumnRenamed(f"{name}_level", "level")
+    return _in_cells(rows, cells(F.col(name), F.col(f"{name}_level"))).withColumnRenamed(f"{name}_level", "level")
+
+
+CELL = ["cell_level", "cell_x", "cell_y"]
+
+
+def _in_cells(rows: DataFrame, found: Column) -> DataFrame:
+    """rows once for each of an array of cells, whose parts are columns: plain numbers make cheaper join keys than structs."""
+    return rows.withColumn("_cell", F.explode(found)).select("*", *(F.col(f"_cell.{c}").alias(f"cell_{c}") for c in ("level", "x", "y"))).drop("_cell")
 
 
 def _first_cell(a: Column, b: Column) -> Column:
     """The one cell of a pair's cells that has the lower corner of what both boxes cover: there, and nowhere else, the pair counts."""
-    size, p, q = F.pow(F.lit(2.0), F.col("cell.level")), _span(a), _span(b)
-    return (F.floor(F.greatest(p["low_x"], q["low_x"]) / size) == F.col("cell.x")) & (F.floor(F.greatest(p["low_y"], q["low_y"]) / size) == F.col("cell.y"))
+    size, p, q = _size(F.col("cell_level")), _span(a), _span(b)
+    return (F.floor(F.greatest(p["low_x"], q["low_x"]) / size) == F.col("cell_x")) & (F.floor(F.greatest(p["low_y"], q["low_y"]) / size) == F.col("cell_y"))
 
 
 def meets(a: Column, b: Column) -> Column:
@@ -70,8 +81,8 @@ def meets(a: Column, b: Column) -> Column:
 def self_pairs(df: DataFrame, keys: Sequence[str], order: str, box: Sequence[str] = BOX) -> DataFrame:
     """Pairs of rows under equal keys whose boxes meet: keys, ``first``, ``second``, their `order` values, the smaller one first.
 
-    `order` tells the rows of a key apart.  A box lies in the cells of a grid as
-    wide as itself, four at most, and looks in the cells that it meets of each
+    `order` tells the rows of a key apart.  A box lies in the cells of a grid that
+    is wider than itself, four at most and mostly one, and looks in the cells that it meets of each
     wider grid in use under its keys.  Keys and cell are the join key, so that
     boxes far apart never meet each other in a task, and a page of many small
     boxes is as many small groups.  A pair is found in one cell only, without a
@@ -79,9 +90,10 @@ def self_pairs(df: DataFrame, keys: Sequence[str], order: str, box: Sequence[str
     meet nothing.
     """
     own = _boxed(df, keys, box, "a", [order])
-    held = _placed(own.withColumnRenamed("a", "b").withColumnRenamed("a_level", "b_level").withColumnRenamed(order, "_b"), "b")
-    looking = _probes(own.withColumnRenamed(order, "_a"), own.withColumnRenamed("a_level", "level"), keys, "a", F.col("a_level"))
-    pairs = looking.join(held, [*keys, "cell"])
+    own = own.withColumn("_levels", F.collect_set("a_level").over(Window.partitionBy(*keys)))
+    held = _placed(own.drop("_levels").withColumnRenamed("a", "b").withColumnRenamed("a_level", "b_level").withColumnRenamed(order, "_b"), "b")
+    looking = _probes(own.withColumnRenamed(order, "_a"), "a", F.col("a_level"))
+    pairs = looking.join(held, [*keys, *CELL])
     # boxes of one level find each other twice
     once = (F.col("_a") < F.col("_b")) | ((F.col("a_level") < F.col("level")) & (F.col("_a") != F.col("_b")))
     found = pairs.where(once & meets(F.col("a"), F.col("b")) & _first_cell(F.col("a"), F.col("b")))
@@ -97,10 +109,11 @@ def centred_in(df: DataFrame, regions: DataFrame, keys: Sequence[str], order: st
     point = [((F.col(box[0]) + F.col(box[2])) / 2).alias("_px"), ((F.col(box[1]) + F.col(box[3])) / 2).alias("_py")]
     points = _boxed(df.select(*keys, order, *point), keys, ("_px", "_py", "_px", "_py"), "a", [order])
     held = _placed(_boxed(regions, keys, region, "b"), "b")
-    looking = _probes(points, held, keys, "a", F.lit(LEAST_LEVEL))
+    levels = held.groupBy(*keys).agg(F.collect_set("level").alias("_levels"))
+    looking = _probes(points.join(levels, list(keys)), "a", F.lit(LEAST_LEVEL))
     x, y = F.col("p.a.x0"), F.col("p.a.y0")
     inside = x.between(F.col("r.b.x0"), F.col("r.b.x1")) & y.between(F.col("r.b.y0"), F.col("r.b.y1"))
-    on = [F.col(f"p.{k}") == F.col(f"r.{k}") for k in keys] + [F.col("p.cell") == F.col("r.cell"), inside]
+    on = [F.col(f"p.{k}") == F.col(f"r.{k}") for k in [*keys, *CELL]] + [inside]
     same = on[0]
     for c in on[1:]:
         same = same & c
