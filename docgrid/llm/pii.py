@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, frugal, ids_of, keyed, small_batches
+from .common import freed, frugal, ids_of, keyed, private, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "contact", "secret", "identity")
 STATES = ("other", "contact", "secret", "identity")
@@ -587,7 +587,7 @@ def without_personal_data(docs: DataFrame) -> DataFrame:
             yield pd.Series([None if n else t for t, n in zip(found, b.isna())], dtype=object)
         freed()
 
-    new = "_docgrid_masked"
+    new = private(docs, "masked")
     both = docs.withColumn(new, mask(F.col("text")))
     size = F.when(F.col("text").eqNullSafe(F.col(new)), F.col("n_chars")).otherwise(F.length(new).cast("long")) if "n_chars" in docs.columns else None
     put = {"text": F.col(new), "n_chars": size}
