@@ -108,6 +108,25 @@ def test_stream_batch_that_runs_again_loses_and_adds_nothing(spark, books, tmp_p
     assert manifest.remove(spark, str(tmp_path / "t" / "manifest")) and manifest.read(spark, str(tmp_path / "t" / "manifest")).count() == 0
 
 
+def test_stream_reads_a_path_once_and_keeps_to_its_checkpoint(spark, books, tmp_path):
+    import os
+    from pathlib import Path
+
+    run = lambda: new_files.watch(spark, books, str(tmp_path / "t"), str(tmp_path / "c"), max_files=1).awaitTermination(120)
+    count = lambda: sorted((r.path.rsplit("/", 1)[-1], r["count"]) for r in spark.read.parquet(str(tmp_path / "t" / "pages")).groupBy("path").count().collect())
+    run()
+    first = count()
+    assert first == [("broken.pdf", 1), ("my_book.pdf", 3), ("plain.pdf", 1)] and len(list((tmp_path / "t" / "pages").glob("batch=*"))) == 3
+    book = Path(books) / "my_book.pdf"
+    book.write_bytes(book.read_bytes())
+    os.utime(book, (time.time() + 9, time.time() + 9))
+    (Path(books) / "later.pdf").write_bytes(book.read_bytes())
+    run()
+    assert count() == sorted([*first, ("later.pdf", 3)])
+    with pytest.raises(ValueError, match="another checkpoint"):
+        new_files.watch(spark, books, str(tmp_path / "t"), str(tmp_path / "other"))
+
+
 def test_needs_ocr_counts_stripped_text(spark):
     rows = [("x" * 120 + " " * 5000, 2000, False, 0.0), ("x" * 99, 10, False, 0.0), ("x" * 120, 2401, False, 0.0), ("x" * 120, 0, True, 0.81), ("x" * 120, 300, True, 0.8), ("", 0, False, 0.0), (None, 0, None, None)]
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, raw_text string, usual int, has_images boolean, image_area_ratio double")
