@@ -44,7 +44,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: EM, hashing, random fields and differencing are no SQL; tests compare the stages with brute-force versions.
+#: Hashing, random fields and differencing are no SQL; tests hold lines and near duplicates to brute force, personal data to one plain pass of the chain, packing to its contract and toxicity to held-out labels.
 ORACLE_SQL = None
 
 
