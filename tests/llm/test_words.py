@@ -108,6 +108,11 @@ def test_encoder_as_the_library(spark, sf, library):
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_makes_no_added_token_by_small_letters(library):
+    texts = ["<|ENDOFTEXT|>", "One <|EndOfText|> Two\nThree", "A<|STARTOFTEXT|>b", "<|endoftext|> <|ENDOFTEXT|> Tail"]
+    assert [x.tolist() for x in wavelet.Encoder(PATH).encode_all(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_encoder_forgets_words_and_stays_right(monkeypatch, library):
     monkeypatch.setattr(wavelet, "WORDS", 50)
     own = wavelet.Encoder(PATH)
