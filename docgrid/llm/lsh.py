@@ -335,6 +335,23 @@ def similar(left: list[str], right: list[str], bags: Callable, counted: bool, le
     return np.array([own.overlap(i, j, counted) >= least for i, j in zip(a, b)], dtype=bool)
 
 
+def _dealt(members: DataFrame, sized: DataFrame, count: int) -> DataFrame:
+    """members with their ``block`` and, once for each block ``o`` of their key that they meet; sized: members with the size of their text.
+
+    Members of a key's largest component needn't meet each other: they have
+    blocks of their own, after the others', and meet those only.
+    """
+    per = sized.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("chars"))
+    per = per.groupBy("key").agg(F.max(F.struct("n", "component", "chars")).alias("most"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    blocks = lambda n, chars: F.ceil(F.greatest(n / BLOCK, chars / BLOCK_CHARS)).cast("int")
+    rest = blocks(F.col("n") - F.col("most.n"), F.col("chars") - F.col("most.chars"))
+    per = per.select("key", "n", F.col("most.component").alias("main"), blocks(F.col("most.n"), F.col("most.chars")).alias("mains"), rest.alias("rest"))
+    dealt = spread_join(members.drop("n"), per.drop("n"), "key", per.select("key", "n"), count)
+    own, place = F.col("component") == F.col("main"), F.xxhash64("id")
+    dealt = dealt.withColumn("block", F.when(own, F.col("rest") + F.pmod(place, "mains")).otherwise(F.pmod(place, "rest")).cast("int"))
+    return dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(own, F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1)))
+
+
 def _in_blocks(members: DataFrame, texts: Callable, bags: Callable, counted: bool, least: float, short: bool) -> DataFrame:
     """Links (a, b) that join the components of keys (key, id, sketch, component, n), all members of a key compared; short texts are shingled where they are compared."""
     far = farthest(least)
@@ -354,10 +371,7 @@ def _in_blocks(members: DataFrame, texts: Callable, bags: Callable, counted: boo
     known = texts(members.select("id"), count).withColumn("size", F.length("text"))
     known = known if short else saved(known.mapInPandas(frugal(profile), "id long, size int, bag binary"), "bags")
     sized = members.join(known.select("id", "size"), "id")
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_CHARS)).cast("int")
-    per = sized.groupBy("key").agg(blocks.alias("blocks"), F.count("*").alias("n"))
-    dealt = spread_join(members.drop("n"), per.select("key", "blocks"), "key", per.select("key", "n"), count)
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = _dealt(members, sized, count)
     dealt = dealt.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "sketch", "component").join(known, "id")
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:

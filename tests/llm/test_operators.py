@@ -723,6 +723,17 @@ def test_large_buckets_are_compared_whole(spark, monkeypatch, chars):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_members_of_the_largest_component_do_not_meet(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lsh, "BLOCK", 10)
+    members = spark.range(103).selectExpr("7L as key", "id", "0L as sketch", "if(id < 100, 1L, id) as component", "103L as n")
+    rows = lsh._dealt(members, members.withColumn("size", F.lit(5)), 103).select("id", "component", "block", "o").collect()
+    assert len(rows) == 100 + 3 * 11  # one block of others and ten of the largest: not 103 * 11
+    met = {frozenset((r.block, r.o)) for r in rows}
+    assert met == {frozenset((0, b)) for b in range(11)} and {r.block for r in rows if r.component > 1} == {0}
+
+
 def test_among_keeps_all_and_few_others(spark):
     df = spark.range(100_000).selectExpr("id", "xxhash64(id) as h", "if(id % 3 = 0, null, xxhash64(id + 7)) as g")
     ids = spark.range(0, 100_000, 40).selectExpr("xxhash64(id) as k")
