@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from docgrid.operators import elements, layout
@@ -49,3 +50,32 @@ def test_texts_of_one_id_share_their_pages(spark, shared_ids, name):
     want = con.sql(__spark_entry__.oracle_sql()[name])
     columns = [c for c in sorted(want.columns) if "text" not in c or "density" in c]  # words of one place are in no order
     assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want.select(*columns).fetchall()))
+
+
+@pytest.mark.parametrize("name", ["body_text_excluding_edges", "elements_outside_regions", "overlap_pairs", "overlap_groups"])
+def test_pages_meet_their_regions_and_boxes_where_they_are_read(spark, sf, name):
+    assert shuffles(__spark_entry__.queries()[name](spark, sf)) == 0
+
+
+def test_boxes_in_arrays_as_in_rows(spark):
+    import random
+
+    r, nan = random.Random(3), float("nan")
+    box = lambda: (x := r.choice([0.0, 5.0, 40 * r.random()]), y := 40 * r.random(), x + r.choice([0.0, 4.0, 30.0]), y + r.choice([0.0, 3.0, 20.0]))
+    lines = [(d, p, s, f"w{s}", *box()) for d in range(4) for p in (1, 2) for s in range(0, 60, 2)] + [(0, 1, 61, "n", nan, 0.0, 50.0, 50.0), (0, 1, 63, "n", None, 0.0, 50.0, 50.0), (0, 1, 65, "n", 0.0, 0.0, float("inf"), 50.0)]
+    edges = [(d, 1, *box()) for d in range(3) for _ in range(4)] + [(3, 2, 0.0, 0.0, nan, 99.0)]
+    one = spark.createDataFrame(lines, "doc_id long, page_number int, seq int, text string, x0 double, y0 double, x1 double, y1 double")
+    regions = spark.createDataFrame(edges, "doc_id long, page_number int, x0 double, y0 double, x1 double, y1 double")
+    pages = one.select("doc_id", "page_number").distinct().selectExpr("*", "'raw' AS raw_text")
+    held = one.groupBy("doc_id", "page_number").agg(F.collect_list(F.struct("seq", "text", "x0", "y0", "x1", "y1")).alias("lines"))
+    at = regions.groupBy("doc_id", "page_number").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("edges"))
+    sheets = pages.join(held, ["doc_id", "page_number"]).join(at, ["doc_id", "page_number"], "left").withColumn("edges", F.coalesce("edges", F.array().cast(at.schema["edges"].dataType)))
+    assert rows(elements.overlap_pairs_of(sheets, "lines")) == rows(elements.overlap_pairs(one))
+    assert rows(elements.overlap_groups_of(sheets, "lines")) == rows(elements.overlap_groups(one))
+    assert rows(elements.body_text_of(sheets)) == rows(elements.body_text(pages, one, regions))
+    assert rows(sheets.select("doc_id", "page_number", F.explode(elements.outside_of()["seq"]).alias("seq"))) == rows(elements.outside_regions(one, regions).select("doc_id", "page_number", "seq"))
+
+
+@pytest.mark.parametrize("name", ["elements_outside_regions", "overlap_pairs", "pdf_words"])
+def test_boxes_of_texts_of_one_id(spark, shared_ids, name):
+    test_texts_of_one_id_share_their_pages(spark, shared_ids, name)
