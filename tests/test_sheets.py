@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from docgrid.operators import elements, layout
+from docgrid.plans import convert, synth
 from docgrid.queries import Tables
+from docgrid.sources import pdf
 
 
 def rows(df):
@@ -79,3 +81,24 @@ def test_boxes_in_arrays_as_in_rows(spark):
 @pytest.mark.parametrize("name", ["elements_outside_regions", "overlap_pairs", "pdf_words"])
 def test_boxes_of_texts_of_one_id(spark, shared_ids, name):
     test_texts_of_one_id_share_their_pages(spark, shared_ids, name)
+
+
+def test_pdf_words_in_a_page(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id % 5 = 0")
+    assert rows(synth.pdf_files_of(docs)) == rows(synth.pdf_files(synth.words(synth.sheets(docs))))
+    files = synth.pdf_files_of(docs).withColumn("doc_id", F.xxhash64("path"))
+    again = files.unionByName(files.selectExpr("'/in/broken.pdf' AS path", "CAST('no file' AS BINARY) AS content", "1L AS doc_id").limit(1))
+    own = pdf.read_words(again).withColumn("doc_id", F.xxhash64("path"))
+    want = convert.words_of(pdf.with_doc_ids(pdf.read_pages(again)))
+    assert rows(own.select(*want.columns)) == rows(want)
+
+
+def test_pdf_words_shuffle_no_character(spark, sf):
+    plan = __spark_entry__.queries()["pdf_words"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "chars" not in plan
+
+
+def test_words_in_characters():
+    char = lambda i, text, x0, x1, top=0.0: {"seq": i, "text": text, "x0": x0, "x1": x1, "top": top, "bottom": top + 10, "fontname": "Bold" if i else "", "size": 10.0}
+    chars = [char(0, "a", 0.0, 5.0), char(1, "b", 5.0, 9.0), char(2, " ", 9.0, 12.0), char(3, "c", 12.0, 17.0), char(4, "d", 20.0, 25.0), char(5, "e", 25.0, 30.0, 4.0)]
+    assert [(w["seq"], w["text"], w["x0"], w["x1"], w["is_bold"]) for w in pdf.words_in(chars)] == [(0, "ab", 0.0, 9.0, False), (3, "c", 12.0, 17.0, True), (4, "d", 20.0, 25.0, True), (5, "e", 25.0, 30.0, True)]
