@@ -102,3 +102,30 @@ def test_words_in_characters():
     char = lambda i, text, x0, x1, top=0.0: {"seq": i, "text": text, "x0": x0, "x1": x1, "top": top, "bottom": top + 10, "fontname": "Bold" if i else "", "size": 10.0}
     chars = [char(0, "a", 0.0, 5.0), char(1, "b", 5.0, 9.0), char(2, " ", 9.0, 12.0), char(3, "c", 12.0, 17.0), char(4, "d", 20.0, 25.0), char(5, "e", 25.0, 30.0, 4.0)]
     assert [(w["seq"], w["text"], w["x0"], w["x1"], w["is_bold"]) for w in pdf.words_in(chars)] == [(0, "ab", 0.0, 9.0, False), (3, "c", 12.0, 17.0, True), (4, "d", 20.0, 25.0, True), (5, "e", 25.0, 30.0, True)]
+
+
+ONCE = ["chapter_content", "chapter_content_whole", "complete_content", "chapter_boundaries", "chapter_from_structure", "chapter_ranges", "page_chapter_asof", "has_chapters", "chapter_labels"]
+
+
+@pytest.mark.parametrize("name", ONCE)
+def test_pages_go_to_their_document_once(spark, sf, name):
+    assert shuffles(__spark_entry__.queries()[name](spark, sf)) == 1
+
+
+@pytest.mark.parametrize("name", ["chapter_boundaries", "chapter_ranges", "page_chapter_asof", "has_chapters", "chapter_from_structure"])
+def test_chapters_of_texts_of_one_id(spark, shared_ids, name):
+    test_texts_of_one_id_share_their_pages(spark, shared_ids, name)
+
+
+def test_words_are_cut_alike_wherever_they_part(spark):
+    texts = ["", None, " \n ", "a", "\n a  b\n", "x " * 299 + "y", "x " * 300, "x " * 301, "tab\tstays one\n\ntwo " * 250, "é😀 漢字 " * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.page_number): [tuple(w) for w in r.words] for r in synth.sheets(docs).collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        for seq, w in enumerate(w for w in (text or "").replace("\n", " ").split(" ") if w):
+            want.setdefault((i, seq // 300 + 1), []).append((seq, w))
+    assert got == want
+    sheets = synth.sheets(docs)
+    assert rows(synth.elements_of(sheets)) == rows(synth.elements(synth.words(sheets)))
+    assert rows(synth.pages_of(sheets)) == rows(synth.pages(synth.elements(synth.words(sheets))))
