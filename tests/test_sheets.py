@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from docgrid import queries
 from docgrid.operators import elements, layout
 from docgrid.plans import convert, synth
 from docgrid.queries import Tables
@@ -129,3 +130,19 @@ def test_words_are_cut_alike_wherever_they_part(spark):
     sheets = synth.sheets(docs)
     assert rows(synth.elements_of(sheets)) == rows(synth.elements(synth.words(sheets)))
     assert rows(synth.pages_of(sheets)) == rows(synth.pages(synth.elements(synth.words(sheets))))
+
+
+def test_documents_bring_bodies_together_once(spark, sf, monkeypatch):
+    """All that is read later comes from the table of pages: its plan cuts the texts once and has one exchange."""
+    kept = []
+    monkeypatch.setattr(queries, "materialised", lambda df, name: kept.append((name, shuffles(df))) or df.limit(0))
+    __spark_entry__.queries()["documents"](spark, sf)
+    assert kept == [("pages", 1)]
+
+
+def test_files_of_texts_of_one_id(spark, shared_ids):
+    t = Tables(spark, shared_ids)
+    one = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert one(t.whole_pages.select("doc_id", "page_number", "n_images", "word_count", F.coalesce(F.size("headed"), F.lit(0)))) == one(
+        t.pages.join(t.statistics, ["doc_id", "page_number"]).join(t.elements.where("font_size >= 14").groupBy("doc_id", "page_number").count(), ["doc_id", "page_number"], "left").select("doc_id", "page_number", "n_images", "word_count", F.coalesce(F.col("count").cast("int"), F.lit(0)))
+    )
