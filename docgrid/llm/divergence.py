@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ LEAST_DOCS, TOP = 10, 10
 SCALE = 1_000_000_000
 #: Different terms that a task counts before it hands its counts on.
 HELD_TERMS = 1 << 18
+#: Occurrences that a task holds as numbers before it counts them.
+HELD_IDS = 1 << 22
 #: Kept terms, and their bytes, up to which the dictionary is sent to all tasks; a larger one is joined.
 SENT_TERMS, SENT_BYTES = 1 << 19, 16 << 20
 #: Terms of a chunk at most, and numbers that its vectors hold at most: with many sources a chunk has fewer terms.
@@ -54,19 +58,20 @@ def kept_terms(rows: DataFrame, least: int) -> DataFrame:
     it hold of the language.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
         size = 0
 
-        def taken() -> Iterator[pd.DataFrame]:
+        def taken() -> Iterator[pa.RecordBatch]:
             for lang, own in held.items():
-                out = pd.DataFrame({"lang": lang, "term": [t.decode() for t in own], "docs": list(own.values())})
-                for at in range(0, len(out), 1 << 14):
-                    yield out.iloc[at : at + (1 << 14)]
+                terms, docs = pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(list(own.values()), pa.int64())
+                whole = pa.RecordBatch.from_arrays([pa.repeat(lang, len(own)).cast(pa.string()), terms, docs], ["lang", "term", "docs"])
+                for at in range(0, len(own), 1 << 14):
+                    yield whole.slice(at, 1 << 14)
             held.clear()
 
         for b in batches:
-            for lang, text in zip(b["lang"], b["text"]):
+            for lang, text in zip(*(b.column(c).to_pylist() for c in ("lang", "text"))):
                 own = held.setdefault(lang, Counter())
                 before = len(own)
                 own.update(set(terms_of(text)))
@@ -83,7 +88,7 @@ def kept_terms(rows: DataFrame, least: int) -> DataFrame:
             seen.update(b["lang"])
             yield pd.DataFrame({"lang": b["lang"], "term": b["term"], "part": part, "at": at})
 
-    found = rows.select("lang", "text").mapInPandas(frugal(count), "lang string, term string, docs long").groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
+    found = rows.select("lang", "text").mapInArrow(frugal(count), "lang string, term string, docs long").groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
     kept = saved(found.where(F.col("docs") >= least).select("lang", "term"), "kept")
     placed = saved(kept.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInPandas(number, "lang string, term string, part int, at long"), "placed")
     w = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -115,34 +120,78 @@ def _counted(rows: DataFrame, take: Callable[[str, str, Counter], Iterator[pd.Da
     return rows.mapInPandas(frugal(count), schema)
 
 
+def _coded(rows: DataFrame, sent: Broadcast) -> DataFrame:
+    """``lang, source, id, count`` of the terms that ``sent`` has numbers of, by language; id null and count 0 for each group that occurs.
+
+    A task keeps its occurrences as numbers (group << 32 | id), counts them when
+    there are HELD_IDS, and hands its counts on when HELD_TERMS different ones
+    have come together.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, str], int] = {}
+        raw: list[np.ndarray] = []
+        keys, counts, size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), 0
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            own, n = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *raw]), return_counts=True)
+            raw.clear()
+            if not len(keys):
+                return own, n
+            both, at = np.unique(np.concatenate([keys, own]), return_inverse=True)
+            total = np.zeros(len(both), dtype=np.int64)
+            np.add.at(total, at, np.concatenate([counts, n]))
+            return both, total
+
+        def out(group: np.ndarray, ids: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            names = list(groups)
+            langs, sources = (pa.array([g[i] for g in names], pa.string()) for i in (0, 1))
+            for i in range(0, len(group), 1 << 14):
+                part = slice(i, i + (1 << 14))
+                own = pa.array(group[part])
+                yield pa.RecordBatch.from_arrays([langs.take(own), sources.take(own), ids[part], pa.array(n[part])], ["lang", "source", "id", "count"])
+
+        def taken() -> Iterator[pa.RecordBatch]:
+            every = np.arange(len(groups))
+            yield from out(keys >> 32, pa.array(keys & 0xFFFFFFFF), counts)
+            yield from out(every, pa.nulls(len(every), pa.int64()), np.zeros(len(every), dtype=np.int64))
+
+        known = sent.value
+        for b in batches:
+            for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text"))):
+                group = groups.setdefault((lang, source), len(groups))
+                if lang in known:
+                    found = np.fromiter(map(known[lang].get, terms_of(text), repeat(-1)), dtype=np.int64)
+                    found = found[found >= 0]
+                    if len(found):
+                        raw.append(found | group << 32)
+                        size += len(found)
+                if size >= HELD_IDS or len(groups) >= HELD_TERMS:
+                    keys, counts = added()
+                    size = 0
+                    if max(len(keys), len(groups)) >= HELD_TERMS:
+                        yield from taken()
+                        groups.clear()
+                        keys, counts = keys[:0], counts[:0]
+        keys, counts = added()
+        yield from taken()
+
+    return rows.mapInArrow(frugal(count), "lang string, source string, id long, count long")
+
+
 def group_counts(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``lang, source, id, count``: how often each group has each term of the dictionary; id null and count 0 once for each group that occurs.
 
-    A dictionary of bounded size goes to all tasks as sorted arrays, a language
-    each: a task's terms get their ids by binary search, and the counts of ids
-    are added up.  A larger one is joined with the tasks' counts.
+    A dictionary of bounded size goes to all tasks as the numbers of terms, a
+    language each: each occurrence becomes a number and numbers are counted.  A
+    larger one is joined with the tasks' counts.
     """
     spark = rows.sparkSession
     n, size = dictionary.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
     if n <= SENT_TERMS and size <= SENT_BYTES:
         every = dictionary.toPandas().sort_values(["lang", "id"])
-        arrays = {lang: np.array([t.encode() for t in own["term"]], dtype=object) for lang, own in every.groupby("lang")}
-        sent = spark.sparkContext.broadcast(arrays)
-
-        def take(lang: str, source: str, found: Counter) -> Iterator[pd.DataFrame]:
-            kept = sent.value.get(lang, np.array([], dtype=object))
-            terms, counts = np.array(list(found), dtype=object), np.fromiter(found.values(), dtype=np.int64, count=len(found))
-            at = np.searchsorted(kept, terms)
-            hit = np.flatnonzero(at < len(kept))
-            hit = hit[kept[at[hit]] == terms[hit]]
-            vector = np.bincount(at[hit], weights=counts[hit], minlength=len(kept)).astype(np.int64)  # exact below 2^53
-            ids = np.flatnonzero(vector)
-            yield pd.DataFrame({"lang": [lang], "source": [source], "id": pd.array([None], dtype="Int64"), "count": [0]})
-            for i in range(0, len(ids), 1 << 14):
-                own = ids[i : i + (1 << 14)]
-                yield pd.DataFrame({"lang": lang, "source": source, "id": pd.array(own, dtype="Int64"), "count": vector[own]})
-
-        coded = _counted(rows, take, "lang string, source string, id long, count long")
+        numbers = {lang: dict(zip((t.encode() for t in own["term"]), range(len(own)))) for lang, own in every.groupby("lang")}
+        coded = _coded(rows, spark.sparkContext.broadcast(numbers))
     else:
 
         def take(lang: str, source: str, found: Counter) -> Iterator[pd.DataFrame]:

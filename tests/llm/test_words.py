@@ -217,6 +217,14 @@ def test_divergence_as_the_definition(spark, monkeypatch, sent, chunk, held):
     assert sorted(tuple(r) for r in got.collect()) == plain_divergence(GROUPED)
 
 
+@pytest.mark.parametrize("ids, held", [(7, 1 << 18), (7, 20), (1 << 22, 2)])
+def test_divergence_counts_numbers_bit_by_bit(spark, monkeypatch, ids, held):
+    monkeypatch.setattr(divergence, "HELD_IDS", ids)
+    monkeypatch.setattr(divergence, "HELD_TERMS", held)
+    got = divergence.source_divergence(frame(spark, GROUPED))
+    assert sorted(tuple(r) for r in got.collect()) == plain_divergence(GROUPED)
+
+
 def test_divergence_awkward(spark):
     assert divergence.source_divergence(frame(spark, [("x", "x", "x", "x")][:0])).count() == 0
     few = [(1, "one two", "en", "a"), (2, "one", "en", "b"), (None, None, None, None)]
