@@ -25,6 +25,11 @@ def test_no_word_is_shuffled(spark, sf, name):
     assert shuffles(__spark_entry__.queries()[name](spark, sf)) == 0
 
 
+@pytest.mark.parametrize("name, most", [("hf_normalize", 0), ("unique_headers", 1), ("unique_footers", 1)])
+def test_only_distinct_headers_and_footers_are_shuffled(spark, sf, name, most):
+    assert shuffles(__spark_entry__.queries()[name](spark, sf)) == most
+
+
 def test_arrays_as_rows(spark, sf):
     t = Tables(spark, sf)
     assert rows(layout.measured(t.sheets)) == rows(layout.analyze(t.words, t.pages))
