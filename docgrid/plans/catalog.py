@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 from ..operators.elements import LINE_GAP
@@ -32,6 +33,9 @@ class PageLines:
     below the first of a line belong to it; a line's words go by x0 and seq. The
     function itself asks for pages as partitions and for their order, and holds
     one line at a time. Words without a top are in no line.
+
+    Where seq, text, x0 and top are arrays, a row is a whole page: its words are
+    in these, and nothing is partitioned or ordered.
     """
 
     @staticmethod
@@ -40,6 +44,8 @@ class PageLines:
         if gap is not None and (not gap.isConstantExpression or gap.value is None):
             raise ValueError("gap is a constant number")
         schema = StructType().add("doc_id", LongType()).add("page_number", IntegerType()).add("line_no", IntegerType()).add("line_y", DoubleType()).add("words", IntegerType()).add("text", StringType())
+        if isinstance(words.dataType["top"].dataType, ArrayType):
+            return AnalyzeResult(schema)
         return AnalyzeResult(schema, partitionBy=[PartitioningColumn("doc_id"), PartitioningColumn("page_number")], orderBy=[OrderingColumn("top"), OrderingColumn("x0"), OrderingColumn("seq")])
 
     def __init__(self) -> None:
@@ -54,9 +60,24 @@ class PageLines:
             yield first.doc_id, first.page_number, self.n, first.top, len(words), " ".join(r.text or "" for r in words)
         self.line = []
 
+    @staticmethod
+    def _lines(page: Row, gap: float) -> Iterator[tuple]:
+        """The lines of a page whose words are in arrays."""
+        words = sorted((w for w in zip(page.top, page.x0, page.seq, page.text) if w[0] is not None), key=itemgetter(0))
+        starts = []
+        for i, w in enumerate(words):
+            if not starts or w[0] - words[starts[-1]][0] > gap:
+                starts.append(i)
+        for n, (i, j) in enumerate(zip(starts, [*starts[1:], len(words)]), 1):
+            own = sorted(words[i:j], key=itemgetter(1, 2))
+            yield page.doc_id, page.page_number, n, words[i][0], len(own), " ".join([w[3] or "" for w in own])
+
     def eval(self, words: Row, gap: float = LINE_GAP) -> Iterator[tuple]:
         if words.top is None:
             return
+        if isinstance(words.top, list):
+            yield from self._lines(words, float(gap))
+            return
         if self.line and words.top - self.line[0].top > float(gap):
             yield from self._taken()
         self.line.append(words)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from docgrid.operators import elements
+from docgrid.plans import catalog
 
 BOX = "doc_id long, page_number int, seq int, text string, x0 double, y0 double, x1 double, y1 double, font_size double, is_bold boolean"
 
@@ -63,3 +64,14 @@ def test_adjacent_elements_are_merged_page_by_page(spark, sf):
     e, _, _, sheets = made(spark, 4)
     columns = ["doc_id", "page_number", "merged_no", "seq", "text", "x0", "y0", "x1", "y1"]
     assert rows(elements.merge_adjacent_of(sheets, "lines").select(columns)) == rows(elements.merge_adjacent(elements.reading_order(e)).select(columns))
+
+
+def test_page_lines_of_whole_pages(spark, sf):
+    assert shuffles("sql_page_lines", spark, sf) == 0
+    words = [(1, p, s, None if s == 5 else f"w{s}", float(s * 7 % 50), None if s == 3 else float(s * 5 % 41)) for p in (1, 2) for s in range(20)]
+    df = spark.createDataFrame(words, "doc_id long, page_number int, seq int, text string, x0 double, top double")
+    held = df.groupBy("doc_id", "page_number").agg(F.collect_list(F.struct("seq", "text", "x0", "top")).alias("w")).select("doc_id", "page_number", "w.seq", "w.text", "w.x0", "w.top")
+    catalog.register(spark, {"whole_words": df, "whole_sheets": held})
+    lines = lambda name, gap: rows(spark.sql(f"SELECT * FROM page_lines(TABLE({name}){gap})"))
+    for gap in ("", ", gap => 2.5"):
+        assert lines("whole_sheets", gap) == lines("whole_words", gap)
